@@ -16,6 +16,12 @@ LINE_SPACE = r"[ \t\f\x0b\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\u0085\u2028\u2029]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``. An expression that occurs several
+    times inside a lambda would otherwise be computed at every occurrence."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -107,25 +113,27 @@ def excerpt(c: Column, limit: int = 240) -> Column:
 
 def trim_at_word(c: Column, limit: int = 220) -> Column:
     """Cut at the last blank unless that loses over 40 % of the limit."""
-    text = collapse(c)
-    clipped = F.substring(text, 1, limit + 1)
-    boundary = F.length(clipped) - F.instr(F.reverse(clipped), " ")
-    has_blank = F.instr(clipped, " ") > 0
-    head = F.when(
-        has_blank & (boundary >= int(limit * 0.6)), F.substring(clipped, F.lit(1), boundary)
-    ).otherwise(F.substring(clipped, 1, limit))
-    short = F.concat(F.regexp_replace(head, r"[ ,;:\-]+\z", ""), F.lit("..."))
-    return F.when(F.length(text) <= limit, text).otherwise(short)
+    def short(text):
+        clipped = F.substring(text, 1, limit + 1)
+        boundary = F.length(clipped) - F.instr(F.reverse(clipped), " ")
+        at_blank = (F.instr(clipped, " ") > 0) & (boundary >= int(limit * 0.6))
+        head = F.when(at_blank, F.substring(clipped, F.lit(1), boundary)).otherwise(F.substring(clipped, 1, limit))
+        return F.concat(F.regexp_replace(head, r"[ ,;:\-]+\z", ""), F.lit("..."))
+
+    return let(collapse(c), lambda text: F.when(F.length(text) <= limit, text).otherwise(short(text)))
 
 
 def head_tail(c: Column, limit: Column) -> Column:
     """A long text is shown by its head (60 %) and tail around ' ... '."""
-    text = collapse(c)
     head_len = F.greatest((limit * F.lit(0.6)).cast("int"), F.lit(120))
     tail_len = F.greatest(limit - head_len - 5, F.lit(80))
-    head = F.regexp_replace(F.substring(text, F.lit(1), head_len), r"[ ,;:\-]+\z", "")
-    tail = F.regexp_replace(F.right(text, tail_len), r"^[ ,;:\-]+", "")
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(head, F.lit(" ... "), tail))
+
+    def ends(text):
+        head = F.regexp_replace(F.substring(text, F.lit(1), head_len), r"[ ,;:\-]+\z", "")
+        tail = F.regexp_replace(F.right(text, tail_len), r"^[ ,;:\-]+", "")
+        return F.concat(head, F.lit(" ... "), tail)
+
+    return let(collapse(c), lambda text: F.when(F.length(text) <= limit, text).otherwise(ends(text)))
 
 
 def strip_tags(c: Column) -> Column:
@@ -134,8 +142,9 @@ def strip_tags(c: Column) -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """First spelling of every entry, in order."""
-    lowered = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return let(items, lambda all_items: let(
+        F.transform(all_items, F.lower),
+        lambda low: F.filter(all_items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
 def references(c: Column, limit: int = 25) -> Column:
@@ -240,21 +249,30 @@ def summary_key(c: Column) -> Column:
 
 def title_only(summary: Column, candidates: Column) -> Column:
     """True if a summary says no more than one of the candidate titles."""
-    key = summary_key(summary)
-    keys = F.filter(F.transform(candidates, summary_key), lambda k: k != "")
-    near = F.exists(
-        keys,
-        lambda k: (key == k)
-        | ((F.length(key) <= F.length(k) + 12) & (key.startswith(k) | k.startswith(key))),
-    )
-    return (F.length(key) < 12) | near
+    return let(_title_keys(candidates), lambda keys: _repeats_title(summary, keys))
+
+
+def _title_keys(candidates: Column) -> Column:
+    return F.filter(F.transform(candidates, summary_key), lambda k: k != "")
+
+
+def _repeats_title(summary: Column, keys: Column) -> Column:
+    def near(key):
+        return (F.length(key) < 12) | F.exists(
+            keys,
+            lambda k: (key == k)
+            | ((F.length(key) <= F.length(k) + 12) & (key.startswith(k) | k.startswith(key))))
+
+    return let(summary_key(summary), near)
 
 
 def summary_fragment(c: Column) -> Column:
     """A sentence worth showing (24 characters, 12 of them letters), else null."""
-    text = F.regexp_replace(collapse(c), r"""^[ \-:;,.'"]+|[ \-:;,.'"]+\z""", "")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when((F.length(text) >= 24) & (letters >= 12), text)
+    def keep(text):
+        letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+        return F.when((F.length(text) >= 24) & (letters >= 12), text)
+
+    return let(F.regexp_replace(collapse(c), r"""^[ \-:;,.'"]+|[ \-:;,.'"]+\z""", ""), keep)
 
 
 def heuristic_summary(text: Column, titles: Column) -> Column:
@@ -262,13 +280,14 @@ def heuristic_summary(text: Column, titles: Column) -> Column:
     characters; null if nothing is good enough or it only repeats a title."""
     blocks = F.split(text_or_empty(text), r"\n{2,}")
     sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, rf"(?<=[.!?]){SPACE}+")))
-    good = F.filter(
-        F.transform(sentences, summary_fragment),
-        lambda s: s.isNotNull() & ~title_only(s, titles),
-    )
-    first_two = F.slice(distinct_ignoring_case(F.slice(good, 1, 6)), 1, 2)
-    summary = trim_at_word(F.array_join(first_two, " "))
-    return F.when((F.size(first_two) > 0) & ~title_only(summary, titles), summary)
+    fragments = F.filter(F.transform(sentences, summary_fragment), lambda s: s.isNotNull())
+
+    def with_titles(keys):
+        six = F.slice(F.filter(fragments, lambda s: ~_repeats_title(s, keys)), 1, 6)
+        line = F.array_join(F.slice(distinct_ignoring_case(six), 1, 2), " ")
+        return let(trim_at_word(line), lambda out: F.when((out != "") & ~_repeats_title(out, keys), out))
+
+    return let(_title_keys(titles), with_titles)
 
 
 def labelled(label: str, value: Column) -> Column:
@@ -308,17 +327,18 @@ def _valid_json(c: Column) -> Column:
 def salvage_json(c: Column) -> Column:
     """JSON inside a model answer: a fenced block, else all of it, else the part from
     the first '{' to the last '}'. Null if none of them parses."""
-    text = strip(text_or_empty(c))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    has_fence = text.rlike(r"(?s)```.*```")
-    body = F.when(has_fence, strip(fenced)).otherwise(text)
-    start = F.instr(body, "{")
-    end = F.length(body) - F.instr(F.reverse(body), "}") + 1
-    braced = F.when(
-        (start > 0) & (F.instr(body, "}") > 0) & (end > start),
-        F.substring(body, start, end - start + 1),
-    )
-    return F.when(_valid_json(body), body).when(_valid_json(braced), braced)
+    def from_body(body):
+        start = F.instr(body, "{")
+        end = F.length(body) - F.instr(F.reverse(body), "}") + 1
+        braced = F.when((start > 0) & (F.instr(body, "}") > 0) & (end > start),
+                        F.substring(body, start, end - start + 1))
+        return F.when(_valid_json(body), body).when(_valid_json(braced), braced)
+
+    def unfenced(text):
+        fenced = strip(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
+        return F.when(text.rlike(r"(?s)```.*```"), fenced).otherwise(text)
+
+    return let(let(strip(text_or_empty(c)), unfenced), from_body)
 
 
 def count_numbers(c: Column) -> Column:
