@@ -15,7 +15,7 @@ def half_up(c: Column, digits: int) -> Column:
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
     number = c.cast("string").try_cast("double")
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), number)), F.lit(0.0))
+    return F.when(number.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), number)))
 
 
 def parse_year(c: Column) -> Column:
@@ -71,7 +71,7 @@ def review_status(c: Column) -> Column:
 
 
 def _weight_text(percent: Column) -> Column:
-    text = F.translate(F.format_number(percent / 100.0, "0.00"), ".", ",")
+    text = F.translate(F.format_string("%.2f", percent / F.lit(100.0)), ".", ",")
     return F.regexp_replace(text, r",?0+$", "")
 
 
@@ -90,7 +90,7 @@ def formula_text(weights: dict[str, Column]) -> Column:
 # ---- library items (scale 0..10) ----
 
 def ten(c: Column) -> Column:
-    return half_up(F.greatest(F.lit(0.0), F.least(F.lit(10.0), c)), 1)
+    return F.when(c.isNull(), F.lit(0.0)).otherwise(half_up(F.greatest(F.lit(0.0), F.least(F.lit(10.0), c)), 1))
 
 
 def freshness(year: Column, this_year: int) -> Column:

@@ -27,14 +27,20 @@ def delimiter_votes(lines: DataFrame, marks: str = ",;|\t") -> DataFrame:
 
 
 def split_lines(lines: DataFrame, votes: DataFrame) -> DataFrame:
-    """Cells of delimited lines, quotes removed from quoted fields."""
-    fields = F.split(F.col("text"), F.concat(F.lit("\\Q"), F.col("mark"), F.lit("\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*\\z)")))
-    value = F.regexp_replace(F.regexp_replace("_v", r'^\s*"(.*)"\s*\z', "$1"), '""', '"')
+    """Cells of delimited lines. Delimiters between double quotes do not count, and the
+    quotes of a quoted field are removed."""
+    mark = F.col("mark")
+    outside = F.transform(
+        F.split(F.col("text"), '"'),
+        lambda part, i: F.when(i % 2 == 0, F.replace(part, mark, F.lit("\x01"))).otherwise(part))
+    fields = F.split(F.array_join(outside, '"'), "\x01")
+    value = F.regexp_replace(F.regexp_replace("_v", r'(?s)^\s*"(.*)"\s*\z', "$1"), '""', '"')
     return (
         lines.join(votes, "doc")
-        .select("doc", F.lit("").alias("sheet"), F.col("pos").alias("row"), F.posexplode(fields).alias("col", "_v"))
-        .select("doc", "sheet", F.col("row").cast("long").alias("row"), (F.col("col") + 1).alias("col"),
-                value.alias("value"), F.lit("string").alias("type"))
+        .select("doc", F.lit("").alias("sheet"), F.col("pos").cast("long").alias("row"),
+                F.posexplode(fields).alias("col", "_v"))
+        .select("doc", "sheet", "row", (F.col("col") + 1).alias("col"), value.alias("value"),
+                F.lit("string").alias("type"))
     )
 
 
@@ -140,3 +146,13 @@ def table_summary(name: Column, row_count: Column, classification: Column, colum
 
     lines = F.filter(F.transform(samples, line), lambda x: x.isNotNull())
     return F.when(F.size(lines) > 0, F.concat(head, F.lit(". Sample rows: "), F.array_join(lines, " | "))).otherwise(head)
+
+
+def json_row(values: Column) -> Column:
+    """A row map as JSON text with a blank after ',' and ':'."""
+    def scalar(v):
+        text = F.to_json(F.array(v), {"ignoreNullFields": "false"})
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    pairs = F.transform(F.map_entries(values), lambda e: F.concat_ws(": ", scalar(e["key"]), scalar(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
