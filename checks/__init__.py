@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.session import spread
+
+# Tables whose rows are costly to process; a single small file should use all cores.
+TEXT_TABLES = {"documents", "pages", "conversations", "embeddings"}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,4 +33,5 @@ class Registry:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows

@@ -269,7 +269,7 @@ _REQUEST_PARTS = dict(rules=context.TASK_RULES, guide=context.SCORE_GUIDE, rule=
 
 
 @registry.add(f"""WITH {CONTEXT}, {_BUCKETS.replace('h AS (', 'h AS (', 1)}, {_FB_TEXT},
-p AS (SELECT doc_id, source, lang FROM documents)
+pj AS (SELECT doc_id, source, lang FROM documents)
 SELECT doc_id AS project_id, md5('ЦЕЛЬ И КОНТЕКСТ ПРОЕКТА
 Проект: P' || doc_id || '
 Цель (KPI): goal
@@ -285,7 +285,7 @@ SELECT doc_id AS project_id, md5('ЦЕЛЬ И КОНТЕКСТ ПРОЕКТА
 {_REQUEST_PARTS['rules']}' || CASE WHEN feedback IS NOT NULL THEN '{_REQUEST_PARTS['rule']}' ELSE '' END || '
 {_REQUEST_PARTS['guide']}
 ') AS request
-FROM p LEFT JOIN ctx ON query_id = doc_id LEFT JOIN (SELECT replace(project_id, 'src', '') AS k, feedback FROM blk) b ON b.k = CAST(doc_id AS VARCHAR)""")
+FROM pj LEFT JOIN ctx ON query_id = doc_id LEFT JOIN (SELECT replace(project_id, 'src', '') AS k, feedback FROM blk) b ON b.k = CAST(doc_id AS VARCHAR)""")
 def prompt_table(spark, folder):
     """One request per document taken as a project; the first few have feedback."""
     n = F.col("doc_id")

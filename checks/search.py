@@ -2,9 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.functions import text as tx
 from siftline.operators import bm25, corpus, dense, fusion, tfidf
-from siftline.operators.ranking import top
 from siftline.plans import retrieve
 
 from . import Registry, table
@@ -48,8 +46,7 @@ SELECT r.query_id, r.pid, r.bm25, r.rank, string_agg(w.term, ',' ORDER BY w.k) A
 FROM ranked r JOIN why w ON w.query_id = r.query_id AND w.pid = r.pid AND w.k <= 6
 WHERE r.rank <= 6 GROUP BY ALL""")
 def bm25_topk(spark, folder):
-    scored = bm25.score_passages(_passages(spark, folder), _queries(spark, folder))
-    best = top(scored, ["query_id"], [F.col("bm25").desc(), F.col("pid")], 6)
+    best = bm25.best(bm25.passage_parts(_passages(spark, folder), _queries(spark, folder)))
     return best.select("query_id", "pid", "bm25", "rank", F.array_join("terms", ",").alias("terms"))
 
 
@@ -57,8 +54,7 @@ def bm25_topk(spark, folder):
 def bm25_index_topk(spark, folder):
     """The same answer through the term index."""
     index = corpus.build_index(_passages(spark, folder))
-    scored = bm25.score_index(index, _queries(spark, folder))
-    best = top(scored, ["query_id"], [F.col("bm25").desc(), F.col("pid")], 6)
+    best = bm25.best(bm25.index_parts(index, _queries(spark, folder)))
     return best.select("query_id", "pid", "bm25", "rank", F.array_join("terms", ",").alias("terms"))
 
 
@@ -210,7 +206,7 @@ def hybrid_rrf(spark, folder):
 @registry.add(f"""WITH {_PAIRS}
 SELECT query_id, cand_idx, pid, lang, bm25, dense, round(hybrid, 6) AS hybrid, terms FROM pool""")
 def candidate_pool(spark, folder):
-    pool = fusion.select_pool(_fused(spark, folder))
+    pool = retrieve.candidate_pool(_library(spark, folder), _goals(spark, folder))
     return pool.select("query_id", "cand_idx", "pid", "lang", "bm25", "dense",
                        F.round("hybrid", 6).alias("hybrid"), F.array_join("terms", ",").alias("terms"))
 

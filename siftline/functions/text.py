@@ -44,7 +44,10 @@ def normalize(c: Column) -> Column:
 
 
 def _drop_words(tokens: Column, words: list[str]) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(words))
+    """The word list goes over as one SQL text; a literal per word would cost one call
+    to the JVM each."""
+    quoted = ", ".join(f"'{w}'" for w in words)
+    return F.call_function("filter", tokens, F.expr(f"t -> t NOT IN ({quoted})"))
 
 
 def tokenize(c: Column) -> Column:
@@ -61,10 +64,7 @@ def tokenize_tfidf(c: Column) -> Column:
 def library_tokens(c: Column) -> Column:
     """Distinct tokens of a library item: three or more characters, not a number."""
     words = F.regexp_extract_all(normalize(collapse(c)), F.lit(vocab.LIBRARY_TOKEN_RE), F.lit(0))
-    keep = F.filter(
-        words,
-        lambda t: (F.length(t) >= 3) & ~t.isin(vocab.LIBRARY_STOP) & ~t.rlike(r"^\d+$"),
-    )
+    keep = F.filter(_drop_words(words, vocab.LIBRARY_STOP), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$"))
     return F.array_distinct(keep)
 
 

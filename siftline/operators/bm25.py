@@ -1,7 +1,7 @@
 """Okapi BM25 for tables of queries (query_id, corpus, text).
 
-Two routes give the same scores: ``score_index`` joins query terms to stored postings,
-``score_passages`` scans the passages and keeps only tokens that some query asks for
+Two routes give the same scores: ``index_parts`` joins query terms to stored postings,
+``passage_parts`` scans the passages and keeps only tokens that some query asks for
 before anything is shuffled.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, vocab
 from .corpus import TermIndex, build_index
+from .ranking import top
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def gain(tf: Column, dl: Column, avg_len: Column, k1: float, b: float) -> Column
 
 def contributions(terms: DataFrame, index: TermIndex, k1: float = vocab.BM25_K1,
                   b: float = vocab.BM25_B) -> DataFrame:
-    """query_id, corpus, pid, term, part: what each matched term adds."""
+    """query_id, pid, term, part: what each matched term adds."""
     weighted = (
         terms.join(index.terms, ["corpus", "term"])
         .join(index.stats.filter(F.col("avg_len") > 0), "corpus")
@@ -40,27 +41,40 @@ def contributions(terms: DataFrame, index: TermIndex, k1: float = vocab.BM25_K1,
     part = F.col("idf") * gain(F.col("tf"), F.col("dl"), F.col("avg_len"), k1, b)
     return (
         index.postings.join(weighted, ["corpus", "term"])
-        .select("query_id", "corpus", "pid", "term", part.alias("part"))
+        .select("query_id", "pid", "term", part.alias("part"))
     )
 
 
-def score(parts: DataFrame, shown: int = 6) -> DataFrame:
-    """query_id, corpus, pid, bm25 (four digits) and the terms that add most."""
+def score(parts: DataFrame) -> DataFrame:
+    """query_id, pid, bm25 (four digits)."""
+    return parts.groupBy("query_id", "pid").agg(F.round(F.sum("part"), 4).alias("bm25"))
+
+
+def explain(rows: DataFrame, parts: DataFrame, shown: int = 6) -> DataFrame:
+    """Adds terms: the matched terms that add most to each of these (query_id, pid) rows.
+    Done for rows that were picked, so terms are never collected for all matches."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("k"), F.col("term"))))
-    return (
-        parts.groupBy("query_id", "corpus", "pid")
-        .agg(F.round(F.sum("part"), 4).alias("bm25"), ordered.alias("_t"))
-        .withColumn("terms", F.transform(F.slice("_t", 1, shown), lambda s: s["term"]))
-        .drop("_t")
+    reasons = (
+        parts.join(rows.select("query_id", "pid"), ["query_id", "pid"], "left_semi")
+        .groupBy("query_id", "pid").agg(ordered.alias("_t"))
+        .select("query_id", "pid", F.transform(F.slice("_t", 1, shown), lambda s: s["term"]).alias("terms"))
     )
+    none = F.array().cast("array<string>")
+    return rows.join(reasons, ["query_id", "pid"], "left").withColumn("terms", F.coalesce("terms", none))
 
 
-def score_index(index: TermIndex, queries: DataFrame, k1: float = vocab.BM25_K1,
+def index_parts(index: TermIndex, queries: DataFrame, k1: float = vocab.BM25_K1,
                 b: float = vocab.BM25_B) -> DataFrame:
-    return score(contributions(query_terms(queries), index, k1, b))
+    return contributions(query_terms(queries), index, k1, b)
 
 
-def score_passages(passages: DataFrame, queries: DataFrame, k1: float = vocab.BM25_K1,
-                   b: float = vocab.BM25_B) -> DataFrame:
+def passage_parts(passages: DataFrame, queries: DataFrame, k1: float = vocab.BM25_K1,
+                  b: float = vocab.BM25_B) -> DataFrame:
     terms = query_terms(queries)
-    return score(contributions(terms, build_index(passages, terms), k1, b))
+    return contributions(terms, build_index(passages, terms), k1, b)
+
+
+def best(parts: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
+    """The k best passages of every query with their terms."""
+    found = top(score(parts), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k)
+    return explain(found, parts)

@@ -9,13 +9,13 @@ from ..operators import bm25, dense, fusion
 from ..session import cut_lineage
 
 
-def fused_pairs(passages: DataFrame, queries: DataFrame) -> DataFrame:
+def fused_pairs(passages: DataFrame, queries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Every query with the passages of its corpus: BM25, cosine, both ranks, hybrid.
 
     passages: corpus, pid, text, vector (may be null) and any other columns
     queries:  query_id, corpus, text, vector (may be null)
     """
-    scored = bm25.score_passages(passages, queries)
+    scored = bm25.score(bm25.passage_parts(passages, queries) if parts is None else parts)
     has_vectors = "vector" in passages.columns and "vector" in queries.columns
     goal = queries.select("query_id", "corpus", *(
         [F.col("vector").alias("_qv"), dense.norm(F.col("vector")).alias("_qn")] if has_vectors else []))
@@ -29,14 +29,21 @@ def fused_pairs(passages: DataFrame, queries: DataFrame) -> DataFrame:
     else:
         pairs = pairs.withColumn("dense", F.lit(None).cast("double"))
     pairs = (
-        pairs.join(scored.drop("corpus"), ["query_id", "pid"], "left")
+        pairs.join(scored, ["query_id", "pid"], "left")
         .withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-        .withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
     )
     # The ranks need three passes over these narrow rows; the scoring runs once.
     return fusion.fuse(cut_lineage(pairs))
 
 
+def candidate_pool(passages: DataFrame, queries: DataFrame, budget: int = vocab.POOL_BUDGET,
+                   min_per_lang: int = vocab.POOL_MIN_PER_LANG) -> DataFrame:
+    """At most ``budget`` candidates per query with all scores and matched terms."""
+    parts = bm25.passage_parts(passages, queries)
+    pool = fusion.select_pool(fused_pairs(passages, queries, parts), budget, min_per_lang)
+    return cut_lineage(bm25.explain(cut_lineage(pool), parts))
+
+
 def retrieve(passages: DataFrame, queries: DataFrame, responses: DataFrame | None = None,
              top_k: int = vocab.TOP_K, budget: int = vocab.POOL_BUDGET,
              min_per_lang: int = vocab.POOL_MIN_PER_LANG,
@@ -47,7 +54,7 @@ def retrieve(passages: DataFrame, queries: DataFrame, responses: DataFrame | Non
     spark = passages.sparkSession
     if responses is None:
         responses = spark.createDataFrame([], "query_id long, cand_idx long, pos long, score double")
-    pool = cut_lineage(fusion.select_pool(fused_pairs(passages, queries), budget, min_per_lang))
+    pool = candidate_pool(passages, queries, budget, min_per_lang)
     merged = fusion.merge_rerank(pool, responses)
     items = fusion.diversify(merged, top_k=top_k, per_source=per_source)
     return items, stage_log(passages, queries, pool, merged)

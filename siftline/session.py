@@ -41,3 +41,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/siftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input that has far fewer partitions than there are cores (one small
+    file); an input with enough partitions is left alone, so nothing large is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
