@@ -1,16 +1,19 @@
 """Okapi BM25 for tables of queries (query_id, corpus, text).
 
-Two routes give the same scores: ``index_parts`` joins query terms to stored postings,
-``passage_parts`` scans the passages and keeps only tokens that some query asks for
+Two routes give the same scores: ``match_index`` joins query terms to stored postings,
+``match_passages`` scans the passages and keeps only tokens that some query asks for
 before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, vocab
 from .corpus import TermIndex, build_index
+from ..session import cut_lineage
 from .ranking import top
 
 
@@ -30,32 +33,41 @@ def gain(tf: Column, dl: Column, avg_len: Column, k1: float, b: float) -> Column
     return tf * F.lit(k1 + 1) / (tf + norm)
 
 
-def contributions(terms: DataFrame, index: TermIndex, k1: float = vocab.BM25_K1,
-                  b: float = vocab.BM25_B) -> DataFrame:
-    """query_id, pid, term, part: what each matched term adds."""
-    weighted = (
-        terms.join(index.terms, ["corpus", "term"])
-        .join(index.stats.filter(F.col("avg_len") > 0), "corpus")
-        .select("corpus", "term", "query_id", "avg_len", idf(F.col("passages"), F.col("df")).alias("idf"))
-    )
-    part = F.col("idf") * gain(F.col("tf"), F.col("dl"), F.col("avg_len"), k1, b)
-    return (
-        index.postings.join(weighted, ["corpus", "term"])
-        .select("query_id", "pid", "term", part.alias("part"))
-    )
+@dataclass(frozen=True)
+class Match:
+    """Query terms against an index."""
+
+    terms: DataFrame
+    index: TermIndex
+    k1: float = vocab.BM25_K1
+    b: float = vocab.BM25_B
+
+    def parts(self, pids: DataFrame | None = None) -> DataFrame:
+        """query_id, pid, term, part: what each matched term adds; for all passages or
+        only for those in ``pids`` (pid)."""
+        weighted = (
+            self.terms.join(self.index.terms, ["corpus", "term"])
+            .join(self.index.stats.filter(F.col("avg_len") > 0), "corpus")
+            .select("corpus", "term", "query_id", "avg_len", idf(F.col("passages"), F.col("df")).alias("idf"))
+        )
+        postings = self.index.postings
+        if pids is not None:
+            postings = postings.join(pids.select("pid"), "pid", "left_semi")
+        part = F.col("idf") * gain(F.col("tf"), F.col("dl"), F.col("avg_len"), self.k1, self.b)
+        return postings.join(weighted, ["corpus", "term"]).select("query_id", "pid", "term", part.alias("part"))
 
 
-def score(parts: DataFrame) -> DataFrame:
+def score(match: Match) -> DataFrame:
     """query_id, pid, bm25 (four digits)."""
-    return parts.groupBy("query_id", "pid").agg(F.round(F.sum("part"), 4).alias("bm25"))
+    return match.parts().groupBy("query_id", "pid").agg(F.round(F.sum("part"), 4).alias("bm25"))
 
 
-def explain(rows: DataFrame, parts: DataFrame, shown: int = 6) -> DataFrame:
+def explain(rows: DataFrame, match: Match, shown: int = 6) -> DataFrame:
     """Adds terms: the matched terms that add most to each of these (query_id, pid) rows.
     Done for rows that were picked, so terms are never collected for all matches."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("k"), F.col("term"))))
     reasons = (
-        parts.join(rows.select("query_id", "pid"), ["query_id", "pid"], "left_semi")
+        match.parts(rows).join(rows.select("query_id", "pid"), ["query_id", "pid"], "left_semi")
         .groupBy("query_id", "pid").agg(ordered.alias("_t"))
         .select("query_id", "pid", F.transform(F.slice("_t", 1, shown), lambda s: s["term"]).alias("terms"))
     )
@@ -63,18 +75,16 @@ def explain(rows: DataFrame, parts: DataFrame, shown: int = 6) -> DataFrame:
     return rows.join(reasons, ["query_id", "pid"], "left").withColumn("terms", F.coalesce("terms", none))
 
 
-def index_parts(index: TermIndex, queries: DataFrame, k1: float = vocab.BM25_K1,
-                b: float = vocab.BM25_B) -> DataFrame:
-    return contributions(query_terms(queries), index, k1, b)
+def match_index(index: TermIndex, queries: DataFrame, k1: float = vocab.BM25_K1, b: float = vocab.BM25_B) -> Match:
+    return Match(query_terms(queries), index, k1, b)
 
 
-def passage_parts(passages: DataFrame, queries: DataFrame, k1: float = vocab.BM25_K1,
-                  b: float = vocab.BM25_B) -> DataFrame:
+def match_passages(passages: DataFrame, queries: DataFrame, k1: float = vocab.BM25_K1, b: float = vocab.BM25_B) -> Match:
     terms = query_terms(queries)
-    return contributions(terms, build_index(passages, terms), k1, b)
+    return Match(terms, build_index(passages, terms), k1, b)
 
 
-def best(parts: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
+def best(match: Match, k: int = vocab.TOP_K) -> DataFrame:
     """The k best passages of every query with their terms."""
-    found = top(score(parts), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k)
-    return explain(found, parts)
+    found = cut_lineage(top(score(match), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k))
+    return explain(found, match)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from .ranking import ordinal, top
 
 CSV_ROWS, SHEET_ROWS = 10_000, 5_000
@@ -48,10 +49,11 @@ def trim_grid(cells: DataFrame) -> DataFrame:
     """Blank strings become null, rows without a value go, rows are renumbered from 1 and
     every sheet knows its width and height. Null cells are not stored; a missing cell
     inside the width is null."""
-    filled = cells.withColumn("value", tx.cell_value(F.col("value"))).filter(F.col("value").isNotNull())
+    filled = cut_lineage(cells.withColumn("value", tx.cell_value(F.col("value"))).filter(F.col("value").isNotNull()))
     rows = ordinal(filled.select(*_SHEET, "row").distinct(), _SHEET, "row", "_n")
     size = filled.groupBy(*_SHEET).agg(F.max("col").alias("width"), F.count_distinct("row").alias("height"))
-    return (
+    # Header detection, naming and row building all read the grid.
+    return cut_lineage(
         filled.join(rows, [*_SHEET, "row"]).join(size, _SHEET)
         .withColumn("row", F.col("_n")).drop("_n")
     )

@@ -56,23 +56,36 @@ def paragraph_sections(paragraphs: DataFrame) -> DataFrame:
 def looks_like_heading(line: Column) -> Column:
     """A '#' line, a numbered line, or up to ten words without a final stop, half of
     which start with a capital."""
-    words = F.filter(F.split(line, rf"{tx.SPACE}+"), lambda w: w != "")
-    capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
-    count = F.size(words)
-    wordy = (~line.endswith(".")) & count.between(1, 10) & (
-        capitals >= F.greatest(F.lit(1), F.floor(count / 2)))
+    # The line is stripped, so its words are one more than its gaps.
+    count = F.regexp_count(line, F.lit(rf"{tx.SPACE}+")) + 1
+    capitals = F.regexp_count(line, F.lit(rf"(?:^|{tx.SPACE})\p{{Lu}}"))
+    wordy = (~line.endswith(".")) & (count <= 10) & (capitals >= F.greatest(F.lit(1), F.floor(count / 2)))
     return (line != "") & (F.length(line) <= 120) & (
         line.startswith("#") | line.rlike(r"^\d+(\.\d+)*\s+\S+") | wordy)
 
 
-def text_lines(documents: DataFrame) -> DataFrame:
-    """documents (document_id, text) -> document_id, pos, text (stripped), is_heading."""
-    lines = documents.select(
-        "document_id", F.posexplode(F.split(tx.clean_text(F.col("text")), tx.LINE_END)).alias("pos", "_l"))
-    return lines.select("document_id", "pos", tx.strip(F.col("_l")).alias("text")).withColumn(
-        "is_heading", looks_like_heading(F.col("text")))
+def text_sections(documents: DataFrame) -> DataFrame:
+    """documents (document_id, text) -> sections.
 
+    A document is one row, so nothing is shuffled: heading lines are marked inside the
+    text, the marked text is split at the marks, and what remains is exploded.
+    """
+    mark, end = "\x01", "\x02"
+    clean = F.translate(tx.clean_text(F.col("text")), mark + end, "")
 
-def text_sections(documents: DataFrame) -> DataFrame:
-    title = tx.strip(F.regexp_replace("text", r"^#+", ""))
-    return headed_sections(text_lines(documents), "Text", title)
+    def marked(line):
+        title = tx.strip(F.regexp_replace(line, r"^#+", ""))
+        return F.when(looks_like_heading(line), F.concat(F.lit(mark), title, F.lit(end))).otherwise(line)
+
+    lines = F.transform(F.split(clean, tx.LINE_END), lambda line: tx.let(tx.strip(line), marked))
+    pieces = F.split(F.array_join(lines, "\n"), mark)
+
+    def section(piece):
+        cut = F.instr(piece, end)
+        return F.struct(
+            F.when(cut > 0, F.substring(piece, F.lit(1), cut - 1)).otherwise("Text").alias("title"),
+            tx.clean_text(F.substring(piece, cut + 1, F.length(piece))).alias("text"))
+
+    kept = F.filter(F.transform(pieces, section), lambda s: s["text"] != "")
+    return documents.select("document_id", F.posexplode(kept).alias("_i", "s")).select(
+        "document_id", (F.col("_i") + 1).cast("long").alias("section_order"), "s.title", "s.text")

@@ -9,13 +9,13 @@ from ..operators import bm25, dense, fusion
 from ..session import cut_lineage
 
 
-def fused_pairs(passages: DataFrame, queries: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+def fused_pairs(passages: DataFrame, queries: DataFrame, match: bm25.Match | None = None) -> DataFrame:
     """Every query with the passages of its corpus: BM25, cosine, both ranks, hybrid.
 
     passages: corpus, pid, text, vector (may be null) and any other columns
     queries:  query_id, corpus, text, vector (may be null)
     """
-    scored = bm25.score(bm25.passage_parts(passages, queries) if parts is None else parts)
+    scored = bm25.score(bm25.match_passages(passages, queries) if match is None else match)
     has_vectors = "vector" in passages.columns and "vector" in queries.columns
     goal = queries.select("query_id", "corpus", *(
         [F.col("vector").alias("_qv"), dense.norm(F.col("vector")).alias("_qn")] if has_vectors else []))
@@ -39,9 +39,9 @@ def fused_pairs(passages: DataFrame, queries: DataFrame, parts: DataFrame | None
 def candidate_pool(passages: DataFrame, queries: DataFrame, budget: int = vocab.POOL_BUDGET,
                    min_per_lang: int = vocab.POOL_MIN_PER_LANG) -> DataFrame:
     """At most ``budget`` candidates per query with all scores and matched terms."""
-    parts = bm25.passage_parts(passages, queries)
-    pool = fusion.select_pool(fused_pairs(passages, queries, parts), budget, min_per_lang)
-    return cut_lineage(bm25.explain(cut_lineage(pool), parts))
+    match = bm25.match_passages(passages, queries)
+    pool = fusion.select_pool(fused_pairs(passages, queries, match), budget, min_per_lang)
+    return cut_lineage(bm25.explain(cut_lineage(pool), match))
 
 
 def retrieve(passages: DataFrame, queries: DataFrame, responses: DataFrame | None = None,

@@ -161,8 +161,10 @@ def normalize(raw: DataFrame, feed: str) -> DataFrame:
     cols["origin"] = F.lit(feed)
     types = {"year": "int", "is_open_access": "boolean"}
     out = [cols.get(c, F.lit(None)).cast(types.get(c, "string")).alias(c) for c in RECORD]
-    return (parsed.select("pos", *out).filter(F.col("title") != "")
-            .withColumn("excerpt", tx.excerpt(F.col("content"))))
+    # A filter would be pushed below the projection and compute its columns twice; the
+    # one-element array is computed once and kept or dropped.
+    kept = F.filter(F.array(F.struct(*out)), lambda record: record["title"] != "")
+    return parsed.select("pos", F.inline(kept)).withColumn("excerpt", tx.excerpt(F.col("content")))
 
 
 def combine(raw: DataFrame, order: list[str]) -> DataFrame:

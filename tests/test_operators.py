@@ -40,18 +40,18 @@ def test_bm25_by_hand(spark, tmp_path):
         return math.log(1 + (3 - n + .5) / (n + .5)) * f * 2.5 / (f + 1.5 * (.25 + .75 * dl / avg))
 
     want = {0: round(part(2, 1, 3) + part(1, 1, 3), 4), 1: round(part(2, 2, 3), 4)}
-    got = bm25.best(bm25.passage_parts(passages, queries)).collect()
+    got = bm25.best(bm25.match_passages(passages, queries)).collect()
     assert {r["pid"]: r["bm25"] for r in got} == want
     assert {r["pid"]: r["terms"] for r in got}[0] == ["corrosion", "nickel"]
     corpus.write_index(passages, str(tmp_path / "index"))
-    stored = bm25.score(bm25.index_parts(corpus.read_index(spark, str(tmp_path / "index")), queries)).collect()
+    stored = bm25.score(bm25.match_index(corpus.read_index(spark, str(tmp_path / "index")), queries)).collect()
     assert {r["pid"]: r["bm25"] for r in stored} == want
 
 
 def test_bm25_empty_corpus_scores_nothing(spark):
     passages = spark.createDataFrame([("c", 0, "the of")], "corpus string, pid long, text string")
     queries = spark.createDataFrame([(1, "c", "nickel")], "query_id long, corpus string, text string")
-    assert bm25.score(bm25.passage_parts(passages, queries)).count() == 0
+    assert bm25.score(bm25.match_passages(passages, queries)).count() == 0
 
 
 def test_nearest_takes_several_query_blocks(spark):
