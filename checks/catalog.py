@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from siftline.functions import text as tx
-from siftline.operators import catalog, grids
+from siftline.operators import catalog
 from . import Registry, table
 from .sqltext import collapse
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from siftline.functions import text as tx
 from siftline.operators import chunks, grids, sections, summaries
 from . import Registry, table
 from .texts import _SECTION_SQL

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scores as sc, text as tx, vocab
 from siftline.operators import catalog, hypotheses as hy
-from siftline.operators.ranking import top
 from siftline.plans import context, retrieve
 from . import Registry, search, table
 from .sqltext import half_up

@@ -6,7 +6,7 @@ from siftline.operators import bm25, corpus, dense, fusion, tfidf
 from siftline.plans import retrieve
 
 from . import Registry, table
-from .sqltext import collapse, lang, tokens
+from .sqltext import lang, tokens
 
 registry = Registry()
 

@@ -32,11 +32,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used where several branches need an expensive result: the plan is not computed once
     per branch, the copy survives lost executors, stays columnar and has a known size.
-    A session without that setting (tests) gets a fresh temporary folder.
+    A local session without that setting (tests) gets a fresh temporary folder; on a
+    cluster such a folder would be lost with its machine, so the setting is required.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="siftline-")
     path = f"{folder.rstrip('/')}/siftline-{uuid.uuid4().hex}"
     df.write.parquet(path)

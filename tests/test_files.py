@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import vocab
 from siftline.operators import hypotheses as hy
+from siftline.session import cut_lineage
 from siftline.sources import feeds, files, library_json, sinks
 from siftline.streaming import acquire, ingest
 
@@ -103,6 +104,11 @@ def test_exports(spark, tmp_path):
     assert "**Метрика: m (снизить)**  " in text
 
 
+def test_lineage_is_cut_in_the_named_folder(spark):
+    rows = cut_lineage(spark.range(5))
+    assert rows.count() == 5 and rows.inputFiles()[0].startswith("file://" + spark.conf.get("spark.checkpoint.dir"))
+
+
 def test_append_and_replace(spark, tmp_path):
     runs = spark.createDataFrame([(1, None), (2, "boom")], "run_id long, error string")
     sinks.append_runs(runs, str(tmp_path / "runs"))
