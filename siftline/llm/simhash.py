@@ -188,7 +188,6 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, layout=LAYOUT, tile: in
         F.when(F.col("side"), F.xxhash64("anchor", "own", "other")).otherwise(F.xxhash64("anchor", "other", "own")).alias("unit"),
         "fingerprint", F.col("side").alias("home"))
     n = max(2, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = as_home.unionByName(as_visitor).select(F.xxhash64("anchor", "tile_h", "tile_v").alias("unit"), "anchor", "fingerprint", "home")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
