@@ -11,9 +11,9 @@ from siftline.llm.shared import mixed
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A-Z to a-z, all other bytes unchanged.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Bytes of words without punctuation: ASCII letters and digits, and all bytes of other characters.
+PLAIN = np.ones(256, bool)
+PLAIN[:128] = [chr(c).isalnum() for c in range(128)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -27,10 +27,10 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the n + 1 offsets of the texts in the list of words.
-    A word never crosses from one text to the next."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, of_word: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (run of bytes that are ``of_word``), and the n + 1 offsets of the texts in the list
+    of words. A word never crosses from one text to the next."""
+    solid = of_word[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = solid & (edge[:-1] | np.r_[True, ~solid[:-1]]) if len(data) else solid
