@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftline.llm import bitpack, decontam, html_blocks, langid, packing, quality, simhash, token_counts, toxicity
+from siftline.llm import bitpack, decontam, html_blocks, langid, packing, quality, simhash, suffixes, token_counts, toxicity
 
 QUERIES = {fn.__name__: fn for fn in (
     langid.op1_language_id, quality.op2_quality_rules, packing.op3_packing, simhash.op4_simhash, decontam.op5_decontamination, toxicity.op6_toxicity, bitpack.op7_bit_packing,
-    token_counts.op8_token_counts, html_blocks.op10_html_extraction,
+    token_counts.op8_token_counts, suffixes.op9_suffix_dedup, html_blocks.op10_html_extraction,
 )}
 SQL: dict[str, str] = {}
