@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from siftline.llm.shared import joined_bytes, ragged
+from siftline.llm.shared import joined_bytes, ragged, whole_texts
 from siftline.llm.words import word_spans
 
 #: Largest number of words that a worker remembers; then it starts anew.
@@ -92,7 +92,7 @@ class Encoder:
     def _values(self, texts: pa.Array, spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """The remembered integers of all words of all texts; how many each word has; the n + 1 offsets of the texts
         in the words; the texts without nulls. Empty words are left out."""
-        filled = pc.fill_null(texts.cast(pa.large_string()), "")
+        filled = whole_texts(texts)
         # the tokenizer lower-cases anyway, but a special token in capitals must not turn into one
         lower = self.lower and not pc.any(pc.match_substring(filled, "<|")).as_py()
         lists = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import blocks, joined_bytes, ragged
+from siftline.llm.shared import blocks, joined_bytes, ragged, whole_texts
 from siftline.llm.words import PLAIN, windows, word_hashes, word_spans
 
 SEED_WORDS = 3
@@ -49,7 +49,7 @@ class Items:
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.utf8_lower(whole_texts(texts))
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -47,6 +47,13 @@ def joined_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """The texts as large strings without nulls (null is empty) and without an offset into a longer array, which some
+    of Arrow's string functions don't respect."""
+    data, offsets = joined_bytes(texts)
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64)

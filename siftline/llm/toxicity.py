@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.shared import blocks, joined_bytes, ragged, remainder
+from siftline.llm.shared import blocks, joined_bytes, ragged, remainder, whole_texts
 from siftline.llm.words import PLAIN, word_hashes, word_spans
 
 BITS = 20
@@ -51,7 +51,7 @@ class Tokens:
 
 def tokens_of(texts: pa.Array) -> Tokens:
     """Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case."""
-    data, offsets = joined_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    data, offsets = joined_bytes(pc.utf8_lower(whole_texts(texts)))
     starts, ends, words = word_spans(data, offsets, PLAIN)
     chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     stops = np.r_[0, np.cumsum(_ENDS[data])]
