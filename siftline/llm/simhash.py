@@ -171,15 +171,16 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, layout=LAYOUT, tile: in
     """Links (a, b) between different fingerprints of ``prints`` (fingerprint long, each once) that connect the same
     fingerprints as all pairs that differ in at most ``threshold`` bits.
 
-    Only anchors that are some fingerprint's home are visited. An anchor with many homes is cut into tiles of about
-    ``tile`` homes and as many parts of its visitors, and every two are compared by a task of their own.
+    An anchor with more than ``tile`` homes is cut into tiles of about that many homes and as many parts of its
+    visitors, and every two are compared apart; how many tiles such anchors have is a table of its own, small as each
+    of its rows stands for many fingerprints.
     """
     if sum(bits for bits, _ in layout) != 64 or sum(t + 1 for _, t in layout) <= threshold:
         raise ValueError("the blocks must have 64 bits and thresholds that cover the overall threshold")
     schema = "anchor long, fingerprint long, home boolean"
-    tiles = (prints.mapInArrow(_send([(bits, 0) for bits, _ in layout]), schema).groupBy("anchor")
-             .agg(F.ceil(F.count("*") / tile).alias("tiles")))
-    met = prints.mapInArrow(_send(layout), schema).join(tiles, "anchor")
+    crowded = keep(prints.mapInArrow(_send([(bits, 0) for bits, _ in layout]), schema).groupBy("anchor")
+                   .agg(F.ceil(F.count("*") / tile).alias("tiles")).where("tiles > 1"))
+    met = prints.mapInArrow(_send(layout), schema).join(crowded, "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     own = F.pmod(F.xxhash64("fingerprint"), F.col("tiles"))
     sides = met.withColumn("side", F.explode(F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
