@@ -53,7 +53,7 @@ v AS (SELECT *, coalesce(lower(reference), lower(trim(title))) AS k FROM m
       WHERE existing_source_id IS NULL AND trim(title) <> '' AND content IS NOT NULL),
 u AS (SELECT *, row_number() OVER (PARTITION BY project_id, k ORDER BY pos) AS d FROM v)
 SELECT project_id, pos, row_number() OVER (PARTITION BY project_id ORDER BY pos) AS import_rank, trim(title) AS title
-FROM u WHERE d = 1 QUALIFY import_rank <= 12""")
+FROM u WHERE d = 1""")
 def catalog_import(spark, folder):
     catalogue = _catalogue(spark, folder).filter(F.col("reference").isNotNull())
     picked = catalog.select_imports(_candidates(spark, folder), catalogue)

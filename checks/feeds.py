@@ -122,7 +122,7 @@ UNION_SQL = f"""
 a AS ({_WORK} UNION ALL BY NAME {_PUBLICATION} UNION ALL BY NAME {_PAPER} UNION ALL BY NAME {_MATERIAL}),
 keyed AS (SELECT *, CASE WHEN coalesce(reference, '') <> ''
     THEN 'doi:' || regexp_replace(lower(trim(reference)), '^https?://(dx\\.)?doi\\.org/', '')
-    ELSE 'tt:' || substr(lower(title), 1, 120) || '|' || coalesce(CAST(year AS VARCHAR), 'None') END AS dedupe_key
+    ELSE 'tt:' || lower(title) || '|' || coalesce(CAST(year AS VARCHAR), 'None') END AS dedupe_key
   FROM a WHERE title <> '' AND trim(content) <> ''),
 kept AS (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY priority, pos) AS r FROM keyed)"""
 

@@ -80,7 +80,7 @@ data AS (SELECT g.doc, g.row - CASE WHEN has_header THEN 1 ELSE 0 END AS row, g.
 SELECT d.doc, d.row, count(l.header) AS cells,
        md5(coalesce(string_agg(l.header || '=' || d.value, '|' ORDER BY l.header), '')) AS body
 FROM data d LEFT JOIN last l ON l.doc = d.doc AND l.col = d.col
-WHERE d.row BETWEEN 1 AND 5000 GROUP BY ALL""")
+WHERE d.row >= 1 GROUP BY ALL""")
 def grid_rows(spark, folder):
     grid = _grid(spark, folder)
     flags = grids.header_flags(grid)
@@ -217,8 +217,8 @@ def document_chunks(spark, folder):
 WITH RECURSIVE b0 AS (SELECT conv_id, turn, role, {collapse('text')} AS t FROM conversations),
 b1 AS (SELECT conv_id, turn, CASE WHEN contains({summary_key('substr(t, 1, 220)')}, {summary_key('role')}) THEN t ELSE role || ' ' || t END AS blk
        FROM b0 WHERE length(t) >= 40 OR {letters('t')} >= 12),
-b2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {summary_key('substr(blk, 1, 320)')} ORDER BY turn) AS d FROM b1
-       WHERE {summary_key('substr(blk, 1, 320)')} <> ''),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, {summary_key('blk')} ORDER BY turn) AS d FROM b1
+       WHERE {summary_key('blk')} <> ''),
 b3 AS (SELECT conv_id, blk, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM b2 WHERE d = 1),
 b4 AS (SELECT conv_id, blk, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k, least(n, 5) AS slots FROM b3
        WHERE n <= 5 OR i IN (1, 2, n // 2 + 1, n - 1, n)),

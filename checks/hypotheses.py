@@ -89,8 +89,7 @@ def report_summary(spark, folder):
 _BUCKETS = f"""{SCORED},
 b AS (SELECT project_id, hypothesis_id, CASE WHEN status = 'accepted' THEN 'confirmed' WHEN status = 'rejected' THEN 'refuted'
         WHEN status = 'review' OR note IS NOT NULL THEN 'reviewed' END AS bucket, statement, coalesce(note, '') AS note, created_at FROM h),
-fb AS (SELECT *, row_number() OVER (PARTITION BY project_id, bucket ORDER BY created_at DESC, hypothesis_id DESC) AS n FROM b WHERE bucket IS NOT NULL
-       QUALIFY n <= CASE WHEN bucket = 'reviewed' THEN 6 ELSE 8 END)"""
+fb AS (SELECT *, row_number() OVER (PARTITION BY project_id, bucket ORDER BY created_at DESC, hypothesis_id DESC) AS n FROM b WHERE bucket IS NOT NULL)"""
 
 
 @registry.add(f"WITH {_BUCKETS} SELECT project_id, bucket, n, coalesce(statement, '') AS statement, note FROM fb")
@@ -100,7 +99,7 @@ def feedback_buckets(spark, folder):
 
 _FB_TEXT = f"""blk AS (SELECT project_id, '{hy.FEEDBACK_TITLE}' || string_agg(chr(10) || heading || t, '' ORDER BY heading_no) || chr(10) || chr(10) AS feedback FROM (
   SELECT project_id, CASE bucket WHEN 'confirmed' THEN 1 WHEN 'refuted' THEN 2 ELSE 3 END AS heading_no,
-    CASE bucket WHEN 'confirmed' THEN '{hy.FEEDBACK[0][2]}' WHEN 'refuted' THEN '{hy.FEEDBACK[1][2]}' ELSE '{hy.FEEDBACK[2][2]}' END AS heading,
+    CASE bucket WHEN 'confirmed' THEN '{hy.FEEDBACK[0][1]}' WHEN 'refuted' THEN '{hy.FEEDBACK[1][1]}' ELSE '{hy.FEEDBACK[2][1]}' END AS heading,
     string_agg(chr(10) || '  • ' || coalesce(statement, '') || CASE WHEN note <> '' THEN ' — эксперт: ' || note ELSE '' END, '' ORDER BY n) AS t
   FROM fb GROUP BY project_id, bucket) GROUP BY project_id)"""
 

@@ -38,8 +38,8 @@ def token_profile(spark, folder):
 @registry.add(f"""
 SELECT doc_id, {lang('text')} AS lang, CASE WHEN c + l < 40 THEN NULL WHEN c::DOUBLE / (c + l) > 0.55 THEN 'ru'
        WHEN l::DOUBLE / (c + l) > 0.55 THEN 'en' ELSE 'mixed' END AS language
-FROM (SELECT doc_id, text, length(regexp_replace(substr(text, 1, 20000), '[^А-Яа-яЁё]', '', 'g')) AS c,
-             length(regexp_replace(substr(text, 1, 20000), '[^A-Za-z]', '', 'g')) AS l FROM documents)""")
+FROM (SELECT doc_id, text, length(regexp_replace(text, '[^А-Яа-яЁё]', '', 'g')) AS c,
+             length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents)""")
 def language_detect(spark, folder):
     return _docs(spark, folder).select(
         "doc_id", tx.detect_lang(F.col("text")).alias("lang"), tx.detect_language(F.col("text")).alias("language"))
@@ -92,7 +92,7 @@ f AS (SELECT page_id, x, list_transform(
 SELECT page_id, CASE WHEN regexp_extract(x, '\\b(?:19|20)\\d{{2}}\\b') = '' THEN NULL
                      ELSE CAST(regexp_extract(x, '\\b(?:19|20)\\d{{2}}\\b') AS INT) END AS year,
        array_to_string((list_filter(refs, lambda r, i:
-           list_position(list_transform(refs, lambda z: lower(z)), lower(r)) = i))[:25], ' ') AS refs
+           list_position(list_transform(refs, lambda z: lower(z)), lower(r)) = i)), ' ') AS refs
 FROM f""")
 def reference_extract(spark, folder):
     pages = table(spark, folder, "pages")
@@ -124,7 +124,7 @@ def first_lines(spark, folder):
 
 
 @registry.add(f"""
-SELECT doc_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i)[:4], ',') AS elements
+SELECT doc_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ',') AS elements
 FROM (SELECT doc_id, list_filter(
         list_transform(regexp_extract_all(regexp_replace(' ' || text || ' ', '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g'), ' [A-Z][a-z]? '), lambda x: trim(x)),
         lambda x: list_contains({words(vocab.ELEMENTS)}, x)) AS e FROM documents)""")
@@ -237,7 +237,7 @@ SELECT doc_id, first_line AS title, 'src' AS authors, year, source_type, languag
          CASE WHEN l < 40 THEN NULL ELSE 'en' END AS language,
          CAST(least(25, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\\s)>\\]]+'),
                lambda r: lower(rtrim(r, '.,;')))))) AS BIGINT) AS n_refs
-  FROM (SELECT *, length(regexp_replace(substr(text, 1, 20000), '[^A-Za-z]', '', 'g')) AS l FROM documents))""")
+  FROM (SELECT *, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents))""")
 def metadata_enrichment(spark, folder):
     meta = summaries.enrich(
         F.col("text"), authors=F.array(F.lit(" src ")), source_type=F.lit("uploaded"))

@@ -77,10 +77,10 @@ def detect_lang(c: Column) -> Column:
     return F.when(cyr + lat == 0, "other").when(cyr >= lat, "ru").otherwise("en")
 
 
-def detect_language(c: Column) -> Column:
+def detect_language(c: Column, first: int | None = None) -> Column:
     """Language of the metadata: null below 40 letters, 'mixed' without a 55 % majority.
-    The first 20 000 characters decide (part of the rule)."""
-    sample = F.substring(text_or_empty(c), 1, 20000)
+    The whole text decides, or its ``first`` characters if the caller wants so."""
+    sample = text_or_empty(c) if first is None else F.substring(text_or_empty(c), 1, first)
     cyr = F.regexp_count(sample, F.lit("[А-Яа-яЁё]"))
     lat = F.regexp_count(sample, F.lit("[A-Za-z]"))
     total = cyr + lat
@@ -147,7 +147,7 @@ def distinct_ignoring_case(items: Column) -> Column:
         lambda low: F.filter(all_items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
-def references(c: Column, limit: int = 25) -> Column:
+def references(c: Column, limit: int | None = None) -> Column:
     """DOIs, then links, without trailing punctuation, distinct regardless of case."""
     text = text_or_empty(c)
     found = F.concat(
@@ -155,7 +155,8 @@ def references(c: Column, limit: int = 25) -> Column:
         F.regexp_extract_all(text, F.lit(URL_RE), F.lit(0)),
     )
     keys = F.transform(found, lambda x: F.regexp_replace(F.trim(x), r"[.,;]+\z", ""))
-    return F.slice(distinct_ignoring_case(F.filter(keys, lambda x: x != "")), 1, limit)
+    distinct = distinct_ignoring_case(F.filter(keys, lambda x: x != ""))
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def extract_year(*values: Column) -> Column:
@@ -210,11 +211,13 @@ def inverted_index_text(index: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def dedupe_key(reference: Column, title: Column, year: Column) -> Column:
+def dedupe_key(reference: Column, title: Column, year: Column, title_chars: int | None = None) -> Column:
     """'doi:' plus the reference without a doi.org prefix, else title and year."""
     ref = F.lower(strip(text_or_empty(reference)))
     doi = F.regexp_replace(ref, r"^https?://(dx\.)?doi\.org/", "")
-    title_key = F.substring(F.lower(strip(text_or_empty(title))), 1, 120)
+    title_key = F.lower(strip(text_or_empty(title)))
+    if title_chars is not None:
+        title_key = F.substring(title_key, 1, title_chars)
     by_title = F.concat(F.lit("tt:"), title_key, F.lit("|"), F.coalesce(year.cast("string"), F.lit("None")))
     return F.when(doi != "", F.concat(F.lit("doi:"), doi)).otherwise(by_title)
 
@@ -223,11 +226,12 @@ def source_key(c: Column) -> Column:
     return F.lower(strip(text_or_empty(c)))
 
 
-def elements(c: Column, limit: int = 4) -> Column:
+def elements(c: Column, limit: int | None = None) -> Column:
     """Distinct known chemical symbols in order of appearance."""
     found = F.regexp_extract_all(text_or_empty(c), F.lit(r"(?U)\b([A-Z][a-z]?)\b"), F.lit(1))
     known = F.filter(found, lambda x: x.isin(vocab.ELEMENTS))
-    return F.slice(F.array_distinct(known), 1, limit)
+    distinct = F.array_distinct(known)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def citation_id(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scores as sc, text as tx, vocab
-from .ranking import first_row, top
+from .ranking import first_row, ordinal, top
 
 
 # ---- matching and import ----
@@ -48,19 +48,22 @@ def mark_candidates(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
         "already_added", F.col("existing_source_id").isNotNull())
 
 
-def select_imports(candidates: DataFrame, catalogue: DataFrame, max_import: int = 12) -> DataFrame:
+def select_imports(candidates: DataFrame, catalogue: DataFrame, max_import: int | None = None,
+                   title_chars: int | None = None) -> DataFrame:
     """Candidates (project_id, pos, title, content, reference, year ...) to be added: with
     title and content, not in the catalogue, the first of each reference (else title), and
-    the first ``max_import`` of a project. Adds import_rank."""
+    if the caller limits it the first ``max_import`` of a project. Adds import_rank."""
     title, content = tx.strip(tx.text_or_empty(F.col("title"))), tx.strip(tx.text_or_empty(F.col("content")))
     valid = candidates.filter((title != "") & (content != ""))
     fresh = match_existing(valid, catalogue).filter(F.col("existing_source_id").isNull()).drop("existing_source_id")
     key = F.coalesce(F.nullif(tx.source_key(F.col("reference")), F.lit("")), tx.source_key(F.col("title")))
     unique = first_row(fresh.withColumn("_key", key), ["project_id", "_key"], [F.col("pos")]).drop("_key")
-    return (
-        top(unique, ["project_id"], [F.col("pos")], max_import, "import_rank")
-        .withColumn("title", F.substring(title, 1, 400)).withColumn("content", content)
-    )
+    if max_import is None:
+        ranked = ordinal(unique, ["project_id"], "pos", "import_rank")
+    else:
+        ranked = top(unique, ["project_id"], [F.col("pos")], max_import, "import_rank")
+    kept = title if title_chars is None else F.substring(title, 1, title_chars)
+    return ranked.withColumn("title", kept).withColumn("content", content)
 
 
 def validate_sources(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +86,7 @@ def search_sources(sources: DataFrame, query: str, limit: int = 6) -> DataFrame:
     hit = F.lit(False)
     for c in ("title", "content", "authors", "reference"):
         hit = hit | F.coalesce(F.col(c).ilike(f"%{needle}%"), F.lit(False))
-    return sources.filter(hit).orderBy(F.col("created_at").desc(), F.col("source_id").desc()).limit(max(1, min(limit, 10)))
+    return sources.filter(hit).orderBy(F.col("created_at").desc(), F.col("source_id").desc()).limit(max(1, limit))
 
 
 def newest_first(rows: DataFrame, id_column: str) -> DataFrame:
@@ -203,17 +206,19 @@ def normalize_reviews(reviews: DataFrame) -> DataFrame:
 
 # ---- changes ----
 
-def sync_metrics(projects: DataFrame, metrics: DataFrame, default_name: str = "Метрика эффективности") -> tuple[DataFrame, DataFrame]:
+def sync_metrics(projects: DataFrame, metrics: DataFrame, default_name: str = "Метрика эффективности",
+                 name_chars: int | None = None, value_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(projects, metrics) after the metric lists (project_id, metrics array<struct<name,
     unit, current, target>>) replaced those of their projects. Empty entries go, position
     is the place in the given list, kpi_metric is the first given name."""
     def short(c, n):
-        return F.substring(tx.strip(tx.text_or_empty(c)), 1, n)
+        whole = tx.strip(tx.text_or_empty(c))
+        return whole if n is None else F.substring(whole, 1, n)
 
     rows = metrics.select("project_id", F.posexplode("metrics").alias("position", "m")).select(
-        "project_id", F.col("position").cast("long").alias("position"), short(F.col("m.name"), 300).alias("name"),
-        short(F.col("m.unit"), 120).alias("unit"), short(F.col("m.current"), 120).alias("current_value"),
-        short(F.col("m.target"), 120).alias("target_value"))
+        "project_id", F.col("position").cast("long").alias("position"), short(F.col("m.name"), name_chars).alias("name"),
+        short(F.col("m.unit"), value_chars).alias("unit"), short(F.col("m.current"), value_chars).alias("current_value"),
+        short(F.col("m.target"), value_chars).alias("target_value"))
     rows = rows.filter(F.concat("name", "unit", "current_value", "target_value") != "")
     first_name = rows.filter(F.col("name") != "").groupBy("project_id").agg(F.min_by("name", "position").alias("_k"))
     given = metrics.select("project_id").distinct().withColumn("_g", F.lit(True))
@@ -225,10 +230,32 @@ def sync_metrics(projects: DataFrame, metrics: DataFrame, default_name: str = "
     return updated, named
 
 
+def _folded(maps: Column, kind: str) -> Column:
+    """One map from several: a later one overrides the keys it names."""
+    return F.aggregate(maps, F.create_map().cast(kind), lambda old, new: F.when(new.isNull(), old).otherwise(
+        F.map_zip_with(old, new, lambda k, a, b: F.when(F.map_contains_key(new, k), b).otherwise(a))))
+
+
+def fold_patches(patches: DataFrame, key: str) -> DataFrame:
+    """One patch per key. Patches apply in the order of ``pos``, if there is such a column."""
+    maps = {c: t for c, t in patches.dtypes if c in ("patch", "expert_scores")}
+    order = F.col("pos") if "pos" in patches.columns else F.lit(0)
+    # the lists are sorted by place; maps cannot be compared, so they follow in a list of the same order
+    rows = patches.select(key, order.alias("_o"), *maps)
+    listed = rows.groupBy(key).agg(F.collect_list(F.struct("_o", *maps)).alias("_all"))
+    sorted_ = F.array_sort("_all", lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0))
+    return listed.withColumn("_all", sorted_).select(key, *[
+        F.when(F.exists("_all", lambda x: x[c].isNotNull()), _folded(F.transform("_all", lambda x: x[c]), t)).alias(c)
+        for c, t in maps.items()])
+
+
 def patch_rows(base: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Set the listed fields that a patch (key, patch map<string,string>) names, null
-    included; years are parsed, other types are cast."""
-    joined = base.join(patches.select(key, "patch"), key, "left")
+    """Set the listed fields that the patches (key, patch map<string,string>, and pos if
+    their order matters) name, null included; years are parsed, other types are cast."""
+    return _patched(base.join(fold_patches(patches, key).select(key, "patch"), key, "left"), base, fields)
+
+
+def _patched(joined: DataFrame, base: DataFrame, fields: list[str], *more: str) -> DataFrame:
     out = []
     for f in base.schema.fields:
         if f.name not in fields:
@@ -238,7 +265,7 @@ def patch_rows(base: DataFrame, patches: DataFrame, key: str, fields: list[str])
         new = sc.parse_year(raw) if f.name == "year" else raw.try_cast(f.dataType)
         named = F.coalesce(F.map_contains_key("patch", F.lit(f.name)), F.lit(False))
         out.append(F.when(named, new).otherwise(F.col(f.name)).alias(f.name))
-    return joined.select(*out)
+    return joined.select(*out, *more)
 
 
 def patch_hypotheses(base: DataFrame, patches: DataFrame) -> DataFrame:
@@ -246,9 +273,8 @@ def patch_hypotheses(base: DataFrame, patches: DataFrame) -> DataFrame:
     A state outside the four is ignored; scores are clamped, null deletes one, other axes
     are ignored, and an empty score map becomes null."""
     texts = ["statement", "rationale", "mechanism", "validation", "expert_notes"]
-    renamed = patches.withColumnRenamed("expert_scores", "_new")
-    plain = patch_rows(base, renamed, "hypothesis_id", [c for c in texts if c in base.columns])
-    joined = plain.join(renamed.select("hypothesis_id", "patch", "_new"), "hypothesis_id", "left")
+    folded = fold_patches(patches, "hypothesis_id").withColumnRenamed("expert_scores", "_new")
+    joined = _patched(base.join(folded, "hypothesis_id", "left"), base, [c for c in texts if c in base.columns], "patch", "_new")
     state = F.try_element_at("patch", F.lit("status"))
     merged = F.map_filter(
         F.map_zip_with(

@@ -6,6 +6,8 @@ an equi-join on the corpus, so every passage meets only its own queries.
 
 from __future__ import annotations
 
+import decimal
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 QUERY_BLOCK_BYTES = 64 << 20
+TILE = 1024
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -36,39 +39,47 @@ def cosine(query: Column, passage: Column, query_norm: Column | None = None,
 
 
 def nearest(passages: DataFrame, queries: DataFrame, k: int,
-            block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+            block_bytes: int = QUERY_BLOCK_BYTES, tile: int = TILE) -> DataFrame:
     """The ``k`` nearest passages (pid, vector) of every query (query_id, vector) of one
     corpus: query_id, pid, dense.
 
-    Each Arrow batch of passages is multiplied with the matrix of queries and only the k
-    best of the running task are kept, so no table of all pairs exists anywhere. Queries
-    are shipped to the tasks in blocks of ``block_bytes`` at most; a larger query table
-    takes several passes.
+    Queries are read in order in blocks of ``block_bytes`` at most, a pass over the passages
+    for each; in a task ``tile`` queries at a time are multiplied with as many passages, and
+    only the k best of the task are kept, so neither a table nor a matrix of all pairs
+    exists anywhere. Rows without a vector take no part; a vector of another length than the
+    first query's is an error.
     """
-    first = queries.select(F.size("vector").alias("d")).limit(1).collect()
-    width = first[0]["d"] if first else 0
-    per_block = max(1, block_bytes // max(1, 8 * width))
-    rows = queries.count()
-    blocks = max(1, -(-rows // per_block))
-    parts = []
-    for number in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        parts.append(_nearest_block(passages, mine, k, 4 * per_block + 1024))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    parts: list[DataFrame] = []
+    block: list[tuple[int, list[float]]] = []
+    for row in queries.where("query_id is not null and vector is not null").select("query_id", "vector").toLocalIterator(prefetchPartitions=False):
+        block.append((row["query_id"], row["vector"]))
+        if 8 * len(block) * max(1, len(row["vector"])) >= block_bytes:
+            parts.append(_nearest_block(passages, block, k, tile))
+            block = []
+    if block or not parts:
+        parts.append(_nearest_block(passages, block, k, tile))
+    out = functools.reduce(DataFrame.unionByName, parts)
     from .ranking import top
 
     return top(out, ["query_id"], [F.col("dense").desc(), F.col("pid")], k, "dense_rank")
 
 
-def _nearest_block(passages: DataFrame, queries: DataFrame, k: int, bound: int) -> DataFrame:
-    block = queries.select("query_id", "vector").limit(bound + 1).toPandas()
-    if len(block) > bound:
-        raise ValueError("query block exceeds its size bound")
-    ids = block["query_id"].to_numpy(dtype=np.int64)
-    matrix = np.array(block["vector"].tolist(), dtype=np.float64).reshape(len(ids), -1)
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Four digits, half away from zero, as ``cosine`` rounds: by the shortest decimal form of a number."""
+    scaled = np.abs(x) * 1e4
+    low = np.floor(scaled)
+    near = np.abs(scaled - low - 0.5) < 1e-6
+    out = np.sign(x) * np.where(scaled - low >= 0.5, low + 1, low) / 1e4
+    for place in zip(*np.nonzero(near)):
+        out[place] = float(decimal.Decimal(repr(float(x[place]))).quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
+    return out
+
+
+def _nearest_block(passages: DataFrame, block: list[tuple[int, list[float]]], k: int, tile: int) -> DataFrame:
+    if len({len(v) for _, v in block}) > 1:
+        raise ValueError("query vectors differ in length")
+    ids = np.array([i for i, _ in block], np.int64)
+    matrix = np.array([v for _, v in block], np.float64).reshape(len(ids), -1)
     if len(ids):
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix = matrix / np.where(lengths == 0, 1.0, lengths)
@@ -76,26 +87,28 @@ def _nearest_block(passages: DataFrame, queries: DataFrame, k: int, bound: int)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, unit = shipped.value
-        kept = None
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if not len(batch) or not len(query_ids):
-                continue
-            vectors = np.array(batch["vector"].tolist(), dtype=np.float64)
-            vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
-            scores = np.round(unit @ vectors.T, 4)
-            pids = batch["pid"].to_numpy(dtype=np.int64)
-            ids_wide = np.broadcast_to(pids, scores.shape)
-            if kept is not None:
-                scores = np.hstack([kept[0], scores])
-                ids_wide = np.hstack([kept[1], ids_wide])
-            order = np.lexsort((ids_wide, -scores), axis=1)[:, :k]
-            kept = (np.take_along_axis(scores, order, 1), np.take_along_axis(ids_wide, order, 1))
-        if kept is not None:
-            count = kept[0].shape[1]
+            for start in range(0, len(batch) if len(query_ids) else 0, tile):
+                part = batch.iloc[start: start + tile]
+                if any(len(v) != unit.shape[1] for v in part["vector"]):
+                    raise ValueError("a passage vector differs in length from the queries")
+                vectors = np.array(part["vector"].tolist(), dtype=np.float64)
+                vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
+                pids = part["pid"].to_numpy(dtype=np.int64)
+                for q in range(0, len(unit), tile):
+                    scores = half_up(unit[q: q + tile] @ vectors.T)
+                    ids_wide = np.broadcast_to(pids, scores.shape)
+                    if q in kept:
+                        scores, ids_wide = np.hstack([kept[q][0], scores]), np.hstack([kept[q][1], ids_wide])
+                    order = np.lexsort((ids_wide, -scores), axis=1)[:, :k]
+                    kept[q] = (np.take_along_axis(scores, order, 1), np.take_along_axis(ids_wide, order, 1))
+        for q, (scores, pids) in kept.items():
             yield pd.DataFrame({
-                "query_id": np.repeat(query_ids, count),
-                "pid": kept[1].ravel(),
-                "dense": kept[0].ravel() + 0.0,
+                "query_id": np.repeat(query_ids[q: q + tile], scores.shape[1]),
+                "pid": pids.ravel(),
+                "dense": scores.ravel() + 0.0,
             })
 
-    return passages.select("pid", "vector").mapInPandas(best, "query_id long, pid long, dense double")
+    return (passages.where("pid is not null and vector is not null").select("pid", "vector")
+            .mapInPandas(best, "query_id long, pid long, dense double"))

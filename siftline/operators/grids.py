@@ -8,7 +8,6 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from .ranking import ordinal, top
 
-CSV_ROWS, SHEET_ROWS = 10_000, 5_000
 _SHEET = ["doc", "sheet"]
 
 
@@ -83,9 +82,9 @@ def headers(grid: DataFrame, flags: DataFrame) -> DataFrame:
         F.when(F.col("_k") == 1, F.col("_h")).otherwise(F.concat_ws(" ", "_h", F.col("_k").cast("string"))).alias("header"))
 
 
-def row_maps(grid: DataFrame, flags: DataFrame, heads: DataFrame, cap: int | None = SHEET_ROWS) -> DataFrame:
+def row_maps(grid: DataFrame, flags: DataFrame, heads: DataFrame, cap: int | None = None) -> DataFrame:
     """doc, sheet, row (1-based data row), values map<header,value>; the first ``cap``
-    data rows of a sheet. Where two columns end up with the same header, the last wins."""
+    data rows of a sheet, if it is given. Where two columns end up with the same header, the last wins."""
     data = grid.drop("width", "height").join(
         flags.select(*_SHEET, F.col("has_header").cast("int").alias("_skip")), _SHEET)
     data = data.withColumn("row", F.col("row") - F.col("_skip")).filter(F.col("row") >= 1)

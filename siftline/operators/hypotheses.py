@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+import itertools
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scores as sc, text as tx, vocab
 from .ranking import score_rank, top
 
+# Weightings that travel together as one array.
+WEIGHTINGS = 1000
+
 _HYPOTHESIS = (
     "struct<statement:string,goal_link:string,rationale:string,mechanism:string,validation:string,"
     "evidence:array<struct<source_id:string,title:string,snippet:string,relevance:string>>,tags:array<string>,"
@@ -96,8 +102,8 @@ def rank(hypotheses: DataFrame, keys: list[str], weights: DataFrame | None = Non
     """Adds composite and rank per group of ``keys``.
 
     ``weights`` (weighting_id, four weights) is a small table of what-if weightings; every
-    hypothesis is ranked under each of them in one job. Its rows travel as one array, so
-    no row-by-row product with the hypotheses is planned.
+    hypothesis is ranked under each of them. They travel as arrays of ``WEIGHTINGS`` at
+    most, so a longer table takes more passes and no product of tables is planned.
     """
     rows = effective_scores(hypotheses)
     eff = {a: F.col(f"eff_{a}") for a in vocab.AXES}
@@ -105,12 +111,14 @@ def rank(hypotheses: DataFrame, keys: list[str], weights: DataFrame | None = Non
         rows = rows.withColumn("composite", sc.composite(eff))
     else:
         fields = F.struct("weighting_id", *[F.col(a).cast("double").alias(a) for a in vocab.AXES])
-        grid = weights.limit(10_001).select(fields.alias("w")).collect()
-        if len(grid) > 10_000:
-            raise ValueError("more than 10000 weightings; rank them in several calls")
-        items = F.array(*[F.struct(F.lit(g.w["weighting_id"]).alias("weighting_id"),
-                                   *[F.lit(g.w[a]).cast("double").alias(a) for a in vocab.AXES]) for g in grid])
-        rows = rows.withColumn("_w", F.explode(items))
+        read = weights.select(fields.alias("w")).toLocalIterator()
+        parts = []
+        while grid := list(itertools.islice(read, WEIGHTINGS)):
+            items = F.array(*[F.struct(F.lit(g.w["weighting_id"]).alias("weighting_id"),
+                                       *[F.lit(g.w[a]).cast("double").alias(a) for a in vocab.AXES]) for g in grid])
+            parts.append(rows.withColumn("_w", F.explode(items)))
+        none = rows.withColumn("_w", F.explode(F.array().cast(T.ArrayType(weights.select(fields.alias("w")).schema["w"].dataType))))
+        rows = functools.reduce(DataFrame.unionAll, parts) if parts else none
         rows = rows.withColumn("weighting_id", F.col("_w.weighting_id")).withColumn(
             "composite", sc.composite(eff, {a: F.col(f"_w.{a}") for a in vocab.AXES})).drop("_w")
         keys = ["weighting_id", *keys]
@@ -141,26 +149,35 @@ def report_summary(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- expert feedback ----
 
-# How many entries of a bucket the model sees, and their headings.
+# Headings of the buckets.
 FEEDBACK = [
-    ("confirmed", 8, "ПОДТВЕРЖДЕНЫ экспертом — развивай и усиливай эти направления, предлагай их вариации и следующие шаги:"),
-    ("refuted", 8, "ОПРОВЕРГНУТЫ/ОТКЛОНЕНЫ экспертом — НЕ повторяй эти идеи; если предлагаешь близкое, устрани указанную причину:"),
-    ("reviewed", 6, "НА ПРОВЕРКЕ / с замечаниями эксперта — учти замечания:"),
+    ("confirmed", "ПОДТВЕРЖДЕНЫ экспертом — развивай и усиливай эти направления, предлагай их вариации и следующие шаги:"),
+    ("refuted", "ОПРОВЕРГНУТЫ/ОТКЛОНЕНЫ экспертом — НЕ повторяй эти идеи; если предлагаешь близкое, устрани указанную причину:"),
+    ("reviewed", "НА ПРОВЕРКЕ / с замечаниями эксперта — учти замечания:"),
 ]
 FEEDBACK_TITLE = "ОБРАТНАЯ СВЯЗЬ ЭКСПЕРТА ПО ПРЕДЫДУЩИМ ГИПОТЕЗАМ (учитывай обязательно):"
 
 
-def feedback(hypotheses: DataFrame) -> DataFrame:
-    """project_id, bucket, n, statement, note: the newest judged hypotheses."""
+def feedback(hypotheses: DataFrame, limits: dict[str, int] | None = None, statement_chars: int | None = None) -> DataFrame:
+    """project_id, bucket, n, statement, note: the judged hypotheses, newest first; if the
+    caller limits them, the first ``limits[bucket]`` and statements cut to a length."""
     note = tx.strip(tx.text_or_empty(F.col("expert_notes")))
     bucket = (F.when(F.col("status") == "accepted", "confirmed").when(F.col("status") == "rejected", "refuted")
               .when((F.col("status") == "review") | (note != ""), "reviewed"))
     rows = hypotheses.select("project_id", "hypothesis_id", "created_at", bucket.alias("bucket"),
-                             F.substring(tx.strip(tx.text_or_empty(F.col("statement"))), 1, 220).alias("statement"), note.alias("note"))
+                             _cut_to(tx.strip(tx.text_or_empty(F.col("statement"))), statement_chars).alias("statement"), note.alias("note"))
     newest = [F.col("created_at").desc(), F.col("hypothesis_id").desc()]
-    most = max(n for _, n, _ in FEEDBACK)
-    limits = F.when(F.col("bucket") == "reviewed", 6).otherwise(8)
-    return top(rows.filter(F.col("bucket").isNotNull()), ["project_id", "bucket"], newest, most, "n").filter(F.col("n") <= limits)
+    judged = rows.filter(F.col("bucket").isNotNull())
+    if limits is None:
+        return score_rank(judged.withColumn("_i", -F.col("hypothesis_id")), ["project_id", "bucket"], "created_at", "_i", "n").drop("_i")
+    most = F.lit(0)
+    for name, limit in limits.items():
+        most = F.when(F.col("bucket") == name, limit).otherwise(most)
+    return top(judged, ["project_id", "bucket"], newest, max(limits.values(), default=0), "n").filter(F.col("n") <= most)
+
+
+def _cut_to(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.substring(c, 1, chars)
 
 
 def _in_bucket(name: str):
@@ -173,7 +190,7 @@ def feedback_block(entries: DataFrame) -> DataFrame:
     sorted_lines = F.array_sort(F.collect_list(F.struct("bucket", "n", line.alias("line"))))
     grouped = entries.groupBy("project_id").agg(sorted_lines.alias("e"))
     parts = [F.lit(FEEDBACK_TITLE)]
-    for name, _, heading in FEEDBACK:
+    for name, heading in FEEDBACK:
         mine = F.filter("e", _in_bucket(name))
         lines = F.transform(mine, lambda x: x["line"])
         parts.append(F.when(F.size(lines) > 0, F.concat(F.lit(heading + "\n"), F.array_join(lines, "\n"))))

@@ -55,10 +55,13 @@ def score_rank(df: DataFrame, keys: list[str], score: str, index: str, out: str,
         .select(*keys, score, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     )
     inside = W.partitionBy(*keys, score, "_b").orderBy(index)
+    # keys and score may be null: such rows form a group and come last in it
+    named = offsets.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate([*keys, score, "_b"])], "_o")
+    same = [F.col(c).eqNullSafe(F.col(f"_j{i}")) for i, c in enumerate([*keys, score, "_b"])]
     return (
-        rows.join(offsets, [*keys, score, "_b"])
+        rows.join(named, same)
         .withColumn(out, F.row_number().over(inside) + F.col("_o"))
-        .drop("_b", "_o")
+        .drop("_b", "_o", *[f"_j{i}" for i in range(len(same))])
     )
 
 

@@ -53,11 +53,12 @@ def summary_with_fallbacks(text: Column, titles: Column, is_dataset: Column, she
                       good(tx.summary_fragment(first_section)), F.get(blocks, F.lit(0)))
 
 
-def summary_blocks(parts: DataFrame) -> DataFrame:
+def summary_blocks(parts: DataFrame, key_chars: int | None = None) -> DataFrame:
     """parts (document_id, pos, title, text) -> distinct blocks, numbered from 1.
 
     A block gets its title in front unless its first 220 characters hold it already; two
-    blocks whose first 320 characters have the same letters and digits count once.
+    blocks with the same letters and digits (of their first ``key_chars`` characters, if
+    the caller says so) count once.
     """
     body = tx.collapse(F.col("text"))
     letters = F.length(F.regexp_replace(body, r"[^\p{L}]", ""))
@@ -67,7 +68,7 @@ def summary_blocks(parts: DataFrame) -> DataFrame:
                    tx.collapse(F.concat_ws(" ", title, body))).otherwise(body)
     blocks = parts.filter((F.length(body) >= 40) | (letters >= 12)).select(
         "document_id", "pos", block.alias("block"))
-    keyed = blocks.withColumn("_key", tx.summary_key(F.substring("block", 1, 320))).filter(F.col("_key") != "")
+    keyed = blocks.withColumn("_key", tx.summary_key(F.col("block") if key_chars is None else F.substring("block", 1, key_chars))).filter(F.col("_key") != "")
     unique = first_row(keyed, ["document_id", "_key"], [F.col("pos")]).drop("_key")
     return ordinal(unique, ["document_id"], "pos", "number")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,28 +27,34 @@ def build_session(master: str | None = None, app: str = "siftline", **conf) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors must share. A session of one
+    machine without that setting (tests) gets a fresh temporary folder; elsewhere such a
+    folder would be lost with its machine, so the setting is required."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="siftline-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder the cluster names in
     spark.checkpoint.dir and read it back.
 
     Used where several branches need an expensive result: the plan is not computed once
     per branch, the copy survives lost executors, stays columnar and has a known size.
-    A local session without that setting (tests) gets a fresh temporary folder; on a
-    cluster such a folder would be lost with its machine, so the setting is required.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="siftline-")
+    folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/siftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that has far fewer partitions than there are cores (one small
-    file); an input with enough partitions is left alone, so nothing large is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    """``df`` in as many partitions as the session setting siftline.input.partitions says;
+    without it (on clusters, whose files have enough parts) ``df`` as it is."""
+    wanted = df.sparkSession.conf.get("siftline.input.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df

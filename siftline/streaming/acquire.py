@@ -20,7 +20,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CATALOGUE + ", batch long")
 
 
-def start(spark: SparkSession, records: DataFrame, path: str, checkpoint: str, max_import: int = 12) -> StreamingQuery:
+def start(spark: SparkSession, records: DataFrame, path: str, checkpoint: str, max_import: int | None = None) -> StreamingQuery:
     """``records``: a stream of project_id, pos, title, year, reference, content."""
     def step(batch: DataFrame, number: int) -> None:
         known = read_catalogue(spark, path).filter(F.col("batch") != number)
