@@ -57,8 +57,8 @@ def gram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[list[tuple[n
             full |= part > 0
             value = value * np.uint32(0x01000193) + part * _FACTORS[k] + np.uint32(n)
         value = (value ^ (value >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        # an n-gram belongs to the text in which it starts; those over the next text's blank are left out
-        last = starts + lengths + 1 - n
+        # an n-gram belongs to the text in which it starts; those that go on in the next text are left out
+        last = starts + lengths + 2 - n
         inside = np.zeros(size + 1, np.int32)
         np.add.at(inside, np.minimum(starts, size), 1)
         np.add.at(inside, np.clip(np.maximum(last, starts), 0, size), -1)
