@@ -87,6 +87,11 @@ class NgramTable:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
+    def with_entries(self, hashes: np.ndarray, log_prob: np.ndarray) -> NgramTable:
+        both = np.concatenate([self.hashes, hashes])
+        by = np.argsort(both)
+        return NgramTable(both[by], np.concatenate([self.log_prob, log_prob])[by], np.concatenate([self.log_backoff, np.zeros(len(hashes))])[by])
+
 
 def _hashed(values: np.ndarray) -> np.ndarray:
     """An odd multiple modulo 2 ** 32: different n-grams of one order have different hashes."""
@@ -127,9 +132,12 @@ class KneserNey:
             prob = (c - discount) / total[place] + weight[place] * shorter
             if n > 1:
                 held = tables[-1]
-                at, found = held.find(_hashed(context))
-                held.log_backoff[at[found]] = np.log(weight[found])
-                # contexts never seen as an n-gram themselves (they end a text) back off with all their weight
+                # a context that ends no n-gram (only texts begin with it) gets the probability that it has anyway
+                missing = context[~held.find(_hashed(context))[1]]
+                if len(missing):
+                    held = tables[-1] = held.with_entries(_hashed(missing), KneserNey(tables).log_probability(missing))
+                at, _ = held.find(_hashed(context))
+                held.log_backoff[at] = np.log(weight)
             else:
                 full = np.full(SYMBOLS, weight[0] / SYMBOLS)
                 full[own] = prob
