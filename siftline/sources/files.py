@@ -20,6 +20,12 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return with_names(files)
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, name, file_type, modified, length: as ``scan_files``, without reading a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return with_names(files.select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))).drop("content")
+
+
 def with_names(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)\z", 1)
     return files.select("path", name.alias("name"), tx.file_type(name).alias("file_type"),

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import hypotheses as hy
+from ..session import cut_lineage
 
+#: Folders of a table whose rows are replaced by document.
+BUCKETS = 64
 
-def write_csv(ranked: DataFrame, path: str, single_file: bool = False) -> None:
-    """The CSV export in rank order. A single file opens with a byte order mark, so that
-    spreadsheets read Cyrillic; it is meant for one project's report."""
-    rows = hy.csv_rows(ranked)
-    if not single_file:
-        rows.orderBy("rank").write.mode("overwrite").csv(path, header=True, escape='"')
+
+def write_csv(ranked: DataFrame, path: str, project_id: str | None = None) -> None:
+    """The CSV export in rank order, a folder per project. For one project (``project_id``)
+    a report is written straight into ``path`` with a byte order mark at the head of each
+    file, so that spreadsheets read Cyrillic."""
+    if project_id is None:
+        rows = hy.csv_rows(ranked, ["project_id"])
+        (rows.repartitionByRange("project_id", "rank").sortWithinPartitions("project_id", "rank")
+            .write.mode("overwrite").partitionBy("project_id").csv(path, header=True, escape='"'))
         return
+    rows = hy.csv_rows(ranked.filter(F.col("project_id") == project_id))
     header = "\ufeff" + rows.columns[0]
-    (rows.withColumnRenamed(rows.columns[0], header).coalesce(1).sortWithinPartitions(F.col(f"`{header}`"))
+    (rows.withColumnRenamed(rows.columns[0], header).repartitionByRange(F.col(f"`{header}`")).sortWithinPartitions(F.col(f"`{header}`"))
         .write.mode("overwrite").csv(path, header=True, escape='"'))
 
 
@@ -38,6 +45,36 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
 
+def read_bucketed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that ``replace_documents`` keeps below ``path``; none if there is no such table yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path).where("document_id is not null").drop("bucket").to(spark.createDataFrame([], schema).schema)
+
+
+def replace_documents(rows: DataFrame | None, parsed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace the rows of the documents in ``parsed`` (document_id) by ``rows``, also by
+    none. Documents are hashed to a fixed number of folders and only those of ``parsed``
+    are written again; doing it twice changes nothing."""
+    spark = parsed.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    ids = cut_lineage(parsed.select("document_id").distinct())
+    touched = ids.select(bucket.alias("bucket")).distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    if rows is None and not exists:
+        return
+    new = rows.withColumn("bucket", bucket) if rows is not None else None
+    if exists:
+        old = spark.read.parquet(path).where("document_id is not null")
+        kept = old.join(touched, "bucket", "left_semi").join(ids, "document_id", "left_anti")
+        new = kept if new is None else kept.unionByName(new, allowMissingColumns=True)
+    # a folder that loses all its rows must be written too
+    full = cut_lineage(new.unionByName(touched, allowMissingColumns=True))
+    (full.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
 def replace_partitions(rows: DataFrame, path: str, key: str) -> None:
     """Overwrite only the partitions of ``key`` that occur in ``rows``; others stay. A
     repeated write gives the same table."""

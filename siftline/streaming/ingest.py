@@ -1,44 +1,97 @@
-"""A drop folder: new text files become sections and chunks as they arrive."""
+"""A drop folder: text and delimited files become sections, tables and chunks as they arrive or change."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import catalog, chunks, sections
+from ..operators import catalog, chunks, grids, sections
+from ..session import cut_lineage
 from ..sources import files as fs
-from ..sources.sinks import replace_partitions
+from ..sources.sinks import read_bucketed, replace_documents
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: Types whose bytes are parsed here. Pages, paragraphs and cells of other types come in as tables.
+PARSED = ("txt", "csv")
+#: Rows of a table that its chunk shows.
+SAMPLE_ROWS = 3
+
+
+def delimited_tables(decoded: DataFrame) -> DataFrame:
+    """document_id, table_order, name, sheet_name, columns, row_count, sample of decoded
+    delimited files (path, name, text); files without a value give no row."""
+    grid = grids.trim_grid(fs.delimited_cells(decoded))
+    flags = grids.header_flags(grid)
+    heads = grids.headers(grid, flags)
+    names = heads.groupBy("doc").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("col", "header"))), lambda s: s["header"]).alias("columns"))
+    rows = grids.row_maps(grid, flags, heads, cap=SAMPLE_ROWS)
+    sample = rows.groupBy("doc").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("row", grids.json_row(F.col("values")).alias("json")))), lambda s: s["json"]).alias("sample"))
+    none = F.array().cast("array<string>")
+    return (
+        decoded.select(F.col("path").alias("doc"), "name").join(flags.select("doc", "height", "has_header"), "doc")
+        .join(names, "doc").join(sample, "doc", "left")
+        .select(F.col("doc").alias("document_id"), F.lit(1).alias("table_order"), "name", F.lit(None).cast("string").alias("sheet_name"),
+                "columns", (F.col("height") - F.col("has_header").cast("int")).cast("long").alias("row_count"),
+                F.coalesce("sample", none).alias("sample")))
 
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks, log) of files (path, name, file_type, content); used by batch and stream."""
-    decoded = fs.decode(files.filter(F.col("file_type") == "txt"))
-    texts = decoded.filter(F.col("error").isNull()).select(F.col("path").alias("document_id"), "text")
-    found = sections.text_sections(texts).select(
+    """(chunks, log) of files (path, name, file_type, content); used by batch and stream.
+    A type that has no parser is logged ``unsupported``, never ``parsed``."""
+    decoded = cut_lineage(fs.decode(files.filter(F.col("file_type").isin(*PARSED))))
+    good = decoded.filter(F.col("error").isNull())
+    texts = good.filter(F.col("file_type") == "txt").select(F.col("path").alias("document_id"), "text")
+    tables = cut_lineage(delimited_tables(good.filter(F.col("file_type") == "csv")))
+    about = tables.select(
+        "document_id", F.lit(1).cast("long").alias("section_order"), F.col("name").alias("title"),
+        F.format_string("CSV '%s' contains %d data rows and %d columns.", "name", "row_count", F.size("columns")).alias("text"))
+    found = sections.text_sections(texts).unionByName(about).select(
         "*", F.lit(None).cast("int").alias("page_from"), F.lit(None).cast("int").alias("page_to"))
-    no_tables = files.sparkSession.createDataFrame(
-        [], "document_id string, table_order int, name string, sheet_name string, columns array<string>, row_count long, sample array<string>")
-    blank = F.when(F.trim("text") == "", F.array(F.lit("TXT contains no extractable text")))
-    outcome = decoded.select(F.col("path").alias("document_id"), blank.alias("warnings"), "error")
-    log = catalog.parse_log(files.select(F.col("path").alias("document_id"), "file_type"), outcome)
-    return chunks.document_chunks(found, no_tables), log
+    empty = decoded.join(tables.select(F.col("document_id").alias("path"), F.lit(True).alias("_rows")), "path", "left")
+    blank = (F.when((F.col("file_type") == "txt") & (F.trim("text") == ""), F.array(F.lit("TXT contains no extractable text")))
+             .when((F.col("file_type") == "csv") & F.col("_rows").isNull(), F.array(F.lit("CSV contains no rows"))))
+    outcome = empty.select(F.col("path").alias("document_id"), blank.alias("warnings"), "error")
+    kind = F.when(F.col("file_type").isin(*PARSED), F.col("file_type")).otherwise("none")
+    log = catalog.parse_log(files.select(F.col("path").alias("document_id"), kind.alias("file_type")), outcome)
+    return chunks.document_chunks(found, tables), log
+
+
+def apply(files: DataFrame, target: str) -> None:
+    """Parse ``files`` and replace what ``target`` holds of them: also chunks of which the
+    new version has none."""
+    rows, log = parse_files(files)
+    parsed = files.select(F.col("path").alias("document_id"))
+    replace_documents(rows, parsed, f"{target}/chunks")
+    replace_documents(log, parsed, f"{target}/log")
 
 
-def _partition_of(path):
-    return F.lower(F.hex(F.xxhash64(path)))
+def sync(spark: SparkSession, folder: str, target: str) -> int:
+    """Bring ``target`` up to date with a folder: files that are new or whose size or time
+    differ from the manifest are parsed again, chunks of removed files go. Only names,
+    sizes and times of the other files are read. Returns the number of files it handled."""
+    listed = cut_lineage(fs.list_files(spark, folder))
+    known = read_bucketed(spark, f"{target}/manifest", "document_id string, modified timestamp, length long")
+    manifest = known.withColumnRenamed("document_id", "path")
+    changed = cut_lineage(fs.changed_files(listed, manifest).select("path"))
+    gone = cut_lineage(fs.removed_files(listed, manifest).select(F.col("path").alias("document_id")))
+    number = changed.count() + gone.count()
+    if number:
+        apply(fs.scan_files(spark, folder).join(changed, "path", "left_semi"), target)
+        for name in ("chunks", "log"):
+            replace_documents(None, gone, f"{target}/{name}")
+        now = listed.join(changed, "path", "left_semi").select(F.col("path").alias("document_id"), "modified", "length")
+        replace_documents(now, changed.select(F.col("path").alias("document_id")).union(gone), f"{target}/manifest")
+    return number
 
 
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, **options) -> StreamingQuery:
-    """Follow ``folder``. Chunks and log are partitioned by document and overwritten by
-    document, so a replayed batch or a new version of a file leaves one copy."""
+    """Follow ``folder`` for new files. A replayed batch leaves one copy. The file source
+    knows files by path; changed ones are found by ``sync``."""
     stream = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).options(**options).load(folder)
 
     def step(batch: DataFrame, _number: int) -> None:
-        named = fs.with_names(batch)
-        rows, log = parse_files(named)
-        replace_partitions(rows.withColumn("doc", _partition_of("document_id")), f"{target}/chunks", "doc")
-        replace_partitions(log.withColumn("doc", _partition_of("document_id")), f"{target}/log", "doc")
+        apply(fs.with_names(batch), target)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
