@@ -283,3 +283,60 @@ def test_composite_grows_with_each_good_axis(spark):
     got = [r["composite"] for r in hy.rank(df, ["project_id"]).orderBy("hypothesis_id").collect()]
     assert got == sorted(got) and got[0] < got[-1]
     assert set(vocab.AXES) <= set(df.columns)
+
+
+def test_nothing_is_cut_by_default(spark):
+    """More of everything than the limits that callers may pass."""
+    from siftline.functions import text as tx
+
+    lines = spark.createDataFrame([("d", k, f"n{k},{k}" if k else "name,value") for k in range(6002)], "doc string, pos long, text string")
+    grid = grids.trim_grid(grids.split_lines(lines, grids.delimiter_votes(lines)))
+    flags = grids.header_flags(grid)
+    heads = grids.headers(grid, flags)
+    assert grids.row_maps(grid, flags, heads).count() == 6001 and grids.row_maps(grid, flags, heads, cap=7).count() == 7
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(tx.detect_language(F.lit("привет " * 3000 + "hello " * 30000))) == "en"
+    assert one(tx.detect_language(F.lit("привет " * 3000 + "hello " * 30000), first=20000)) == "ru"
+    refs = F.lit(" ".join(f"https://a.b/{k}" for k in range(40)))
+    assert len(one(tx.references(refs))) == 40 and len(one(tx.references(refs, 25))) == 25
+    assert one(tx.elements(F.lit("Fe Ni Cu Al Zn Fe"))) == ["Fe", "Ni", "Cu", "Al", "Zn"]
+    long = "t" * 130
+    none = F.lit(None).cast("int")
+    assert one(tx.dedupe_key(F.lit(""), F.lit(long + "a"), none)) != one(tx.dedupe_key(F.lit(""), F.lit(long + "b"), none))
+    found = spark.createDataFrame([(1, k, f"T{k}" + "x" * 500, "c", None, None) for k in range(40)],
+                                  "project_id long, pos long, title string, content string, reference string, year int")
+    empty = spark.createDataFrame([], "project_id long, source_id long, title string, year int, reference string")
+    rows = catalog.select_imports(found, empty).collect()
+    assert sorted(r["import_rank"] for r in rows) == list(range(1, 41)) and all(len(r["title"]) > 500 for r in rows)
+    assert catalog.select_imports(found, empty, max_import=12, title_chars=400).count() == 12
+
+
+def test_patches_of_one_row_apply_in_turn(spark):
+    base = spark.createDataFrame([(1, "a", "b", 2000), (2, "c", "d", None)], "source_id long, title string, content string, year int")
+    patches = spark.createDataFrame([(1, 2, {"title": "second", "year": "1999"}), (1, 1, {"title": "first", "content": None})],
+                                    "source_id long, pos int, patch map<string,string>")
+    rows = sorted(map(tuple, catalog.patch_rows(base, patches, "source_id", ["title", "content", "year"]).collect()))
+    assert rows == [(1, "second", None, 1999), (2, "c", "d", None)]
+
+
+def test_dense_search_in_tiles_with_nulls(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(90, 5)).round(2)
+    passages = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(500, None)], "pid long, vector array<double>")
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors[:17])] + [(99, None)], "query_id long, vector array<double>")
+    whole = sorted(map(tuple, dense.nearest(passages, queries, 3).collect()))
+    assert whole == sorted(map(tuple, dense.nearest(passages, queries, 3, block_bytes=200, tile=4).collect())) and len(whole) == 51
+    for q in range(17):
+        scores = sorted(((-float(dense.half_up(np.array([[vectors[q] @ v / np.linalg.norm(vectors[q]) / (np.linalg.norm(v) + 1e-9)]]))[0, 0]), p) for p, v in enumerate(vectors)))[:3]
+        assert [(p, -s) for s, p in scores] == [(r[1], r[2]) for r in sorted((w for w in whole if w[0] == q), key=lambda r: (-r[2], r[1]))]
+    ragged = passages.union(spark.createDataFrame([(7, [1.0])], "pid long, vector array<double>"))
+    with pytest.raises(Exception, match="differs in length"):
+        dense.nearest(ragged, queries, 3).collect()
+
+
+def test_ranks_of_null_scores(spark):
+    rows = spark.createDataFrame([("a", None, 3), ("a", 1.0, 2), ("a", None, 1), (None, None, 4)], "k string, s double, i long")
+    got = {(r["k"], r["i"]): r["n"] for r in score_rank(rows, ["k"], "s", "i", "n").collect()}
+    assert got == {("a", 2): 1, ("a", 1): 2, ("a", 3): 3, (None, 4): 1}
