@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as tx, vocab
 from siftline.operators import chunks, summaries
+from siftline.operators.ranking import ordinal
+from siftline.plans import sources
 from . import Registry, table
 from .sqltext import collapse, lang, letters, summary_key, tokens, words
 
@@ -353,6 +355,35 @@ def passage_assembly(spark, folder):
         "kind", "source_id", F.when(F.col("_c"), F.col("n")).alias("passages"), F.when(F.col("_c"), F.col("c")).alias("chars"))
 
 
+@registry.add(f"""
+WITH RECURSIVE src AS (SELECT doc_id, doc_id % 20 AS project, doc_id % 3 AS kind FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0),
+ch AS (SELECT conv_id AS doc_id, turn AS chunk, CASE WHEN position(lower(role || ' / page ' || (turn + 1)) IN lower(substr(body, 1, length(role || ' / page ' || (turn + 1)) + 40))) = 0
+         THEN role || ' / page ' || (turn + 1) || '. ' || body ELSE body END AS text FROM (SELECT conv_id, turn, role, {_C} AS body FROM conversations) WHERE body <> ''),
+t AS (SELECT doc_id, {_BODY} AS x, CAST(0 AS BIGINT) AS s FROM documents JOIN src USING (doc_id) WHERE kind <> 1 OR doc_id NOT IN (SELECT conv_id FROM conversations)),
+w AS ({_PASSAGE_STEP.format(src='t')}
+  UNION ALL {_PASSAGE_STEP.format(src='(SELECT doc_id, x, greatest(e - 150, s + 1) AS s FROM w WHERE e < length(x))')}),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk, trim(substr(x, s + 1, e - s)) AS text FROM w
+  UNION ALL SELECT doc_id, chunk, text FROM ch JOIN src USING (doc_id) WHERE kind = 1)
+SELECT project AS corpus, ['source', 'document', 'library'][kind + 1] || ':' || doc_id AS source_key, chunk, md5(text) AS body,
+       row_number() OVER (PARTITION BY project ORDER BY kind, doc_id, chunk) AS place
+FROM pieces JOIN src USING (doc_id)""")
+def project_retrieval(spark, folder):
+    """Sources of three kinds in twenty projects; the chunks of parsed documents are turns
+    of conversations, and every odd document is not parsed yet."""
+    rows = _docs(spark, folder).select(
+        (F.col("doc_id") % 20).alias("project_id"), F.col("doc_id").alias("source_id"), F.col("doc_id").alias("position"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), (F.col("doc_id") % 3).alias("_k"))
+    manual, library = (rows.where(F.col("_k") == k).drop("_k") for k in (0, 2))
+    documents = rows.where("_k = 1").select(
+        "project_id", F.col("source_id").alias("document_id"), "position", "title", F.col("content").alias("raw_text"),
+        F.when(F.col("source_id") % 2 == 0, "parsed").otherwise("pending").alias("parse_status"))
+    turns = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("role").alias("section_title"),
+        (F.col("turn") + 1).cast("string").alias("page_ref"), "text")
+    out = sources.project_passages(sources.project_sources(manual, documents, library), turns)
+    return ordinal(out, ["corpus"], "pid", "place", width=1 << 44).select("corpus", "source_key", "chunk", F.md5("text").alias("body"), "place")
+
+
 @registry.add("""
 SELECT page_id, ext AS file_type, ext IN ('pdf', 'docx', 'xlsx', 'csv', 'txt', 'image') AS supported FROM (
   SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'doc' WHEN 3 THEN 'zip'

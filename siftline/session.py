@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as the session setting siftline.input.partitions says;
+    """``df`` in as many partitions as the session setting spark.siftline.inputPartitions says;
     without it (on clusters, whose files have enough parts) ``df`` as it is."""
-    wanted = df.sparkSession.conf.get("siftline.input.partitions", None)
+    wanted = df.sparkSession.conf.get("spark.siftline.inputPartitions", None)
     return df.repartition(int(wanted)) if wanted else df
