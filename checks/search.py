@@ -46,7 +46,7 @@ SELECT r.query_id, r.pid, r.bm25, r.rank, string_agg(w.term, ',' ORDER BY w.k) A
 FROM ranked r JOIN why w ON w.query_id = r.query_id AND w.pid = r.pid AND w.k <= 6
 WHERE r.rank <= 6 GROUP BY ALL""")
 def bm25_topk(spark, folder):
-    best = bm25.best(bm25.match_passages(_passages(spark, folder), _queries(spark, folder)))
+    best = bm25.scan_best(_passages(spark, folder), _queries(spark, folder))
     return best.select("query_id", "pid", "bm25", "rank", F.array_join("terms", ",").alias("terms"))
 
 

@@ -7,15 +7,25 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, vocab
 from .corpus import TermIndex, build_index
 from ..session import cut_lineage
+from .dense import half_up
 from .ranking import top
 
+# Query terms that are searched for together, and passages that are scored together.
+BLOCK_TERMS, TILE = 1 << 18, 1 << 12
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms of every query."""
@@ -88,3 +98,162 @@ def best(match: Match, k: int = vocab.TOP_K) -> DataFrame:
     """The k best passages of every query with their terms."""
     found = cut_lineage(top(score(match), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k))
     return explain(found, match)
+
+
+# ---- scan: nothing but statistics and winners leaves a task ----
+
+@dataclass(frozen=True)
+class _Block:
+    """Queries that are searched together: their terms, and for each (corpus, term) which
+    queries have it and with which weight."""
+
+    words: pa.Array  # different terms
+    corpora: dict  # corpus -> number
+    queries: np.ndarray  # query ids
+    offsets: np.ndarray  # of each corpus * words + term in the next two
+    query: np.ndarray
+    weight: np.ndarray
+    avg_len: np.ndarray  # of each corpus
+    query_corpus: np.ndarray
+
+
+def _tokens(passages: DataFrame) -> DataFrame:
+    return passages.select("corpus", "pid", tx.tokenize(F.col("text")).alias("tokens"))
+
+
+def _postings(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and frequency of every wanted word in the rows of a batch, and all lengths."""
+    lists = batch.column("tokens")
+    flat = lists.flatten()
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = flat.dictionary_encode()
+    place = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy()
+    word = place[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    wanted = word >= 0
+    key, tf = np.unique(row[wanted] * np.int64(max(len(words), 1)) + word[wanted], return_counts=True)
+    return key // max(len(words), 1), key % max(len(words), 1), tf, sizes
+
+
+def _statistics(tokens: DataFrame, words: pa.Array) -> DataFrame:
+    """corpus, word (number; -1 for the passages themselves), n, length: summed per task first."""
+    shipped = tokens.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            row, word, _, sizes = _postings(batch, shipped.value)
+            corpus = np.array(batch.column("corpus").to_pylist(), object)
+            for name in set(corpus):
+                mine = corpus == name
+                sums, total = found.setdefault(name, (np.zeros(len(shipped.value), np.int64), np.zeros(2, np.int64)))
+                sums += np.bincount(word[mine[row]], minlength=len(sums))
+                total += (mine.sum(), sizes[mine].sum())
+            if len(found) * (len(shipped.value) + 8) > 1 << 22:
+                yield from told(found)
+        yield from told(found)
+
+    def told(found: dict) -> Iterator[pa.RecordBatch]:
+        for name, (sums, total) in found.items():
+            full = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({
+                "corpus": [name] * (len(full) + 1), "word": np.r_[-1, full],
+                "n": np.r_[total[0], sums[full]], "length": np.r_[total[1], np.zeros(len(full), np.int64)]})
+        found.clear()
+
+    kind = tokens.schema["corpus"].dataType.simpleString()
+    return (tokens.mapInArrow(count, f"corpus {kind}, word long, n long, length long")
+            .groupBy("corpus", "word").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+
+
+def _winners(block, k: int, shown: int, k1: float, b: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = block.value
+        n, kept = len(own.words), {}
+        for whole in batches:
+            for start in range(0, len(whole), TILE):
+                batch = whole.slice(start, TILE)
+                row, word, tf, sizes = _postings(batch, own.words)
+                corpus = np.array([own.corpora.get(c, -1) for c in batch.column("corpus").to_pylist()], np.int64)
+                known = corpus[row] >= 0
+                row, word, tf = row[known], word[known], tf[known]
+                avg = own.avg_len[corpus[row]]
+                gains = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * sizes[row] / np.where(avg > 0, avg, 1.0)))
+                at = corpus[row] * n + word
+                count = np.where(avg > 0, own.offsets[at + 1] - own.offsets[at], 0)
+                ends = np.cumsum(count)
+                index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(own.offsets[at] - (ends - count), count)
+                query, part = own.query[index], own.weight[index] * np.repeat(gains, count)
+                row, word = np.repeat(row, count), np.repeat(word, count)
+                pair, place = np.unique(query * np.int64(TILE) + row, return_inverse=True)
+                score = half_up(np.bincount(place, part, minlength=len(pair))[None])[0]
+                pid = batch.column("pid").to_numpy()[pair % TILE]
+                order = np.lexsort((pid, -score, pair // TILE))
+                first = np.r_[True, np.diff((pair // TILE)[order]) > 0] if len(order) else np.zeros(0, bool)
+                rank = np.arange(len(order)) - np.repeat(np.flatnonzero(first), np.diff(np.r_[np.flatnonzero(first), len(order)]))
+                by_pair = np.argsort(place, kind="stable")
+                edges = np.searchsorted(place[by_pair], np.arange(len(pair) + 1))
+                for i in order[rank < k]:
+                    q = int(pair[i] // TILE)
+                    best_ = kept.setdefault(q, [])
+                    if len(best_) == k and (-score[i], pid[i]) >= best_[-1][:2]:
+                        continue
+                    mine = by_pair[edges[i]: edges[i + 1]]
+                    names = sorted((-float(part[j]), own.words[int(word[j])].as_py()) for j in mine)
+                    best_.append((-score[i], int(pid[i]), [w for _, w in names[:shown]]))
+                    best_.sort(key=lambda x: x[:2])
+                    del best_[k:]
+        rows = [(int(own.queries[q]), pid, -s, terms) for q, found in kept.items() for s, pid, terms in found]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+            pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
+            names=["query_id", "pid", "bm25", "terms"])
+
+    return run
+
+
+def scan_best(passages: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, shown: int = 6,
+              k1: float = vocab.BM25_K1, b: float = vocab.BM25_B) -> DataFrame:
+    """As ``best`` of ``match_passages``: query_id, pid, bm25, rank, terms, in two scans.
+
+    The first sums document frequencies and lengths of the wanted terms inside each task;
+    the second scores every passage inside its task and keeps the k best of each query, so
+    no row per query, passage and term exists outside a task. Queries go along in blocks of
+    ``BLOCK_TERMS`` terms (or one query); more of them take more scans.
+    """
+    tokens, parts = _tokens(passages), []
+    sc = passages.sparkSession.sparkContext
+
+    def search(rows: list[tuple]) -> DataFrame:
+        words = sorted({t for _, _, ts in rows for t in ts})
+        number = {w: i for i, w in enumerate(words)}
+        array = pa.array(words, pa.string())
+        names = sorted({c for _, c, _ in rows}, key=repr)
+        wanted = tokens.where(F.col("corpus").isin(names)) if len(names) <= 1000 else tokens
+        stats = {(r["corpus"], r["word"]): (r["n"], r["length"]) for r in _statistics(wanted, array).toLocalIterator()}
+        corpora = {c: i for i, c in enumerate(names)}
+        entries = []
+        for q, (_, c, ts) in enumerate(rows):
+            total = stats.get((c, -1), (0, 0))[0]
+            for t in ts:
+                df = stats.get((c, number[t]), (0, 0))[0]
+                if df:
+                    entries.append((corpora[c] * len(words) + number[t], q, math.log(1.0 + (total - df + 0.5) / (df + 0.5))))
+        entries.sort()
+        place = np.array([e[0] for e in entries], np.int64)
+        lengths = [stats.get((c, -1), (0, 0)) for c in names]
+        block = _Block(array, corpora, np.array([r[0] for r in rows], np.int64), np.searchsorted(place, np.arange(len(names) * len(words) + 1)),
+                       np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.float64),
+                       np.array([length / n if n else 0.0 for n, length in lengths]), np.array([corpora[r[1]] for r in rows], np.int64))
+        return wanted.mapInArrow(_winners(sc.broadcast(block), k, shown, k1, b), "query_id long, pid long, bm25 double, terms array<string>")
+
+    rows, size = [], 0
+    for r in queries.select("query_id", "corpus", F.array_distinct(tx.tokenize(F.col("text"))).alias("t")).where("size(t) > 0").toLocalIterator():
+        rows.append((r["query_id"], r["corpus"], r["t"]))
+        size += len(r["t"])
+        if size >= BLOCK_TERMS:
+            parts.append(search(rows))
+            rows, size = [], 0
+    if rows or not parts:
+        parts.append(search(rows))
+    return top(functools.reduce(DataFrame.unionByName, parts), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k)
