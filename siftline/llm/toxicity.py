@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 from siftline.llm.shared import blocks, joined_bytes, ragged, remainder, whole_texts
 from siftline.llm.words import PLAIN, word_hashes, word_spans
 
-BITS = 20
+BITS = 18
 BUCKETS = 1 << BITS
 #: Documents of the sample: toxic and clean ones, those with the smallest hash of their id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1800
 #: A word labels tokens if it is so many times as frequent in toxic as in clean sampled documents, and the log
 #: likelihood ratio (G squared) of its two frequencies is at least ``EVIDENCE``.
 ODDS, EVIDENCE = 20.0, 40.0
 #: Words in fewer sampled texts count as unknown.
 RARE = 5
-CLEAN_SENTENCES = 60_000
-STEPS, RATE, DECAY = 60, 0.5, 1e-3
+CLEAN_SENTENCES = 40_000
+#: Steps; the rate for a word itself and, smaller, for its neighbours; decay.
+STEPS, RATE, NEAR_RATE, DECAY = 60, 0.5, 0.05, 1e-3
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n\r")] = True
 
@@ -66,8 +67,8 @@ def tokens_of(texts: pa.Array) -> Tokens:
 
 def features(tokens: Tokens) -> np.ndarray:
     """Buckets of the word, the word before and the word after, each in a range of its own; none beyond a sentence."""
-    own = (tokens.hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    out = np.full((len(own), 3), 3 * BUCKETS, np.int64)
+    own = (tokens.hashes >> np.uint64(64 - BITS)).astype(np.int32)
+    out = np.full((len(own), 3), 3 * BUCKETS, np.int32)
     out[:, 0] = own
     if len(own):
         first = np.zeros(len(own), bool)
@@ -171,8 +172,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     field.weights[:BUCKETS][~frequent[:BUCKETS]] = field.weights[-1]
     field.weights = field.weights[:-1]
     # the document score, on all sampled texts
-    p = field.marginals(given, tokens.sentences)
-    seen = _evidence(p, tokens.texts)
+    parts = []
+    for low in range(0, len(texts), 200):
+        own = tokens_of(pa.array(texts[low: low + 200], pa.large_string()))
+        parts.append(_evidence(field.marginals(features(own), own.sentences), own.texts))
+    seen = np.concatenate(parts)
     scale = np.zeros(3)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
     for _ in range(50):
@@ -194,6 +198,7 @@ def _ascend(x: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> Field:
     seen = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2)
     used, flat = np.unique(x.ravel(), return_inverse=True)
     counts = np.bincount(flat)
+    rates = np.where((used < BUCKETS) | (used > 3 * BUCKETS), RATE, NEAR_RATE)
     squares = [np.full(len(used), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(STEPS):
         p, expected = field.marginals(x, cuts, pairs=True)
@@ -201,7 +206,7 @@ def _ascend(x: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> Field:
         slope = np.bincount(flat, np.repeat(rest, 3), minlength=len(used)) / np.sqrt(counts) - DECAY * field.weights[used]
         slope[used == 3 * BUCKETS] = 0
         squares[0] += slope * slope
-        field.weights[used] += RATE * slope / np.sqrt(squares[0])
+        field.weights[used] += rates * slope / np.sqrt(squares[0])
         slope = rest.sum() / len(y)
         squares[1] += slope * slope
         field.bias += float(RATE * slope / np.sqrt(squares[1]))
