@@ -66,32 +66,30 @@ def test_nearest_takes_several_query_blocks(spark):
     assert all(r[3] != 1 or r[0] == r[1] for r in rows(whole, *names))
 
 
-def pool_by_hand(items, budget, quota):
-    """The pool rule told step by step."""
-    ranked = sorted(items, key=lambda x: (-x[1], x[0]))
-    if len(ranked) <= budget:
-        return [x[0] for x in ranked]
-    langs = list(dict.fromkeys(x[2] for x in ranked))
-    chosen = []
-    for lang in langs:
-        chosen += [x for x in ranked if x[2] == lang][:quota]
-    chosen = chosen[:budget]
-    chosen += [x for x in ranked if x not in chosen][: budget - len(chosen)]
-    return [x[0] for x in sorted(chosen, key=lambda x: -x[1])]
-
-
-def test_pool_equals_the_rule(spark):
+def test_pool_keeps_its_promises(spark):
+    """Within the budget; best first; every language has its quota as far as the budget
+    allows; what was left out for no quota is no better than what was taken for none."""
     rng = random.Random(5)
-    data, want = [], {}
+    budget, quota, groups = 6, 2, {}
     for q in range(60):
-        items = [(i, rng.choice([0.0, .1, .2, .3, .5]), rng.choice(["en", "en", "ru", "other"])) for i in range(rng.randint(1, 14))]
-        want[q] = pool_by_hand(items, 6, 2)
-        data += [(q, i, s, lang) for i, s, lang in items]
-    df = spark.createDataFrame(data, "query_id long, pid long, hybrid double, lang string")
+        groups[q] = [(i, rng.choice([0.0, .1, .2, .3, .5]), rng.choice(["en", "en", "ru", "other"])) for i in range(rng.randint(1, 14))]
+    df = spark.createDataFrame([(q, *x) for q, items in groups.items() for x in items], "query_id long, pid long, hybrid double, lang string")
     got = {}
-    for r in fusion.select_pool(df, 6, 2).orderBy("query_id", "cand_idx").collect():
-        got.setdefault(r["query_id"], []).append(r["pid"])
-    assert got == want
+    for r in fusion.select_pool(df, budget, quota).orderBy("query_id", "cand_idx").collect():
+        got.setdefault(r["query_id"], []).append((r["pid"], r["hybrid"], r["lang"]))
+    assert set(got) == set(groups)
+    for q, items in groups.items():
+        taken, left = got[q], [x for x in items if x not in got[q]]
+        assert len(taken) == min(budget, len(items)) and set(taken) <= set(items)
+        assert [x[1] for x in taken] == sorted((x[1] for x in taken), reverse=True)
+        if not left:
+            continue
+        best = {lang: sorted((x for x in items if x[2] == lang), key=lambda x: (-x[1], x[0]))[:quota] for lang in {x[2] for x in items}}
+        if sum(map(len, best.values())) <= budget:
+            reserved = {x for own in best.values() for x in own}
+            assert reserved <= set(taken)
+            free = [(-x[1], x[0]) for x in taken if x not in reserved]
+            assert not free or max(free) < min((-x[1], x[0]) for x in left)
 
 
 def test_fusion_counts_zero_scores_and_missing_vectors(spark):
