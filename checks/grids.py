@@ -188,15 +188,15 @@ def table_summaries(spark, folder):
 @registry.add("WITH RECURSIVE " + registry.sql["sections_from_turns"].split("SELECT conv_id, row_number()")[0].replace("WITH", "", 1) + """,
 documents AS (SELECT conv_id * 1000000 + island AS doc_id, text FROM s WHERE text IS NOT NULL),
 """ + _SECTION_SQL.replace("WITH RECURSIVE", "", 1) + """,
-u AS (SELECT doc_id, c FROM packed UNION ALL SELECT doc_id, trim(substr(x, s + 1, e - s)) AS c FROM l),
+u AS (SELECT doc_id, seq, 0 AS s, c FROM packed UNION ALL SELECT doc_id, seq, s, trim(substr(x, s + 1, e - s)) AS c FROM l),
 tab AS (SELECT conv_id, count(*) AS n,
           string_agg('{"turn": "' || turn || '", "role": "' || role || '"}', ', ' ORDER BY turn) FILTER (WHERE turn < 3) AS rows
         FROM conversations GROUP BY conv_id),
-j AS (SELECT doc_id // 1000000 AS conv_id, 'text' AS kind, c AS text FROM u
+j AS (SELECT doc_id // 1000000 AS conv_id, 'text' AS kind, c AS text, doc_id AS o, seq, s FROM u
       UNION ALL SELECT conv_id, 'table_summary',
-             'Table turns has ' || n || ' rows and columns: turn, role. Sample rows: [' || rows || ']' FROM tab)
-SELECT conv_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars,
-       max(text) FILTER (WHERE kind = 'table_summary') AS table_text FROM j GROUP BY conv_id""")
+             'Table turns has ' || n || ' rows and columns: turn, role. Sample rows: [' || rows || ']', conv_id * 1000000 + 999999, 0, 0 FROM tab)
+SELECT conv_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) - 1 AS last_index,
+       md5(string_agg(text, '|' ORDER BY o, seq, s)) AS in_order, max(text) FILTER (WHERE kind = 'table_summary') AS table_text FROM j GROUP BY conv_id""")
 def document_chunks(spark, folder):
     """Section chunks and the table summary of every conversation."""
     secs = _turn_sections(spark, folder).select(
@@ -208,8 +208,10 @@ def document_chunks(spark, folder):
         "document_id", F.lit(1).alias("table_order"), F.lit("turns").alias("name"), F.lit("turns").alias("sheet_name"),
         F.array(F.lit("turn"), F.lit("role")).alias("columns"), "row_count", "sample")
     out = chunks.document_chunks(secs, tabs)
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
     return out.groupBy(F.col("document_id").alias("conv_id")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"),
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max("chunk_index").alias("last_index"),
+        F.md5(F.array_join(placed, "|")).alias("in_order"),
         F.max(F.when(F.col("kind") == "table_summary", F.col("text"))).alias("table_text"))
 
 
