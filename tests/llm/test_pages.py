@@ -67,7 +67,7 @@ def test_stages(spark, docs):
     known = stages["language_id"](spark, docs, SF)
     assert known.columns == docs.columns and known.count() > 0.99 * docs.count()
     first = stages["near_duplicates"](spark, known, SF)
-    groups = brute_components(sorted(rows(known).items()), 5)
+    groups = brute_components(sorted(rows(known).items()), 4)
     assert {repr(d) for d in rows(first)} == {c for _, _, c in groups} and first.columns == docs.columns
     second = stages["repeated_strings"](spark, first, SF)
     source = rows(first)
