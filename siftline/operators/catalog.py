@@ -24,15 +24,17 @@ def match_existing(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     reference, else the same title and year, else the same title; the lowest id wins.
 
     Three equi-joins on deduplicated lookups, so no candidate is multiplied. Candidates
-    without a key get a null that joins nothing.
+    without a key get one of many that no catalogue row has, so they spread over all tasks.
     """
     title, ref = tx.source_key(F.col("title")), tx.source_key(F.col("reference"))
+    # Keys are stripped, so none of theirs starts with a blank.
+    nothing = F.concat(F.lit(" "), F.pmod(F.xxhash64(*[c for c, kind in candidates.dtypes if "map<" not in kind]), F.lit(4096)).cast("string"))
     by_ref = _lookup(catalogue, {"_ref": ref}, ref != "", "_m1")
     by_both = _lookup(catalogue, {"_title": title, "_year": F.col("year")}, (title != "") & F.col("year").isNotNull(), "_m2")
     by_title = _lookup(catalogue, {"_title": title}, title != "", "_m3")
     keyed = (
-        candidates.withColumn("_ref", F.nullif(ref, F.lit("")))
-        .withColumn("_title", F.nullif(title, F.lit(""))).withColumn("_year", F.col("year"))
+        candidates.withColumn("_ref", F.coalesce(F.nullif(ref, F.lit("")), nothing))
+        .withColumn("_title", F.coalesce(F.nullif(title, F.lit("")), nothing)).withColumn("_year", F.col("year"))
     )
     return (
         keyed.join(by_ref, ["project_id", "_ref"], "left")
