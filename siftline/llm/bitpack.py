@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.bpe import encoder, tokenizer_path, vocabulary_size
 from siftline.llm.shared import blocks, keep
+from siftline.session import shared_folder
 
 MAGIC = b"SLBP0001"
 BLOCK = 4096
@@ -90,16 +91,9 @@ def _filesystem(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; without that setting a temporary one, for local sessions only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="siftline-")
-    return f"{folder.rstrip('/')}/shards-{uuid.uuid4().hex}"
+def shard_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1,
@@ -184,6 +178,6 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents with end id 1, read the files back: doc_id, start, n_tokens, ids_crc32."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_shards(docs, shared_folder(spark), tokenizer_path("word_bpe_49k.json"))
+    manifest = write_shards(docs, shard_folder(spark), tokenizer_path("word_bpe_49k.json"))
     return read_documents(manifest).select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -20,7 +20,7 @@ from siftline.llm.shared import joined_bytes, ragged, whole_texts
 from siftline.llm.words import word_spans
 
 #: Largest number of words that a worker remembers; then it starts anew.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 # A letter or digit before a stop or comma ends a word of the tokenizer, so both sides can be encoded apart.
 _STOPPED = re.compile(r"(.*[A-Za-z0-9À-ɏ])([.,]+)", re.S).fullmatch
 
@@ -105,15 +105,20 @@ class Encoder:
             known.__init__()
         where = pc.index_in(coded.dictionary, value_set=known.words)
         if where.null_count:
+            missing = pc.is_null(where)
+            base = len(known.words)
             collecting = gc.isenabled()
             gc.disable()  # the many short-lived lists hold no cycles
             try:
-                self._learn(coded.dictionary.filter(pc.is_null(where)), spans)
+                self._learn(coded.dictionary.filter(missing), spans)
             finally:
                 if collecting:
                     gc.enable()
-            where = pc.index_in(coded.dictionary, value_set=known.words)
-        word = where.to_numpy()[coded.indices.to_numpy()[size]]
+            place = pc.fill_null(where, 0).to_numpy().copy()
+            place[missing.to_numpy(zero_copy_only=False)] = np.arange(base, len(known.words))
+        else:
+            place = where.to_numpy()
+        word = place[coded.indices.to_numpy()[size]]
         first = np.r_[0, known.ends]
         each = (first[1:] - first[:-1])[word]
         return known.flat[ragged(first[word], each)], each, np.r_[0, np.cumsum(size)][starts - starts[0]], filled
