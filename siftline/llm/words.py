@@ -43,7 +43,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of the bytes of each word (a polynomial over the bytes, then scrambled)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(20, int(len(data) + 1).bit_length()))
+    up, down = _powers(max(18, int(len(data) + 1).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])

@@ -176,6 +176,27 @@ def test_suffix_hard(spark, monkeypatch, hot, crowded):
     assert report(docs, length=20, gram=8) == sorted(repr(r[:5]) for r in brute_removal(rows, 20))
 
 
+def test_packed_runs_in_one_process(monkeypatch):
+    """Runs that are cut because they are long, several rows of a bucket, and a full bitmap."""
+    monkeypatch.setattr(suffixes, "_LONGEST_RUN", 70)
+    monkeypatch.setattr(suffixes, "HELD", 2000)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcd ") for _ in range(300))
+    rows = [(k, "".join(rng.choice("abcd ") for _ in range(30)) + passage[k:] + "x" * (40 + 20 * k)) for k in range(30)]
+    shared = type("Shared", (), {"value": (np.full(1 << 17, 255, np.uint8), np.zeros(0, np.uint64), 8)})
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows], "doc": [d for d, _ in rows], "text_key": [d + 100 for d, _ in rows]})
+    packed = pa.Table.from_batches(suffixes._pack_runs(shared, 50, 24, 256)(batch.slice(k, 3) for k in range(0, 30, 3))).sort_by("bucket")
+    assert packed.num_rows > 256
+    spans = {}
+    for part in suffixes._solve_packed(50)(packed.to_batches(max_chunksize=7)):
+        for r in part.to_pylist():
+            assert r["text_key"] == r["doc"] + 100
+            spans.setdefault(r["doc"], []).append(r)
+    for d, n_bytes, n_removed, n_spans, *_ in brute_removal(rows):
+        runs = suffixes._merged(spans.get(d))
+        assert (sum(b - a for a, b in runs), len(runs)) == (n_removed, n_spans)
+
+
 def test_suffix_edges(edge_docs, no_docs):
     small = edge_docs.where("length(coalesce(text, '')) < 1000")
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
