@@ -29,7 +29,7 @@ from siftline.llm.words import windows, word_hashes, word_spans
 
 ORDER = 4
 SYMBOLS = 32
-BELOW, ABOVE = 5.0, 10.0
+BELOW, ABOVE = 5.0, 4.5
 NARROWEST = 0.02
 #: Models of so many languages are broadcast at a time; further languages take further passes.
 TOGETHER = 16

@@ -141,6 +141,18 @@ def test_quality(spark, edge_docs, no_docs):
     assert quality.judge(no_docs).count() == 0
 
 
+def test_quality_band_over_labels(spark):
+    """Either side of the band rejects labelled junk and hardly any good document."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    judged = lambda **band: {r["doc_id"]: r for r in quality.judge(docs, **band).where("not base_failed").collect()}
+    whole, upper = judged(), judged(below=1e9)
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    kept = lambda rows, value: np.mean([r["kept"] for i, r in rows.items() if label.get(i) == value])
+    assert kept(whole, 1) > 0.98 and kept(upper, 1) > 0.98
+    assert kept(upper, 0) < 0.75 and kept(whole, 0) < 0.4
+    assert not any(whole[i]["kept"] for i in (78, 270, 367))
+
+
 def test_perplexity_of_strange_texts(spark, docs):
     """Noise is far above what the language's documents have, one word over and over far below."""
     rng = np.random.default_rng(2)
