@@ -1,17 +1,20 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans, its marginals score documents.
 
 Labels are given for documents. On a bounded sample of labelled documents, words that occur in many toxic and hardly
-any clean ones label the tokens; the field (features: the word, the word before, the word after, all hashed, and the
-transition between tags) is fitted to them by gradient steps on the log likelihood. A sequence is a sentence. For
+any clean ones label the tokens; the field (features: the word, the word before, the word after, and the transition
+between tags) is fitted to them by gradient steps on the log likelihood. A sequence is a sentence. For
 every text, forward and backward messages give the probability of each token to be toxic. The document score is a
 logistic function, fitted on the sampled documents, of the largest probability and of the expected number of toxic
 tokens; runs of tokens with a probability of one half or more are the offending spans.
+
+The words that have features are kept as a sorted array of their 64-bit hashes, bounded by the sample; every other
+word is unknown, so no word takes the weight of another one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,6 @@ from pyspark.sql import functions as F
 from siftline.llm.shared import blocks, joined_bytes, ragged, remainder, whole_texts
 from siftline.llm.words import PLAIN, word_hashes, word_spans
 
-BITS = 18
-BUCKETS = 1 << BITS
 #: Documents of the sample: toxic and clean ones, those with the smallest hash of their id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1800
 #: A word labels tokens if it is so many times as frequent in toxic as in clean sampled documents, and the log
@@ -65,17 +66,25 @@ def tokens_of(texts: pa.Array) -> Tokens:
                   np.flatnonzero(new) if len(starts) else np.zeros(1, np.int64))
 
 
-def features(tokens: Tokens) -> np.ndarray:
-    """Buckets of the word, the word before and the word after, each in a range of its own; none beyond a sentence."""
-    own = (tokens.hashes >> np.uint64(64 - BITS)).astype(np.int32)
-    out = np.full((len(own), 3), 3 * BUCKETS, np.int32)
+def features(tokens: Tokens, known: np.ndarray) -> np.ndarray:
+    """Numbers of the word, the word before and the word after. With v ``known`` words (sorted hashes): 0 to v - 1 the
+    word, v any other word, from v + 1 the word before, from 2v + 1 the word after, 3v + 1 none (beyond a sentence, or
+    a neighbour that is not known)."""
+    v = len(known)
+    own = np.full(len(tokens.hashes), v, np.int32)
+    if v:
+        at = np.minimum(np.searchsorted(known, tokens.hashes), v - 1)
+        own = np.where(known[at] == tokens.hashes, at, v).astype(np.int32)
+    out = np.full((len(own), 3), 3 * v + 1, np.int32)
     out[:, 0] = own
     if len(own):
         first = np.zeros(len(own), bool)
         first[tokens.sentences[:-1]] = True
         inner = np.flatnonzero(~first)
-        out[inner, 1] = BUCKETS + own[inner - 1]
-        out[inner - 1, 2] = 2 * BUCKETS + own[inner]
+        after = inner[own[inner] < v]
+        before = inner[own[inner - 1] < v]
+        out[before, 1] = v + 1 + own[before - 1]
+        out[after - 1, 2] = 2 * v + 1 + own[after]
     return out
 
 
@@ -87,6 +96,7 @@ class Field:
     bias: float
     transition: np.ndarray
     scale: np.ndarray  # of the document score: constant, largest probability, expected number
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of the words with features
 
     def marginals(self, given: np.ndarray, sentences: np.ndarray, pairs: bool = False):
         """Probability of each token to be toxic; with ``pairs`` also the expected transitions."""
@@ -134,7 +144,7 @@ def _evidence(p: np.ndarray, texts: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """Fit to whole labelled texts (a bounded sample). Without toxic or without clean ones every score is the share
     of toxic ones (0 without any)."""
-    none = Field(np.zeros(3 * BUCKETS + 1, np.float64), -20.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0]))
+    none = Field(np.zeros(2), -20.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0]))
     toxic = np.asarray(toxic, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         none.scale[0] = 20.0 if len(toxic) and toxic.all() else -20.0
@@ -160,22 +170,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     cold = np.flatnonzero(~hot)
     cold = cold[np.argsort(tokens.hashes[tokens.sentences[:-1][cold]], kind="stable")[:CLEAN_SENTENCES]]
     chosen = np.sort(np.r_[np.flatnonzero(hot), cold])
-    given = features(tokens)
-    index = ragged(tokens.sentences[:-1][chosen], sizes[chosen])
-    y, x, cuts = labels[index].astype(float), given[index], np.r_[0, np.cumsum(sizes[chosen])]
     # words in few sampled texts share one weight, which then stands for all words the sample lacks
-    frequent = np.zeros(3 * BUCKETS + 1, bool)
-    frequent[(words[df[0] + df[1] >= RARE] >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    x[:, 0] = np.where(frequent[x[:, 0]], x[:, 0], 3 * BUCKETS + 1)
-    x[:, 1:] = np.where(frequent[x[:, 1:] % BUCKETS] & (x[:, 1:] < 3 * BUCKETS), x[:, 1:], 3 * BUCKETS)
-    field = _ascend(x, y, cuts)
-    field.weights[:BUCKETS][~frequent[:BUCKETS]] = field.weights[-1]
-    field.weights = field.weights[:-1]
+    known = words[(df[0] + df[1] >= RARE) | marked]
+    index = ragged(tokens.sentences[:-1][chosen], sizes[chosen])
+    model = _ascend(features(tokens, known)[index], labels[index].astype(float), np.r_[0, np.cumsum(sizes[chosen])], known)
     # the document score, on all sampled texts
     parts = []
     for low in range(0, len(texts), 200):
         own = tokens_of(pa.array(texts[low: low + 200], pa.large_string()))
-        parts.append(_evidence(field.marginals(features(own), own.sentences), own.texts))
+        parts.append(_evidence(model.marginals(features(own, known), own.sentences), own.texts))
     seen = np.concatenate(parts)
     scale = np.zeros(3)
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
@@ -184,36 +187,36 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
         slope = seen.T @ (weight * (toxic - q)) - 0.1 * scale
         curve = (seen * (weight * q * (1 - q))[:, None]).T @ seen + 0.1 * np.eye(3)
         scale += np.linalg.solve(curve, slope)
-    field.scale = scale
-    return field
+    model.scale = scale
+    return model
 
 
-def _ascend(x: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> Field:
+def _ascend(x: np.ndarray, y: np.ndarray, cuts: np.ndarray, known: np.ndarray) -> Field:
     """Adaptive gradient steps on the log likelihood of the tags ``y``."""
-    size = 3 * BUCKETS + 2
-    field = Field(np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros((2, 2)), np.zeros(3))
+    size = 3 * len(known) + 2
+    model = Field(np.zeros(size), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), np.zeros((2, 2)), np.zeros(3), known)
     inner = np.ones(len(y), bool)
     inner[cuts[:-1]] = False
     at = np.flatnonzero(inner)
     seen = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2)
     used, flat = np.unique(x.ravel(), return_inverse=True)
     counts = np.bincount(flat)
-    rates = np.where((used < BUCKETS) | (used > 3 * BUCKETS), RATE, NEAR_RATE)
+    rates = np.where(used <= len(known), RATE, NEAR_RATE)
     squares = [np.full(len(used), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(STEPS):
-        p, expected = field.marginals(x, cuts, pairs=True)
+        p, expected = model.marginals(x, cuts, pairs=True)
         rest = y - p
-        slope = np.bincount(flat, np.repeat(rest, 3), minlength=len(used)) / np.sqrt(counts) - DECAY * field.weights[used]
-        slope[used == 3 * BUCKETS] = 0
+        slope = np.bincount(flat, np.repeat(rest, 3), minlength=len(used)) / np.sqrt(counts) - DECAY * model.weights[used]
+        slope[used == size - 1] = 0
         squares[0] += slope * slope
-        field.weights[used] += rates * slope / np.sqrt(squares[0])
+        model.weights[used] += rates * slope / np.sqrt(squares[0])
         slope = rest.sum() / len(y)
         squares[1] += slope * slope
-        field.bias += float(RATE * slope / np.sqrt(squares[1]))
+        model.bias += float(RATE * slope / np.sqrt(squares[1]))
         slope = (seen - expected) / len(y)
         squares[2] += slope * slope
-        field.transition += RATE * slope / np.sqrt(squares[2])
-    return field
+        model.transition += RATE * slope / np.sqrt(squares[2])
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -243,7 +246,7 @@ def score_documents(docs: DataFrame, field: Field) -> DataFrame:
         own = shared.value
         for block in blocks(batches, "text"):
             tokens = tokens_of(block.column("text"))
-            p = own.marginals(features(tokens), tokens.sentences)
+            p = own.marginals(features(tokens, own.known), tokens.sentences)
             score = own.documents(p, tokens.texts)
             hot = np.flatnonzero(p >= 0.5)
             owner = np.searchsorted(tokens.texts, hot, "right") - 1

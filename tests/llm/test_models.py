@@ -224,3 +224,24 @@ def test_toxic_spans(spark, edge_docs, no_docs):
     for some in ([], [True], [False, False]):
         one = toxicity.fit(["a b"] * len(some), np.array(some))
         assert 0 <= toxicity.score_documents(docs, one).first()["score"] <= 1
+
+
+def _with_bad_words(rng, n, bad, words):
+    """n toxic texts with one of the bad words each, and 3 n clean ones."""
+    texts = [list(rng.choice(words, 40)) for _ in range(4 * n)]
+    for k in range(n):
+        texts[k][int(rng.integers(40))] = bad[k % len(bad)]
+    return [" ".join(t) + "." for t in texts], np.arange(4 * n) < n
+
+
+def test_toxic_weight_is_not_shared(spark):
+    """A clean word whose hash begins like that of a toxic one is scored as any unknown word."""
+    words = [f"w{k}" for k in range(300)]
+    field = toxicity.fit(*_with_bad_words(np.random.default_rng(7), 100, ["badword"], words))
+    many = [f"q{k}" for k in range(3_000_000)]
+    hashes = toxicity.tokens_of(pa.array([" ".join(many)])).hashes >> np.uint64(46)
+    twins = [many[k] for k in np.flatnonzero(hashes == toxicity.tokens_of(pa.array(["badword"])).hashes[0] >> np.uint64(46))[:3]]
+    assert twins
+    rows = [(0, "w1 w2 badword w3."), (1, "w1 w2 unheard w3."), *((k, f"w1 w2 {t} w3.") for k, t in enumerate(twins, 2))]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert got[0]["score"] > 0.5 and all(got[k]["score"] == got[1]["score"] < 0.5 and not got[k]["spans"] for k, _ in rows[1:])
