@@ -13,6 +13,7 @@ word is unknown, so no word takes the weight of another one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,13 +27,19 @@ from siftline.llm.shared import blocks, joined_bytes, ragged, remainder, whole_t
 from siftline.llm.words import PLAIN, word_hashes, word_spans
 
 #: Documents of the sample: toxic and clean ones, those with the smallest hash of their id.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 600, 1800
-#: A word labels tokens if it is so many times as frequent in toxic as in clean sampled documents, and the log
-#: likelihood ratio (G squared) of its two frequencies is at least ``EVIDENCE``.
-ODDS, EVIDENCE = 20.0, 40.0
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 3000
+#: A word labels tokens if it is so many times as frequent in toxic as in clean sampled documents, it is in so many
+#: documents at least, and the log likelihood ratio (G squared) of its two frequencies is significant for as many
+#: words as were tried: of the words that pass, this share is expected to pass by chance (Benjamini and Hochberg).
+#: So the limit follows from the sample, small ones included.
+ODDS, LEAST, FALSE_SHARE = 20.0, 3, 0.05
+#: The largest score of a model that found no word to go by.
+NO_EVIDENCE = 0.49
 #: Words in fewer sampled texts count as unknown.
 RARE = 5
 CLEAN_SENTENCES = 40_000
+#: Texts of the sample are read so many at a time.
+PART = 200
 #: Steps; the rate for a word itself and, smaller, for its neighbours; decay.
 STEPS, RATE, NEAR_RATE, DECAY = 60, 0.5, 0.05, 1e-3
 _ENDS = np.zeros(256, bool)
@@ -141,15 +148,36 @@ def _evidence(p: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), top, np.log1p(total)], axis=1)
 
 
+def _tokens_in_parts(texts: list[str]) -> Tokens:
+    """Hashes, texts and sentences of all texts; the places in the characters are left out."""
+    hashes, sizes, sentences = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(texts), PART):
+        own = tokens_of(pa.array(texts[low: low + PART], pa.large_string()))
+        hashes.append(own.hashes)
+        sizes.append(np.diff(own.texts))
+        sentences.append(np.diff(own.sentences))
+    none = np.zeros(0, np.int64)
+    return Tokens(np.concatenate(hashes), np.r_[0, np.cumsum(np.concatenate(sizes))], none, none, none, np.r_[0, np.cumsum(np.concatenate(sentences))])
+
+
+def _significant(evidence: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """Which of the words that are ``tried`` have a G squared too large for chance."""
+    kinds, which = np.unique(np.round(np.maximum(evidence, 0.0), 9), return_inverse=True)
+    chance = np.array([math.erfc(math.sqrt(g / 2)) / 2 for g in kinds])[which] if len(kinds) else np.zeros(0)
+    ordered = np.sort(chance[tried])
+    passed = np.flatnonzero(ordered <= FALSE_SHARE * np.arange(1, len(ordered) + 1) / max(1, len(ordered)))
+    return tried & (chance <= ordered[passed[-1]]) if len(passed) else np.zeros(len(chance), bool)
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Field:
     """Fit to whole labelled texts (a bounded sample). Without toxic or without clean ones every score is the share
-    of toxic ones (0 without any)."""
+    of toxic ones (0 without any); if no word tells toxic from clean ones it is that share too, but below one half."""
     none = Field(np.zeros(2), -20.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0]))
     toxic = np.asarray(toxic, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         none.scale[0] = 20.0 if len(toxic) and toxic.all() else -20.0
         return none
-    tokens = tokens_of(pa.array(texts, pa.large_string()))
+    tokens = _tokens_in_parts(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(tokens.texts))
     # copies count once
     once = np.zeros(len(texts), bool)
@@ -162,7 +190,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     ratio = ((df[1] + 0.5) / (n[1] + 1)) / ((df[0] + 0.5) / (n[0] + 1))
     mean = (df[0] + df[1]) / (n[0] + n[1])
     evidence = sum(2 * k * np.log(np.maximum(k, 1) / np.maximum(size * mean, 1e-12)) for k, size in zip(df, n))
-    marked = (ratio >= ODDS) & (evidence >= EVIDENCE)
+    marked = (ratio >= ODDS) & _significant(evidence, (df[0] + df[1]) >= LEAST)
+    if not marked.any():
+        share = min(float(toxic.mean()), NO_EVIDENCE)
+        none.scale[0] = math.log(share / (1 - share))
+        return none
     labels = marked[word] & toxic[owner]
     # sentences with a toxic token, and as many of the others as are wanted, those of clean texts first in order
     sizes = np.diff(tokens.sentences)
@@ -176,8 +208,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field:
     model = _ascend(features(tokens, known)[index], labels[index].astype(float), np.r_[0, np.cumsum(sizes[chosen])], known)
     # the document score, on all sampled texts
     parts = []
-    for low in range(0, len(texts), 200):
-        own = tokens_of(pa.array(texts[low: low + 200], pa.large_string()))
+    for low in range(0, len(texts), PART):
+        own = tokens_of(pa.array(texts[low: low + PART], pa.large_string()))
         parts.append(_evidence(model.marginals(features(own, known), own.sentences), own.texts))
     seen = np.concatenate(parts)
     scale = np.zeros(3)

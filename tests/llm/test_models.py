@@ -245,3 +245,18 @@ def test_toxic_weight_is_not_shared(spark):
     rows = [(0, "w1 w2 badword w3."), (1, "w1 w2 unheard w3."), *((k, f"w1 w2 {t} w3.") for k, t in enumerate(twins, 2))]
     got = {r["doc_id"]: r for r in toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
     assert got[0]["score"] > 0.5 and all(got[k]["score"] == got[1]["score"] < 0.5 and not got[k]["spans"] for k, _ in rows[1:])
+
+
+def test_toxicity_of_few_labels(spark):
+    """Fifteen toxic texts are enough to learn from; without a word to go by no text is toxic."""
+    words, bad = [f"w{k}" for k in range(300)], ["badone", "badtwo", "badthree"]
+    rng = np.random.default_rng(8)
+    few = toxicity.fit(*_with_bad_words(rng, 15, bad, words))
+    blank = toxicity.fit(_with_bad_words(rng, 15, ["w1"], words)[0], np.arange(60) < 15)
+    texts, toxic = _with_bad_words(rng, 30, bad, words)
+    fresh = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = lambda field: {r["doc_id"]: r["score"] for r in toxicity.score_documents(fresh, field).collect()}
+    learned, unlearned = score(few), score(blank)
+    assert np.mean([(learned[k] >= 0.5) == bool(toxic[k]) for k in range(len(texts))]) > 0.95
+    assert all(s < 0.5 for s in unlearned.values())
+    assert toxicity.fit(["a b", "c d", "e f"], np.array([True, True, False])).documents(np.zeros(1), np.array([0, 1]))[0] < 0.5
