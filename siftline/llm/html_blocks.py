@@ -5,6 +5,7 @@ menu, header, footer, sidebar, notice, advert, form or comment element, or is mo
 and rich in stop words (or lies in the page's article element and is no list of links); else it stays open. In the
 second pass open blocks, short ones above all, take the label of the nearest decided neighbour (main text if two are
 equally near and differ, or if there is none). An element that names itself boilerplate lends its label to nothing.
+Names of the page itself, of its article and of elements around an article or main element say nothing of the text.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ der die das und ist in den von zu mit sich auf für im dem nicht ein eine als au
 el los las y en que del se por con no una su para es al lo como más pero sus le ya o este sí
 di che e il per non sono con del della gli una si dei da alla nel
 """.split())
-_SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "head"}
+_SKIPPED = {"script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "audio", "video", "title", "head"}
 _RAW = {"script", "style", "title", "textarea", "iframe", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -56,6 +57,14 @@ breadcrumb breadcrumbs footer sidebar widget widgets related recommended recomme
 comment comments commentlist disqus respond reply replies login signup signin search toolbar pagination pager skip
 copyright outbrain taboola paywall disclaimer
 """.split())
+#: Elements that are never boilerplate by name.
+_PAGE = {"html", "body", "main"}
+#: A class that begins so tells what is beside the element.
+_BESIDE = {"has", "with", "without", "no"}
+#: What can stand in a head; any other element ends it.
+_IN_HEAD = {"head", "title", "meta", "link", "base", "style", "script", "noscript", "template"}
+#: Elements that can stand around the article of a page.
+_HOLDING = {"div", "section", "form", "center", "td", "fieldset"}
 _OUTER_NAMES = frozenset({"header", "masthead", "topbar", "hero"})
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -99,12 +108,55 @@ class _Page:
                 return
 
 
-def _marks(tag: str, attributes: str, main: bool) -> tuple[bool, bool]:
-    """Is the element boilerplate; does it hold the main text."""
+def _holders(page: str) -> set[int]:
+    """Where the start tags stand of the first main element, its first article (of the page's, without a main element)
+    and the elements around them."""
+    seen: dict[str, set[int]] = {}
+    inside = False  # the article held is in a main element
+    stack: list[tuple[str, int]] = []
+    open_: Counter = Counter()
+    if not re.search(r"<(?:article|main)[\s/>]", page, re.I):
+        return set()
+    at = 0
+    while match := _TOKEN.search(page, at):
+        at = match.end()
+        tag = (match[2] or match[5] or "").lower()
+        if match[1] or match[4]:
+            if open_[tag] > 0:
+                while True:
+                    name, _ = stack.pop()
+                    open_[name] -= 1
+                    if name == tag:
+                        break
+        elif tag in _RAW:
+            end = _ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+        elif tag in ("article", "main"):
+            if tag not in seen or (tag == "article" and open_["main"] > 0 and not inside):
+                inside = open_["main"] > 0
+                seen[tag] = {start for _, start in stack} | {match.start()}
+            stack.append((tag, match.start()))
+            open_[tag] += 1
+        elif tag in _HOLDING:
+            stack.append((tag, match.start()))
+            open_[tag] += 1
+    if "main" in seen and not inside:
+        seen.pop("article", None)
+    return set().union(*seen.values())
+
+
+def _marks(tag: str, attributes: str, main: bool, holder: bool = False) -> tuple[bool, bool]:
+    """Is the element boilerplate; does it hold the main text. Of a ``holder`` (an element around the article or main
+    element) the name says nothing."""
     names = set()
     for match in _NAMED.finditer(attributes):
-        names.update(p.lower() for p in _PARTS.findall(next(g for g in match.groups() if g is not None)))
+        for word in next(g for g in match.groups() if g is not None).split():
+            parts = [p.lower() for p in _PARTS.findall(word)]
+            if not (len(parts) > 1 and parts[0] in _BESIDE):
+                names.update(parts)
     is_main = tag in ("article", "main") or ("article" in names and "body" in names)
+    if tag in _PAGE or holder:
+        return bool(attributes and _HIDDEN.search(attributes)), is_main
     bad = tag in _BOILERPLATE or bool(names & _NAMES) or (not main and (tag == "header" or bool(names & _OUTER_NAMES)))
     return bad or bool(attributes and _HIDDEN.search(attributes)), is_main
 
@@ -112,6 +164,7 @@ def _marks(tag: str, attributes: str, main: bool) -> tuple[bool, bool]:
 def page_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without scripts, styles and markup."""
     state, at, size = _Page(), 0, len(page)
+    holders = _holders(page)
     while at < size:
         match = _TOKEN.search(page, at)
         stop = match.start() if match else size
@@ -139,7 +192,7 @@ def page_blocks(page: str) -> list[Block]:
             state.flush()
             if state.open["p"] > 0:
                 state.pop_to("p")
-        if tag == "body" and state.open["head"] > 0:
+        if tag not in _IN_HEAD and state.open["head"] > 0:
             state.pop_to("head")
         if tag in _VOID or tag == "html":
             continue
@@ -151,7 +204,7 @@ def page_blocks(page: str) -> list[Block]:
         if tag == "a" and state.open["a"] > 0:
             state.pop_to("a")
         _, boilerplate, main, skipped = state.stack[-1] if state.stack else ("", False, False, False)
-        bad, is_main = _marks(tag, attributes, main or tag in ("article", "main"))
+        bad, is_main = _marks(tag, attributes, main or tag in ("article", "main"), match.start() in holders)
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in _RAW:

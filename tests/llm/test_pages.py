@@ -42,6 +42,26 @@ def test_cases(page, text):
     assert html_blocks.main_text(page) == text
 
 
+@pytest.mark.parametrize("before,after", [
+    ("<body class='has-sidebar'><article>", "</article>"), ("<div id='page' class='with-sidebar'><article>", "</article></div>"),
+    ("<article class='post comments-open'>", "</article>"), ("<div class=with-sidebar>", "</div>"), ("<main class='no-nav'>", "</main>"), ("<body class='cookie-banner-open'>", "</body>"),
+    ("<form><div><main>", "</main></div></form>"), ("<html><head><meta charset=x><article>", "</article>"), ("<head><title>t</title><div>", "</div>"),
+])
+def test_names_of_the_page_hide_nothing(before, after):
+    """Names of the page, its article or what is around it, and a head that is not closed."""
+    outside = f"<div class=sidebar>{PROSE * 4}</div>"
+    assert html_blocks.main_text(f"{before}<p>{PROSE * 4}</p>{outside}<p>{PROSE * 3}</p>{after}") == f"{(PROSE * 4).strip()}\n\n{(PROSE * 3).strip()}"
+
+
+def test_comments_in_articles_stay_out():
+    page = f"<main><article><p>{PROSE}</p></article><div class=comments><article class=comment><p>{PROSE * 4}</p></article></div></main>"
+    assert html_blocks.main_text(page) == PROSE.strip()
+
+
+def test_mathematics_is_text():
+    assert html_blocks.main_text(f"<article><p>{PROSE}<math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{PROSE}x=2"
+
+
 def test_neighbours_decide_short_blocks():
     poor = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod " * 5
     page = f"<p>{PROSE * 4}</p><h2>Between</h2><p>{PROSE * 4}</p><p>{poor}</p><p>tail</p><p>{poor}</p>"
