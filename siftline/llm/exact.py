@@ -99,7 +99,8 @@ def exact_duplicates(docs: DataFrame, size: int = BLOCK, **options) -> DataFrame
     and text one stays. See ``identities`` for nulls and other cases.
     """
     members = keep(identities(docs, size, **options))
-    groups = members.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size"))
+    # written, so that the join deals out both sides itself and a very large group can be split
+    groups = keep(members.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row_no")).alias("best"), F.count("*").alias("group_size")))
     return members.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.row_no") == F.col("row_no")).alias("kept"), "text_sha256")
 
