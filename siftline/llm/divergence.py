@@ -35,7 +35,7 @@ FIRST, FACTOR = 4, 4
 #: The bitmap has at least and at most 2 ** so many bits, 32 for each prefix in between.
 BITS = (20, 30)
 #: Sources of a tile; terms of a task.
-TILE, TERMS = 64, 1 << 16
+TILE, TERMS = 64, 1 << 13
 #: Entries that a task gathers before it passes them on.
 GATHERED = 1 << 20
 #: Bytes of text in a block of the last pass.
@@ -215,8 +215,9 @@ def _gain(p: str, q: str) -> Column:
 class _Unit:
     """The sums of one pair of tiles over some of the terms."""
 
-    def __init__(self, first: bool) -> None:
+    def __init__(self, first: bool, same: bool) -> None:
         self.first = first  # of all units of these tiles: it has the share of the terms that neither tile has
+        self.same = same  # a tile with itself: its sources come once, as side 0
         self.names: tuple[list, list] = ([], [])
         self.zero: tuple[list, list] = ([], [])
         self.lang, self.terms = "", 0
@@ -227,6 +228,8 @@ class _Unit:
         self.zero[side].append(zero)
 
     def start(self) -> None:
+        if self.same:
+            self.names, self.zero = (self.names[0],) * 2, (self.zero[0],) * 2
         self.none = [np.array(z, np.int64) for z in self.zero]
         self.forth = np.zeros((len(self.none[0]), len(self.none[1])), np.int64)
         self.back = np.zeros_like(self.forth)
@@ -241,26 +244,27 @@ class _Unit:
             for k in (0, 1):
                 mine = side[own] == k
                 both[k][term[own][mine] - low, slot[own][mine]] = p[own][mine]
-            a, b = both
+            a, b = both if not self.same else (both[0],) * 2
             self.seen += len(a)
             for k in range(a.shape[1]):
                 gap = a[:, k: k + 1] - b
                 gap *= gap
                 self.forth[k] += (gap // b).sum(axis=0)
-                self.back[k] += (gap // a[:, k: k + 1]).sum(axis=0)
+                if not self.same:
+                    self.back[k] += (gap // a[:, k: k + 1]).sum(axis=0)
 
-    def result(self, same: bool) -> dict[str, list]:
+    def result(self) -> dict[str, list]:
         a, b = self.none
         gap = (a[:, None] - b) ** 2 if self.terms else np.zeros_like(self.forth)
         times = (self.terms if self.first else 0) - self.seen
         forth = self.forth + times * (gap // np.maximum(b, 1))
         back = self.back + times * (gap // np.maximum(a, 1)[:, None])
         i, j = np.indices(forth.shape).reshape(2, -1)
-        if same:
+        if self.same:
             i, j = i[i != j], j[i != j]
         one, two = np.array(self.names[0], object), np.array(self.names[1], object)
         out = {"source": one[i], "item": two[j], "value": forth[i, j]}
-        if not same:
+        if not self.same:
             out = {"source": np.r_[out["source"], two[j]], "item": np.r_[out["item"], one[i]], "value": np.r_[out["value"], back[i, j]]}
         return {"lang": [self.lang] * len(out["value"])} | out
 
@@ -283,7 +287,7 @@ def _pair_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if unit is not None:
             if held is not None:
                 full(held, True)
-            found = unit.result(where[1] == where[2])
+            found = unit.result()
             if len(found["value"]):
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "value" else pa.string()) for k, v in found.items()})
 
@@ -300,7 +304,7 @@ def _pair_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = tuple(c[begin] for c in columns)
             if here != where:
                 yield from closed()
-                unit, where, held = _Unit(here[3] == 0), here, None
+                unit, where, held = _Unit(here[3] == 0, here[1] == here[2]), here, None
             own = batch.slice(int(begin), int(end - begin))
             heads = int((~term[begin:end]).sum())
             for row in own.slice(0, heads).to_pylist():
@@ -320,9 +324,9 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     placed = keep(groups.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles"))).withColumn("slot", F.row_number().over(place) - 1)
                   .withColumn("parts", F.greatest(F.ceil(F.col("terms") / TERMS), F.lit(1))).withColumn("zero", _share(F.lit(0))))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
-    # a row goes to every pair of tiles that has its own, twice to the pair of that tile with itself
+    # a row goes to every pair of tiles that has its own
     one, two = F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two")
-    sides = F.explode(F.when(F.col("tile") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("tile") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))).alias("side")
+    sides = F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side")
     heads = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
         "*", other).select("lang", one, two, "part", F.lit(None).cast("string").alias("term"), sides, "slot", F.col("zero").alias("p"), "source", "terms")
     rows = shares.join(placed, ["lang", "source"]).withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))).select(
