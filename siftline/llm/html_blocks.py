@@ -5,11 +5,14 @@ menu, header, footer, sidebar, notice, advert, form or comment element, or is mo
 and rich in stop words (or lies in the page's article element and is no list of links); else it stays open. In the
 second pass open blocks, short ones above all, take the label of the nearest decided neighbour (main text if two are
 equally near and differ, or if there is none). An element that names itself boilerplate lends its label to nothing.
-Names of the page itself, of its article and of elements around an article or main element say nothing of the text.
+Names of the page itself, of its article and of elements around an article or main element say nothing of the text;
+inside the article only a whole class name does, and headings are never boilerplate by name. A form that has most of a
+page's paragraphs, in a page without an article, is taken for the page.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import itertools
 import re
@@ -67,9 +70,19 @@ _IN_HEAD = {"head", "title", "meta", "link", "base", "style", "script", "noscrip
 _HOLDING = {"div", "section", "form", "center", "td", "fieldset"}
 _OUTER_NAMES = frozenset({"header", "masthead", "topbar", "hero"})
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMING = ("class", "id", "role", "aria-label", "itemprop")
+#: Words beside a name of the list that leave its meaning as it is (share-buttons, comments-area).
+_GENERIC = frozenset("""
+area bar block body bottom box button buttons container content form group icons inner items left link links list main
+outer post posts article articles primary right row secondary section slot text thread title top unit wrap wrapper
+""".split())
+_COMMENTS = frozenset({"comment", "comments", "commentlist", "disqus", "respond"})
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_FORM = re.compile(r"<(/?)form(?=[\s/>])", re.I)
+_PARAGRAPH = re.compile(r"<p(?=[\s>])", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,6 +121,21 @@ class _Page:
                 return
 
 
+def _page_forms(page: str) -> set[int]:
+    """Where a form begins that has most of the page's paragraphs, and three at least."""
+    out, begin, every = set(), None, None
+    for match in _FORM.finditer(page):
+        if match[1] and begin is not None:
+            every = every or [m.start() for m in _PARAGRAPH.finditer(page)]
+            inside = bisect.bisect(every, match.start()) - bisect.bisect(every, begin)
+            if inside >= 3 and 2 * inside > len(every):
+                out.add(begin)
+            begin = None
+        elif not match[1] and begin is None:
+            begin = match.start()
+    return out
+
+
 def _holders(page: str) -> set[int]:
     """Where the start tags stand of the first main element, its first article (of the page's, without a main element)
     and the elements around them."""
@@ -116,7 +144,7 @@ def _holders(page: str) -> set[int]:
     stack: list[tuple[str, int]] = []
     open_: Counter = Counter()
     if not re.search(r"<(?:article|main)[\s/>]", page, re.I):
-        return set()
+        return _page_forms(page)
     at = 0
     while match := _TOKEN.search(page, at):
         at = match.end()
@@ -145,20 +173,38 @@ def _holders(page: str) -> set[int]:
     return set().union(*seen.values())
 
 
-def _marks(tag: str, attributes: str, main: bool, holder: bool = False) -> tuple[bool, bool]:
+def _whole_name(token: str) -> bool:
+    """Does a class name as a whole say boilerplate: a name of the list, alone or with words that add nothing."""
+    parts = [p.lower() for p in _PARTS.findall(token)]
+    return bool(parts) and parts[0] in _NAMES and all(p in _NAMES or p in _GENERIC for p in parts[1:])
+
+
+def _marks(tag: str, raw: str, main: bool, holder: bool = False) -> tuple[bool, bool]:
     """Is the element boilerplate; does it hold the main text. Of a ``holder`` (an element around the article or main
-    element) the name says nothing."""
+    element) the name says nothing. ``main``: the element is or lies in an article or main element. There only whole
+    names count, and an id only if it tells of comments; headings are never boilerplate by their name."""
+    attributes: dict[str, str] = {}
+    for match in _ATTRIBUTE.finditer(raw):
+        attributes.setdefault(match[1].lower(), match[2] or match[3] or match[4] or "")
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+    tokens = {name: attributes[name].split() for name in _NAMING if name in attributes}
     names = set()
-    for match in _NAMED.finditer(attributes):
-        for word in next(g for g in match.groups() if g is not None).split():
-            parts = [p.lower() for p in _PARTS.findall(word)]
-            if not (len(parts) > 1 and parts[0] in _BESIDE):
-                names.update(parts)
+    for word in itertools.chain.from_iterable(tokens.values()):
+        parts = [p.lower() for p in _PARTS.findall(word)]
+        if not (len(parts) > 1 and parts[0] in _BESIDE):
+            names.update(parts)
     is_main = tag in ("article", "main") or ("article" in names and "body" in names)
     if tag in _PAGE or holder:
-        return bool(attributes and _HIDDEN.search(attributes)), is_main
-    bad = tag in _BOILERPLATE or bool(names & _NAMES) or (not main and (tag == "header" or bool(names & _OUTER_NAMES)))
-    return bad or bool(attributes and _HIDDEN.search(attributes)), is_main
+        return hidden, is_main
+    if tag in _HEADINGS:
+        named = False
+    elif main:
+        named = (any(_whole_name(t) for name in ("class", "role", "itemprop") for t in tokens.get(name, ()))
+                 or _whole_name(attributes.get("aria-label", ""))
+                 or any(_whole_name(t) and not _COMMENTS.isdisjoint(p.lower() for p in _PARTS.findall(t)) for t in tokens.get("id", ())))
+    else:
+        named = bool(names & _NAMES) or tag == "header" or bool(names & _OUTER_NAMES)
+    return tag in _BOILERPLATE or named or hidden, is_main
 
 
 def page_blocks(page: str) -> list[Block]:

@@ -53,6 +53,32 @@ def test_names_of_the_page_hide_nothing(before, after):
     assert html_blocks.main_text(f"{before}<p>{PROSE * 4}</p>{outside}<p>{PROSE * 3}</p>{after}") == f"{(PROSE * 4).strip()}\n\n{(PROSE * 3).strip()}"
 
 
+@pytest.mark.parametrize("inner", [
+    "<h2 id='related-work'>Related work</h2>", "<h2 id=search class='nav'>Search</h2>", f"<section id='share-prices'><p>{PROSE}</p></section>",
+    f"<div data-id='ad-17' itemid='nav' data-role=menu><p>{PROSE}</p></div>", f"<div class='share-prices alert-level'><p>{PROSE}</p></div>",
+    f"<p title='class=\"ad\" id=menu'>{PROSE}</p>", f"<div class=grid id=menu><p>{PROSE}</p></div>", f"<p data-style='display:none'>{PROSE}</p>",
+    f"<div data-x='{'y' * 4001} > z'><p>{PROSE}</p></div>", f"<div data-x=\"{'<p>' * 20_000}\"><p>{PROSE}</p></div>"])
+def test_names_that_only_look_like_boilerplate(inner):
+    """Ids and tails of other attributes inside an article, also in a later article, and attributes of any length."""
+    kept = html.unescape(re.sub("<[^>]*>", "", inner[inner.rindex("<p") if "<p" in inner else 0:])).strip()
+    kept = kept[kept.index("The cat"):] if "The cat" in kept else kept
+    first, last = (PROSE * 4).strip(), (PROSE * 3).strip()
+    assert html_blocks.main_text(f"<article><p>{first}</p>{inner}<p>{last}</p></article>") == f"{first}\n\n{kept}\n\n{last}"
+    assert html_blocks.main_text(f"<article><p>{first}</p></article><article class='post comments-open'>{inner}<p>{last}</p></article>") == f"{first}\n\n{kept}\n\n{last}"
+
+
+@pytest.mark.parametrize("inner", [
+    "class=ad", "class='share-buttons x'", "class='related-posts'", "id=comments", "id='comment-list'", "class='newsletter-form'", "role=navigation", "aria-label='Share buttons'", "CLASS=Sidebar"])
+def test_boilerplate_inside_articles(inner):
+    assert html_blocks.main_text(f"<article><p>{PROSE * 4}</p><div {inner}><p>{PROSE * 2}</p></div></article>") == (PROSE * 4).strip()
+
+
+def test_form_around_the_page():
+    text = "".join(f"<p>{PROSE * 4}</p>" for _ in range(3))
+    assert html_blocks.main_text(f"<body><form action=x>{text}</form></body>") == "\n\n".join([(PROSE * 4).strip()] * 3)
+    assert html_blocks.main_text(f"<body>{text}<p>{PROSE * 4}</p><form><p>{PROSE * 4}</p><p>Name</p><p>Mail</p></form></body>") == "\n\n".join([(PROSE * 4).strip()] * 4)
+
+
 def test_comments_in_articles_stay_out():
     page = f"<main><article><p>{PROSE}</p></article><div class=comments><article class=comment><p>{PROSE * 4}</p></article></div></main>"
     assert html_blocks.main_text(page) == PROSE.strip()
@@ -69,7 +95,7 @@ def test_neighbours_decide_short_blocks():
 
 
 def test_long_and_broken_pages():
-    for page in ("<div>" * 50_000 + "x", "<a href='" * 20_000, "<" * 100_000, "</p>" * 50_000, "<p>" * 50_000, "&" * 50_000, "<!--" * 20_000, '<a b="' * 20_000):
+    for page in ("<div>" * 50_000 + "x", "<a href='" * 20_000, "<" * 100_000, "</p>" * 50_000, "<p>" * 50_000, "&" * 50_000, "<!--" * 20_000, '<a b="' * 20_000, "<a b='" + '<i c="x>' * 20_000, "<b c=' >" * 20_001, '<b "' + "x " * 50_000 + "<p>" * 20_000):
         html_blocks.main_text(page)
 
 
