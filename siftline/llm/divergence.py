@@ -2,10 +2,11 @@
 
 Which terms those are is found by iceberg prefix refinement. A level looks at the first bytes of every term, four bytes
 at first and four times as many at each further level; a term that is no longer than that is complete there. It counts
-in how many documents of a language each prefix occurs and discards those below the threshold. The next level looks
-only at terms whose prefix is left, until all that is left are complete terms, and only those are counted by source.
-What is left of a level is known to the next one as a bitmap of hashes of bounded size; a full bitmap or two terms with
-one hash let too much through, never too little, and the counts of whole terms decide in the end.
+in how many documents of a language each prefix occurs and discards those below the threshold. Complete terms that are
+left are settled; the next level extends only the other prefixes that are left, until none is. Then only the settled
+terms are counted by source. What is left of a level is known to the next one as a bitmap of hashes of bounded size; a
+full bitmap or two terms with one hash let too much through, never too little, and the counts of whole terms decide in
+the end.
 
 Sources of a language are compared in pairs of tiles of about ``TILE`` sources. A task holds some terms of one pair of
 tiles, in the order of the term, and keeps only the sums of the pairs. Terms that neither tile has are not read: their
@@ -14,6 +15,7 @@ share is the same for all of them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ GATHERED = 1 << 20
 #: Bytes of text in a block of the last pass.
 COUNTED_BYTES = 8 << 20
 _CHUNK = 1 << 12
+#: Counts below this have a product with ``SCALE`` of 64 bits.
+_NARROW = 9 * 10**9
 # Fixed value: bytes of terms are ASCII letters and all bytes of other characters.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -100,7 +104,8 @@ def _per_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---- the levels
 
 def _level(docs: DataFrame, size: int, before: int, bitmap: Broadcast | None, least: int) -> DataFrame:
-    """key, docs and open (does a longer term begin so) of the prefixes of ``size`` bytes that enough documents have."""
+    """key, docs and open (do longer terms begin so) of the prefixes of ``size`` bytes that enough documents have, of terms
+    that are longer than ``before`` bytes and have those in the bitmap."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -118,6 +123,9 @@ def _level(docs: DataFrame, size: int, before: int, bitmap: Broadcast | None, le
         entries = 0
         for block in blocks(batches, "text"):
             data, starts, lengths, doc = _terms(block.column("text"))
+            if before:
+                longer = lengths > before
+                starts, lengths, doc = starts[longer], lengths[longer], doc[longer]
             seeds = _seeds(block.column("lang"))[doc]
             if bitmap is not None:
                 left = _in_bitmap(bitmap.value, _prefix_keys(data, starts, lengths, before, seeds))
@@ -154,25 +162,27 @@ def _bitmap(keys: DataFrame, count: int, bits: tuple[int, int]) -> np.ndarray:
 
 
 def refined(docs: DataFrame, least: int = LEAST, first: int = FIRST, factor: int = FACTOR, bits: tuple[int, int] = BITS) -> tuple[int, Broadcast]:
-    """Bytes of the last level's prefixes, and the bitmap of what is left there: complete terms only."""
+    """Bytes of the last level's prefixes, and the bitmap of the terms that all levels together have settled."""
     spark = docs.sparkSession
-    size, before, bitmap = first, 0, None
+    size, before, bitmap, settled = first, 0, None, []
     while True:
         left = keep(_level(docs, size, before, bitmap, least))
-        count, more = left.agg(F.count("*"), F.coalesce(F.max("open"), F.lit(False))).first()
-        bitmap = spark.sparkContext.broadcast(_bitmap(left, count, bits))
-        if not more:
-            return size, bitmap
+        settled.append(left.where("not open"))
+        extended = left.where("open")
+        if not (count := extended.count()):
+            break
+        bitmap = spark.sparkContext.broadcast(_bitmap(extended, count, bits))
         size, before = size * factor, size
+    every = functools.reduce(DataFrame.unionAll, settled)
+    return size, spark.sparkContext.broadcast(_bitmap(every, every.count(), bits))
 
 
 def _stated(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def term_counts(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:
-    """lang, source, term, n (occurrences in the group) and lang_n (in the language) of the terms that at least
-    ``least`` documents of the language have, for every group of ``docs`` (lang, source, text) in which they occur."""
+def _counted(docs: DataFrame, least: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, docs, n) of the settled terms, and (lang, term, lang_n) of those that enough documents have."""
     docs = _stated(docs)
     size, bitmap = refined(docs, least, **options)
 
@@ -195,17 +205,28 @@ def term_counts(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:
                 names=["lang", "source", "term", "docs", "n"])
 
     found = docs.mapInArrow(count, "lang string, source string, term string, docs long, n long")
-    counts = keep(found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    # a block's rows are sums already, and few of them meet again in its task
+    dealt = found.repartition(max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "lang", "source", "term")
+    counts = keep(dealt.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
-    return counts.drop("docs").join(kept.drop("docs"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    return counts, keep(kept.drop("docs"))
+
+
+def term_counts(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:
+    """lang, source, term, n (occurrences in the group) and lang_n (in the language) of the terms that at least
+    ``least`` documents of the language have, for every group of ``docs`` (lang, source, text) in which they occur."""
+    counts, kept = _counted(docs, least, **options)
+    return counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
 
 
 # ---- divergence
 
 def _share(n: Column) -> Column:
     """The smoothed share of a term with ``n`` of ``total`` occurrences among ``terms`` terms, in parts of a billion."""
-    above = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return F.call_function("div", above, F.greatest(F.col("total") + F.col("terms"), F.lit(1)).cast("decimal(20,0)")) + 1
+    whole = F.greatest(F.col("total") + F.col("terms"), F.lit(1))
+    wide = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
+    return 1 + F.when(n < _NARROW, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), whole)).otherwise(
+        F.call_function("div", wide, whole.cast("decimal(20,0)")))
 
 
 def _gain(p: str, q: str) -> Column:
@@ -346,8 +367,9 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, **options) -
     pairs of value 0; one with a single source has no pairs. Every row of ``docs`` is a document, repeated rows too;
     other columns are not read; an empty table gives none.
     """
-    counts = keep(term_counts(docs, least, **options))
-    langs = counts.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
+    every, kept = _counted(docs, least, **options)
+    counts = keep(every.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     none = F.lit(0).cast("long")
     groups = keep(_stated(docs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(

@@ -90,8 +90,9 @@ def test_levels_end_with_complete_terms(spark):
 def test_counts_beyond_long_products(spark):
     """A count whose product with a billion needs more than 64 bits."""
     n = 10**13
-    df = spark.createDataFrame([(n, 2 * n, 7)], "n long, total long, terms long")
-    assert df.select(divergence._share(df["n"])).first()[0] == 1 + 10**9 * (n + 1) // (2 * n + 7)
+    rows = [(n, 2 * n, 7), (9 * 10**9 - 1, 10**10, 3), (9 * 10**9, 10**10, 3), (0, 0, 5)]
+    df = spark.createDataFrame(rows, "n long, total long, terms long")
+    assert [r[0] for r in df.select(divergence._share(df["n"])).collect()] == [1 + 10**9 * (n + 1) // (total + terms) for n, total, terms in rows]
 
 
 def test_batches_cut_anywhere(spark, monkeypatch):
