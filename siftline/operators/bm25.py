@@ -103,19 +103,38 @@ def best(match: Match, k: int = vocab.TOP_K) -> DataFrame:
 # ---- scan: nothing but statistics and winners leaves a task ----
 
 @dataclass(frozen=True)
-class _Block:
-    """Queries that are searched together: their terms, and for each (corpus, term) which
-    queries have it and with which weight."""
+class Block:
+    """Queries that are searched together: their terms, and for each (corpus, term) that one
+    of them asks for, which queries have it and with which weight."""
 
     words: pa.Array  # different terms
     corpora: dict  # corpus -> number
     queries: np.ndarray  # query ids
-    offsets: np.ndarray  # of each corpus * words + term in the next two
+    keys: np.ndarray  # corpus * words + term, sorted
+    offsets: np.ndarray  # of each key in the next two
     query: np.ndarray
     weight: np.ndarray
     avg_len: np.ndarray  # of each corpus
     query_corpus: np.ndarray
 
+    def numbers(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The number of each row's corpus, -1 for those nobody asks for."""
+        return _numbers(batch, self.corpora)
+
+
+def _numbers(batch: pa.RecordBatch, corpora: dict) -> np.ndarray:
+    coded = batch.column("corpus").dictionary_encode()
+    known = np.array([*(corpora.get(c, -1) for c in coded.dictionary.to_pylist()), corpora.get(None, -1)], np.int64)
+    return known[pc.fill_null(coded.indices, len(known) - 1).to_numpy()]
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of ``wanted`` stands in ``keys``, -1 if nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
 
 def _tokens(passages: DataFrame) -> DataFrame:
     return passages.select("corpus", "pid", tx.tokenize(F.col("text")).alias("tokens"))
@@ -135,56 +154,78 @@ def _postings(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.nd
     return key // max(len(words), 1), key % max(len(words), 1), tf, sizes
 
 
-def _statistics(tokens: DataFrame, words: pa.Array) -> DataFrame:
-    """corpus, word (number; -1 for the passages themselves), n, length: summed per task first."""
-    shipped = tokens.sparkSession.sparkContext.broadcast(words)
+def _statistics(tokens: DataFrame, words: pa.Array, corpora: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document frequency of each key; passages and length of each corpus. Summed per task first; what comes to the
+    driver is no longer than the keys and corpora."""
+    shipped = tokens.sparkSession.sparkContext.broadcast((words, corpora, keys))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict = {}
+        words, corpora, keys = shipped.value
+        df, totals = np.zeros(len(keys), np.int64), np.zeros((len(corpora), 2), np.int64)
         for batch in batches:
-            row, word, _, sizes = _postings(batch, shipped.value)
-            corpus = np.array(batch.column("corpus").to_pylist(), object)
-            for name in set(corpus):
-                mine = corpus == name
-                sums, total = found.setdefault(name, (np.zeros(len(shipped.value), np.int64), np.zeros(2, np.int64)))
-                sums += np.bincount(word[mine[row]], minlength=len(sums))
-                total += (mine.sum(), sizes[mine].sum())
-            if len(found) * (len(shipped.value) + 8) > 1 << 22:
-                yield from told(found)
-        yield from told(found)
-
-    def told(found: dict) -> Iterator[pa.RecordBatch]:
-        for name, (sums, total) in found.items():
-            full = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_pydict({
-                "corpus": [name] * (len(full) + 1), "word": np.r_[-1, full],
-                "n": np.r_[total[0], sums[full]], "length": np.r_[total[1], np.zeros(len(full), np.int64)]})
-        found.clear()
-
-    kind = tokens.schema["corpus"].dataType.simpleString()
-    return (tokens.mapInArrow(count, f"corpus {kind}, word long, n long, length long")
-            .groupBy("corpus", "word").agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+            row, word, _, sizes = _postings(batch, words)
+            corpus = _numbers(batch, corpora)
+            known = corpus >= 0
+            totals[:, 0] += np.bincount(corpus[known], minlength=len(totals))
+            totals[:, 1] += np.bincount(corpus[known], sizes[known], len(totals)).astype(np.int64)
+            at = _places(keys, corpus[row] * len(words) + word)
+            df += np.bincount(at[at >= 0], minlength=len(df))
+        full, some = np.flatnonzero(df), np.flatnonzero(totals[:, 0])
+        yield pa.RecordBatch.from_pydict({"kind": np.r_[np.zeros(len(full), np.int64), np.ones(len(some), np.int64)], "number": np.r_[full, some],
+                                          "n": np.r_[df[full], totals[some, 0]], "length": np.r_[np.zeros(len(full), np.int64), totals[some, 1]]})
+
+    found = (tokens.mapInArrow(count, "kind long, number long, n long, length long")
+             .groupBy("kind", "number").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow())
+    kind, number, n, length = (found[c].to_numpy() for c in ("kind", "number", "n", "length"))
+    df, totals = np.zeros(len(keys), np.int64), np.zeros((len(corpora), 2), np.int64)
+    df[number[kind == 0]] = n[kind == 0]
+    totals[number[kind == 1]] = np.stack([n, length], axis=1)[kind == 1]
+    return df, totals
+
+
+def make_block(tokens: DataFrame, rows: list[tuple]) -> tuple[Block, DataFrame]:
+    """The block of some queries (query_id, corpus, different terms), and the rows of ``tokens`` (corpus, tokens, ...)
+    that it can meet. Its size follows the (query, term) pairs, however many corpora and terms there are."""
+    words = sorted({t for _, _, ts in rows for t in ts})
+    names = sorted({c for _, c, _ in rows}, key=repr)
+    number, corpora, array = {w: i for i, w in enumerate(words)}, {c: i for i, c in enumerate(names)}, pa.array(words, pa.string())
+    wanted = tokens.where(F.col("corpus").isin(names)) if len(names) <= 1000 and None not in corpora else tokens
+    corpus = np.array([corpora[c] for _, c, _ in rows], np.int64)
+    query = np.repeat(np.arange(len(rows)), [len(ts) for _, _, ts in rows])
+    pairs = corpus[query] * len(words) + np.array([number[t] for _, _, ts in rows for t in ts], np.int64)
+    order = np.argsort(pairs, kind="stable")
+    keys, first = np.unique(pairs[order], return_index=True)
+    df, totals = _statistics(wanted, array, corpora, keys)
+    # a term that no passage has gives nobody a weight
+    of = keys // max(len(words), 1)
+    weight = np.array([math.log(1.0 + (total - n + 0.5) / (n + 0.5)) if n else 0.0 for total, n in zip(totals[of, 0].tolist(), df.tolist())])
+    offsets = np.r_[first, len(order)]
+    avg_len = totals[:, 1] / np.maximum(totals[:, 0], 1)
+    return Block(array, corpora, np.array([r[0] for r in rows], np.int64), keys, offsets, query[order], np.repeat(weight, np.diff(offsets)), avg_len, corpus), wanted
+
+
+def matches(own: Block, batch: pa.RecordBatch, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row, term and what it adds, for every term that a query of the block shares with a row of its corpus."""
+    row, word, tf, sizes = _postings(batch, own.words)
+    corpus = own.numbers(batch)[row]
+    place = np.where(corpus >= 0, _places(own.keys, corpus * len(own.words) + word), -1)
+    known = place >= 0
+    row, word, tf, corpus, place = row[known], word[known], tf[known], corpus[known], place[known]
+    avg = own.avg_len[corpus]
+    gains = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * sizes[row] / np.where(avg > 0, avg, 1.0)))
+    count = own.offsets[place + 1] - own.offsets[place]
+    ends = np.cumsum(count)
+    index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(own.offsets[place] - (ends - count), count)
+    return own.query[index], np.repeat(row, count), np.repeat(word, count), own.weight[index] * np.repeat(gains, count)
 
 
 def _winners(block, k: int, shown: int, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = block.value
-        n, kept = len(own.words), {}
+        own, kept = block.value, {}
         for whole in batches:
             for start in range(0, len(whole), TILE):
                 batch = whole.slice(start, TILE)
-                row, word, tf, sizes = _postings(batch, own.words)
-                corpus = np.array([own.corpora.get(c, -1) for c in batch.column("corpus").to_pylist()], np.int64)
-                known = corpus[row] >= 0
-                row, word, tf = row[known], word[known], tf[known]
-                avg = own.avg_len[corpus[row]]
-                gains = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * sizes[row] / np.where(avg > 0, avg, 1.0)))
-                at = corpus[row] * n + word
-                count = np.where(avg > 0, own.offsets[at + 1] - own.offsets[at], 0)
-                ends = np.cumsum(count)
-                index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(own.offsets[at] - (ends - count), count)
-                query, part = own.query[index], own.weight[index] * np.repeat(gains, count)
-                row, word = np.repeat(row, count), np.repeat(word, count)
+                query, row, word, part = matches(own, batch, k1, b)
                 pair, place = np.unique(query * np.int64(TILE) + row, return_inverse=True)
                 score = half_up(np.bincount(place, part, minlength=len(pair))[None])[0]
                 pid = batch.column("pid").to_numpy()[pair % TILE]
@@ -225,26 +266,7 @@ def scan_best(passages: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, sho
     sc = passages.sparkSession.sparkContext
 
     def search(rows: list[tuple]) -> DataFrame:
-        words = sorted({t for _, _, ts in rows for t in ts})
-        number = {w: i for i, w in enumerate(words)}
-        array = pa.array(words, pa.string())
-        names = sorted({c for _, c, _ in rows}, key=repr)
-        wanted = tokens.where(F.col("corpus").isin(names)) if len(names) <= 1000 else tokens
-        stats = {(r["corpus"], r["word"]): (r["n"], r["length"]) for r in _statistics(wanted, array).toLocalIterator()}
-        corpora = {c: i for i, c in enumerate(names)}
-        entries = []
-        for q, (_, c, ts) in enumerate(rows):
-            total = stats.get((c, -1), (0, 0))[0]
-            for t in ts:
-                df = stats.get((c, number[t]), (0, 0))[0]
-                if df:
-                    entries.append((corpora[c] * len(words) + number[t], q, math.log(1.0 + (total - df + 0.5) / (df + 0.5))))
-        entries.sort()
-        place = np.array([e[0] for e in entries], np.int64)
-        lengths = [stats.get((c, -1), (0, 0)) for c in names]
-        block = _Block(array, corpora, np.array([r[0] for r in rows], np.int64), np.searchsorted(place, np.arange(len(names) * len(words) + 1)),
-                       np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.float64),
-                       np.array([length / n if n else 0.0 for n, length in lengths]), np.array([corpora[r[1]] for r in rows], np.int64))
+        block, wanted = make_block(tokens, rows)
         return wanted.mapInArrow(_winners(sc.broadcast(block), k, shown, k1, b), "query_id long, pid long, bm25 double, terms array<string>")
 
     rows, size = [], 0

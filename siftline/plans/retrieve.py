@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx, vocab
-from ..operators import bm25, dense, fusion
+from ..operators import bm25, dense, fusion, pool
 from ..session import cut_lineage
 
 
@@ -38,10 +38,12 @@ def fused_pairs(passages: DataFrame, queries: DataFrame, match: bm25.Match | Non
 
 def candidate_pool(passages: DataFrame, queries: DataFrame, budget: int = vocab.POOL_BUDGET,
                    min_per_lang: int = vocab.POOL_MIN_PER_LANG) -> DataFrame:
-    """At most ``budget`` candidates per query with all scores and matched terms."""
-    match = bm25.match_passages(passages, queries)
-    pool = fusion.select_pool(fused_pairs(passages, queries, match), budget, min_per_lang)
-    return cut_lineage(bm25.explain(cut_lineage(pool), match))
+    """At most ``budget`` candidates per query with all scores and matched terms. No goal is
+    compared with its passages outside a task, see ``operators.pool``."""
+    found = pool.candidates(passages, queries, budget, min_per_lang)
+    others = [c for c in passages.columns if c not in ("text", "vector")]
+    rows = cut_lineage(found).join(passages.select(others), "pid")
+    return cut_lineage(fusion.select_pool(rows, budget, min_per_lang))
 
 
 def retrieve(passages: DataFrame, queries: DataFrame, responses: DataFrame | None = None,
@@ -54,13 +56,13 @@ def retrieve(passages: DataFrame, queries: DataFrame, responses: DataFrame | Non
     spark = passages.sparkSession
     if responses is None:
         responses = spark.createDataFrame([], "query_id long, cand_idx long, pos long, score double")
-    pool = candidate_pool(passages, queries, budget, min_per_lang)
-    merged = fusion.merge_rerank(pool, responses)
+    chosen = candidate_pool(passages, queries, budget, min_per_lang)
+    merged = fusion.merge_rerank(chosen, responses)
     items = fusion.diversify(merged, top_k=top_k, per_source=per_source)
-    return items, stage_log(passages, queries, pool, merged)
+    return items, stage_log(passages, queries, chosen, merged)
 
 
-def stage_log(passages: DataFrame, queries: DataFrame, pool: DataFrame, merged: DataFrame) -> DataFrame:
+def stage_log(passages: DataFrame, queries: DataFrame, chosen: DataFrame, merged: DataFrame) -> DataFrame:
     """Audit counts. Languages are counted per corpus before the queries join, so their
     cost does not grow with the number of queries."""
     vector = F.count("vector") if "vector" in passages.columns else F.lit(0)
@@ -73,7 +75,7 @@ def stage_log(passages: DataFrame, queries: DataFrame, pool: DataFrame, merged:
         F.array_sort(F.collect_list(F.struct("lang", "passages"))).alias("languages"),
     )
     with_vector = F.col("vector").isNotNull() if "vector" in queries.columns else F.lit(False)
-    outcome = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates")).join(
+    outcome = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates")).join(
         merged.groupBy("query_id").agg(F.max("reranked").alias("reranked")), "query_id")
     dense_on = F.col("_qv") & (F.col("vectors") > 0)
     return (
