@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.operators import bm25, corpus, dense, fusion, tfidf
+from siftline.operators import blockmax, bm25, corpus, dense, fusion, tfidf
 from siftline.plans import retrieve
+from siftline.session import cut_lineage
 
 from . import Registry, table
 from .sqltext import lang, tokens
@@ -52,9 +53,9 @@ def bm25_topk(spark, folder):
 
 @registry.add(registry.sql["bm25_topk"])
 def bm25_index_topk(spark, folder):
-    """The same answer through the term index."""
-    index = corpus.build_index(_passages(spark, folder))
-    best = bm25.best(bm25.match_index(index, _queries(spark, folder)))
+    """The same answer from a kept index, block by block."""
+    index = cut_lineage(blockmax.build(_passages(spark, folder)))
+    best, _ = blockmax.search(index, _queries(spark, folder))
     return best.select("query_id", "pid", "bm25", "rank", F.array_join("terms", ",").alias("terms"))
 
 

@@ -25,6 +25,7 @@ from .ranking import top
 
 # Query terms that are searched for together, and passages that are scored together.
 BLOCK_TERMS, TILE = 1 << 18, 1 << 12
+STATISTICS = "kind long, number long, n long, length long"
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def _tokens(passages: DataFrame) -> DataFrame:
 
 
 def _postings(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word and frequency of every wanted word in the rows of a batch, and all lengths."""
+    """Row, word and frequency of every wanted word in the rows of a batch, and all lengths (in the column dl, if other
+    words were left out before)."""
     lists = batch.column("tokens")
     flat = lists.flatten()
     sizes = np.diff(lists.offsets.to_numpy())
@@ -151,7 +153,8 @@ def _postings(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.nd
     row = np.repeat(np.arange(len(sizes)), sizes)
     wanted = word >= 0
     key, tf = np.unique(row[wanted] * np.int64(max(len(words), 1)) + word[wanted], return_counts=True)
-    return key // max(len(words), 1), key % max(len(words), 1), tf, sizes
+    lengths = batch.column("dl").to_numpy() if "dl" in batch.schema.names else sizes
+    return key // max(len(words), 1), key % max(len(words), 1), tf, lengths
 
 
 def _statistics(tokens: DataFrame, words: pa.Array, corpora: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,18 +177,22 @@ def _statistics(tokens: DataFrame, words: pa.Array, corpora: dict, keys: np.ndar
         yield pa.RecordBatch.from_pydict({"kind": np.r_[np.zeros(len(full), np.int64), np.ones(len(some), np.int64)], "number": np.r_[full, some],
                                           "n": np.r_[df[full], totals[some, 0]], "length": np.r_[np.zeros(len(full), np.int64), totals[some, 1]]})
 
-    found = (tokens.mapInArrow(count, "kind long, number long, n long, length long")
-             .groupBy("kind", "number").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow())
-    kind, number, n, length = (found[c].to_numpy() for c in ("kind", "number", "n", "length"))
-    df, totals = np.zeros(len(keys), np.int64), np.zeros((len(corpora), 2), np.int64)
+    return gathered(tokens.mapInArrow(count, STATISTICS), len(keys), len(corpora))
+
+
+def gathered(found: DataFrame, keys: int, corpora: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of what the tasks have counted."""
+    table = found.groupBy("kind", "number").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow()
+    kind, number, n, length = (table[c].to_numpy() for c in ("kind", "number", "n", "length"))
+    df, totals = np.zeros(keys, np.int64), np.zeros((corpora, 2), np.int64)
     df[number[kind == 0]] = n[kind == 0]
     totals[number[kind == 1]] = np.stack([n, length], axis=1)[kind == 1]
     return df, totals
 
 
-def make_block(tokens: DataFrame, rows: list[tuple]) -> tuple[Block, DataFrame]:
-    """The block of some queries (query_id, corpus, different terms), and the rows of ``tokens`` (corpus, tokens, ...)
-    that it can meet. Its size follows the (query, term) pairs, however many corpora and terms there are."""
+def make_block(tokens: DataFrame, rows: list[tuple], statistics=_statistics) -> tuple[Block, DataFrame]:
+    """The block of some queries (query_id, corpus, different terms), and the rows of ``tokens`` (corpus, tokens, ...; or
+    what ``statistics`` reads) that it can meet. Its size follows the (query, term) pairs, however many corpora and terms there are."""
     words = sorted({t for _, _, ts in rows for t in ts})
     names = sorted({c for _, c, _ in rows}, key=repr)
     number, corpora, array = {w: i for i, w in enumerate(words)}, {c: i for i, c in enumerate(names)}, pa.array(words, pa.string())
@@ -195,7 +202,7 @@ def make_block(tokens: DataFrame, rows: list[tuple]) -> tuple[Block, DataFrame]:
     pairs = corpus[query] * len(words) + np.array([number[t] for _, _, ts in rows for t in ts], np.int64)
     order = np.argsort(pairs, kind="stable")
     keys, first = np.unique(pairs[order], return_index=True)
-    df, totals = _statistics(wanted, array, corpora, keys)
+    df, totals = statistics(wanted, array, corpora, keys)
     # a term that no passage has gives nobody a weight
     of = keys // max(len(words), 1)
     weight = np.array([math.log(1.0 + (total - n + 0.5) / (n + 0.5)) if n else 0.0 for total, n in zip(totals[of, 0].tolist(), df.tolist())])
@@ -269,13 +276,20 @@ def scan_best(passages: DataFrame, queries: DataFrame, k: int = vocab.TOP_K, sho
         block, wanted = make_block(tokens, rows)
         return wanted.mapInArrow(_winners(sc.broadcast(block), k, shown, k1, b), "query_id long, pid long, bm25 double, terms array<string>")
 
-    rows, size = [], 0
+    for rows in query_blocks(queries):
+        parts.append(search(rows))
+    return top(functools.reduce(DataFrame.unionByName, parts), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k)
+
+
+def query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+    """Queries with a term as (query_id, corpus, terms), in blocks of ``BLOCK_TERMS`` terms or one query; one block at
+    least, if an empty one."""
+    rows, size, told = [], 0, False
     for r in queries.select("query_id", "corpus", F.array_distinct(tx.tokenize(F.col("text"))).alias("t")).where("size(t) > 0").toLocalIterator():
         rows.append((r["query_id"], r["corpus"], r["t"]))
         size += len(r["t"])
         if size >= BLOCK_TERMS:
-            parts.append(search(rows))
-            rows, size = [], 0
-    if rows or not parts:
-        parts.append(search(rows))
-    return top(functools.reduce(DataFrame.unionByName, parts), ["query_id"], [F.col("bm25").desc(), F.col("pid")], k)
+            yield rows
+            rows, size, told = [], 0, True
+    if rows or not told:
+        yield rows

@@ -1,9 +1,9 @@
 """Hybrid candidates of many goals without a table of goals and passages: a threshold algorithm over two ranked lists.
 
 The hybrid score of a passage falls with its BM25 rank and its cosine rank among all passages of the goal's corpus. One
-scan keeps, for each goal and language, the ``size`` best passages by either score, and the passages with the smallest
+scan of the texts leaves the goals' terms of each passage; all else reads those. A first pass keeps, for each goal and language, the ``size`` best passages by either score, and the passages with the smallest
 ids, which lead those that share no term with the goal. A passage in neither list lies behind both, so its score has a
-bound. A second scan looks up the scores of what was listed, a third one counts in each task how many passages lie
+bound. A second pass looks up the scores of what was listed, a third one counts in each task how many passages lie
 ahead of them: that gives their exact ranks. If the best of them beat the bound the goal is decided; the others go on
 with longer lists. What leaves a task are lists and counts, never a row for each goal and passage.
 """
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -113,6 +114,25 @@ class _Best:
         return group[kept], score[kept], pid[kept]
 
 
+def _asked(words: Broadcast):
+    """Rows with the wanted words as tokens and the number of all tokens as dl."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, offsets = tokens.flatten(), tokens.offsets.to_numpy()
+            coded = flat.dictionary_encode()
+            known = pc.is_in(coded.dictionary, value_set=words.value).to_numpy(zero_copy_only=False)
+            kept = known[coded.indices.to_numpy()] if len(flat) else np.zeros(0, bool)
+            edges = np.r_[0, np.cumsum(kept)][offsets - offsets[0]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("corpus"), batch.column("pid"), batch.column("lang"), pa.array(np.diff(offsets).astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat.filter(pa.array(kept))), batch.column("vector")],
+                names=["corpus", "pid", "lang", "dl", "tokens", "vector"])
+
+    return run
+
+
 def _lists(shipped: Broadcast, size: int, k1: float, b: float):
     """kind 0 and 1: the lists by BM25 and cosine (of: goal); 2: the smallest ids (of: corpus); 3: passages (score) and
     vectors (pid) of a language."""
@@ -320,7 +340,12 @@ def candidates(passages: DataFrame, queries: DataFrame, budget: int = vocab.POOL
 def _solve(spark: SparkSession, rows: DataFrame, goals: list[tuple], size: int, budget: int, quota: int, k: int,
            weights: tuple[float, float], shown: int, k1: float, b: float) -> tuple[pa.Table, list[tuple]]:
     """The rows of the decided goals of a block, and the other goals."""
-    block, wanted = bm25.make_block(rows, [g[:3] for g in goals])
+    kind = rows.schema["corpus"].dataType.simpleString()
+    names = {g[1] for g in goals}
+    words = spark.sparkContext.broadcast(pa.array(sorted({t for g in goals for t in g[2]}), pa.string()))
+    own = rows.where(F.col("corpus").isin(list(names))) if len(names) <= 1000 else rows
+    short = cut_lineage(own.mapInArrow(_asked(words), f"corpus {kind}, pid long, lang string, dl long, tokens array<string>, vector array<double>"))
+    block, wanted = bm25.make_block(short, [g[:3] for g in goals])
     dims = {len(g[3]) for g in goals if g[3] is not None}
     if len(dims) > 1:
         raise ValueError("goal vectors differ in length")
