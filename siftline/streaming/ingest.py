@@ -7,10 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog, chunks, grids, sections
 from ..session import cut_lineage
-from ..sources import files as fs
-from ..sources.sinks import read_bucketed, replace_documents
+from ..sources import files as fs, versions
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+MANIFEST = "document_id string, modified timestamp, length long"
+LOG = "document_id string, status string, warnings array<string>, error string"
 #: Types whose bytes are parsed here. Pages, paragraphs and cells of other types come in as tables.
 PARSED = ("txt", "csv")
 #: Rows of a table that its chunk shows.
@@ -58,13 +59,13 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.document_chunks(found, tables), log
 
 
-def apply(files: DataFrame, target: str) -> None:
+def apply(files: DataFrame, target: str, token: str) -> None:
     """Parse ``files`` and replace what ``target`` holds of them: also chunks of which the
-    new version has none."""
+    new version has none. Only these files' rows are written; see ``sources.versions``."""
     rows, log = parse_files(files)
     parsed = files.select(F.col("path").alias("document_id"))
-    replace_documents(rows, parsed, f"{target}/chunks")
-    replace_documents(log, parsed, f"{target}/log")
+    versions.replace(rows, parsed, f"{target}/chunks", token)
+    versions.replace(log, parsed, f"{target}/log", token)
 
 
 def sync(spark: SparkSession, folder: str, target: str) -> int:
@@ -72,26 +73,37 @@ def sync(spark: SparkSession, folder: str, target: str) -> int:
     differ from the manifest are parsed again, chunks of removed files go. Only names,
     sizes and times of the other files are read. Returns the number of files it handled."""
     listed = cut_lineage(fs.list_files(spark, folder))
-    known = read_bucketed(spark, f"{target}/manifest", "document_id string, modified timestamp, length long")
+    known = versions.read(spark, f"{target}/manifest", MANIFEST)
     manifest = known.withColumnRenamed("document_id", "path")
     changed = cut_lineage(fs.changed_files(listed, manifest).select("path"))
     gone = cut_lineage(fs.removed_files(listed, manifest).select(F.col("path").alias("document_id")))
     number = changed.count() + gone.count()
     if number:
-        apply(fs.scan_files(spark, folder).join(changed, "path", "left_semi"), target)
+        # a sync that broke off is repeated as a whole: the manifest is written last
+        token = f"sync-{max((v.number for v in versions.versions(spark, f'{target}/manifest')), default=0)}"
+        apply(fs.scan_files(spark, folder).join(changed, "path", "left_semi"), target, token)
         for name in ("chunks", "log"):
-            replace_documents(None, gone, f"{target}/{name}")
+            versions.replace(None, gone, f"{target}/{name}", token + "-gone")
         now = listed.join(changed, "path", "left_semi").select(F.col("path").alias("document_id"), "modified", "length")
-        replace_documents(now, changed.select(F.col("path").alias("document_id")).union(gone), f"{target}/manifest")
+        versions.replace(now, changed.select(F.col("path").alias("document_id")).union(gone), f"{target}/manifest", token)
     return number
 
 
+def compact(spark: SparkSession, target: str) -> None:
+    """Write chunks, log and manifest anew as whole tables and drop what they replace. Not while a reader or writer is
+    at work."""
+    chunk_schema = parse_files(fs.with_names(spark.createDataFrame([], _FILE_SCHEMA)))[0].schema
+    for name, schema in (("chunks", chunk_schema), ("log", LOG), ("manifest", MANIFEST)):
+        versions.compact(spark, f"{target}/{name}", schema)
+        versions.expire(spark, f"{target}/{name}")
+
+
 def start(spark: SparkSession, folder: str, target: str, checkpoint: str, **options) -> StreamingQuery:
     """Follow ``folder`` for new files. A replayed batch leaves one copy. The file source
     knows files by path; changed ones are found by ``sync``."""
     stream = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).options(**options).load(folder)
 
-    def step(batch: DataFrame, _number: int) -> None:
-        apply(fs.with_names(batch), target)
+    def step(batch: DataFrame, number: int) -> None:
+        apply(fs.with_names(batch), target, f"{checkpoint}-{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

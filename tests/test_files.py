@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import vocab
 from siftline.operators import hypotheses as hy
 from siftline.session import cut_lineage
-from siftline.sources import feeds, files, library_json, sinks
+from siftline.sources import feeds, files, library_json, sinks, versions
 from siftline.streaming import acquire, ingest
 
 
@@ -135,16 +135,16 @@ def test_drop_folder_stream_equals_batch(spark, tmp_path):
     rows, log = ingest.parse_files(files.scan_files(spark, str(inbox)))
     names = ["document_id", "chunk_index", "section_title", "text"]
     schema = rows.schema.simpleString()[7:-1].replace(":", " ")
-    assert sorted(map(tuple, sinks.read_bucketed(spark, out + "/chunks", schema).select(names).collect())) == sorted(map(tuple, rows.select(names).collect()))
+    assert sorted(map(tuple, versions.read(spark, out + "/chunks", schema).select(names).collect())) == sorted(map(tuple, rows.select(names).collect()))
     assert statuses(spark, out) == {"one.txt": "parsed", "empty.txt": "parsed", "x.zip": "unsupported", "two.txt": "parsed"}
     # A replay from the start leaves the same tables.
     ingest.start(spark, str(inbox), out, str(tmp_path / "cp2")).awaitTermination(120)
-    assert sinks.read_bucketed(spark, out + "/chunks", schema).count() == rows.count()
+    assert versions.read(spark, out + "/chunks", schema).count() == rows.count()
     assert log.count() == 4
 
 
 def statuses(spark, out):
-    log = sinks.read_bucketed(spark, out + "/log", "document_id string, status string, warnings array<string>, error string")
+    log = versions.read(spark, out + "/log", "document_id string, status string, warnings array<string>, error string")
     return {r["document_id"].rsplit("/", 1)[1]: r["status"] for r in log.collect()}
 
 
@@ -160,7 +160,7 @@ def test_folder_sync_parses_what_it_logs(spark, tmp_path):
     assert statuses(spark, out) == {"a.csv": "parsed", "b.txt": "parsed", "c.pdf": "unsupported", "d.csv": "parsed"}
 
     def texts(name):
-        rows = sinks.read_bucketed(spark, out + "/chunks", "document_id string, kind string, text string").collect()
+        rows = versions.read(spark, out + "/chunks", "document_id string, kind string, text string").collect()
         return sorted((r["kind"], r["text"]) for r in rows if r["document_id"].endswith(name))
 
     assert [k for k, _ in texts("a.csv")] == ["table_summary", "text"]
@@ -177,6 +177,59 @@ def test_folder_sync_parses_what_it_logs(spark, tmp_path):
     assert statuses(spark, out) == {"b.txt": "parsed", "c.pdf": "unsupported", "d.csv": "parsed"}
 
 
+def test_versions_merge_on_read(spark, tmp_path):
+    """A write adds its own rows alone, a repeated one leaves one copy, an incomplete one does not count, and a compacted
+    table reads the same."""
+    path, schema = str(tmp_path / "t"), "document_id string, n long, extra string"
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "document_id string, n long")
+
+    def ids(*names):
+        return spark.createDataFrame([(n,) for n in names], "document_id string")
+
+    def state():
+        return sorted((r["document_id"], r["n"]) for r in versions.read(spark, path, schema).collect())
+
+    assert state() == [] and versions.compact(spark, path, schema) is None
+    versions.replace(rows(("a", 1), ("a", 2), ("b", 3)), ids("a", "b"), path, "one")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    versions.replace(rows(("a", 4)), ids("a", "c"), path, "two")
+    assert state() == [("a", 4), ("b", 3)]
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())
+    versions.replace(rows(("a", 1), ("a", 2), ("b", 3)), ids("a", "b"), path, "one")  # repeated: as old as it was
+    assert state() == [("a", 4), ("b", 3)] and len(versions.versions(spark, path)) == 2
+    versions.replace(None, ids("b", "never"), path, "three")
+    assert state() == [("a", 4)]
+    versions.replace(rows(("a", 9)), ids("a"), path, "four")
+    last = versions.versions(spark, path)[-1]
+    (tmp_path / "t" / "documents" / last.folder / "_SUCCESS").unlink()
+    assert state() == [("a", 4)]
+    versions.replace(rows(("a", 5), ("d", 6)), ids("a", "d"), path, "four")
+    assert state() == [("a", 5), ("d", 6)]
+    versions.compact(spark, path, schema)
+    assert state() == [("a", 5), ("d", 6)]
+    assert versions.expire(spark, path) > 0 and len(versions.versions(spark, path)) == 1 and state() == [("a", 5), ("d", 6)]
+    versions.replace(spark.createDataFrame([("d", "new column")], "document_id string, extra string"), ids("d"), path, "five")
+    assert sorted(map(repr, versions.read(spark, path, schema).collect())) == ["Row(document_id='a', n=5, extra=None)", "Row(document_id='d', n=None, extra='new column')"]
+
+
+def test_drop_folder_compaction(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    put(inbox, "a.txt", "Some words of a file.\n")
+    put(inbox, "b.txt", "Some words of another file.\n")
+    ingest.sync(spark, str(inbox), out)
+    put(inbox, "b.txt", "Now it has other words, and more.\n")
+    assert ingest.sync(spark, str(inbox), out) == 1
+    schema = "document_id string, chunk_index long, text string"
+    before = sorted(map(repr, versions.read(spark, out + "/chunks", schema).collect()))
+    ingest.compact(spark, out)
+    assert sorted(map(repr, versions.read(spark, out + "/chunks", schema).collect())) == before and len(before) == 2
+    assert ingest.sync(spark, str(inbox), out) == 0
+    (inbox / "a.txt").unlink()
+    assert ingest.sync(spark, str(inbox), out) == 1 and versions.read(spark, out + "/chunks", schema).count() == 1
+
+
 def test_stream_acquisition_deduplicates_across_batches(spark, tmp_path):
     schema = "project_id long, pos long, title string, year int, reference string, content string"
     inbox, out, point = str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "cp")
