@@ -1,9 +1,11 @@
 """Token ids in fixed-width bit-packed shards.
 
-A shard file is: magic ``SLBP0001``; then little-endian 64-bit integers ``bits``, ``block`` (ids per block),
-``documents``, ``ids``; then ``documents`` + 1 offsets of the documents in the ids; then one offset in bytes for
-each block; then the packed ids. A block starts at a byte, so any block can be read alone: block b holds ids
-[b * block, (b + 1) * block), the id at place p of it in the bits [p * bits, (p + 1) * bits), lowest bit first.
+A shard file is: magic ``SLBP0002``; then little-endian 64-bit integers ``bits``, ``block`` (ids per block),
+``documents``, ``ids``, ``part`` and ``shard`` (its place among all files: files are read in the order of these two); then
+the document ids, and for each document a byte that is 0 if its id is null; then ``documents`` + 1 offsets of the
+documents in the ids; then one offset in bytes for each block; then the packed ids. A block starts at a byte, so any
+block can be read alone: block b holds ids [b * block, (b + 1) * block), the id at place p of it in the bits
+[p * bits, (p + 1) * bits), lowest bit first. The files tell all there is to know; a manifest only names them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from siftline.llm.bpe import encoder, tokenizer_path, vocabulary_size
 from siftline.llm.shared import blocks, keep
 from siftline.session import shared_folder
 
-MAGIC = b"SLBP0001"
+MAGIC = b"SLBP0002"
 BLOCK = 4096
 SHARD_IDS = 4 << 20
 
@@ -40,16 +42,18 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-def shard_bytes(documents: list[bytes], bits: int, block: int = BLOCK) -> bytes:
+def shard_bytes(documents: list[bytes], bits: int, block: int = BLOCK, doc_ids: list[int | None] | None = None, part: int = 0, shard: int = 0) -> bytes:
     """A shard of documents given as little-endian 32-bit ids."""
+    doc_ids = [None] * len(documents) if doc_ids is None else doc_ids
     ids = np.frombuffer(b"".join(documents), "<u4")
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
     sizes = np.fromiter((len(d) // 4 for d in documents), np.int64, len(documents))
     packed = [pack(ids[at: at + block], bits) for at in range(0, len(ids), block)]
     places = np.cumsum([0, *map(len, packed)])[: len(packed)]
-    head = np.array([bits, block, len(documents), len(ids)], "<i8").tobytes()
-    return b"".join([MAGIC, head, np.r_[0, np.cumsum(sizes)].astype("<i8").tobytes(), places.astype("<i8").tobytes(), *packed])
+    head = np.array([bits, block, len(documents), len(ids), part, shard], "<i8").tobytes()
+    names = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is not None for d in doc_ids], np.uint8).tobytes()
+    return b"".join([MAGIC, head, names, np.r_[0, np.cumsum(sizes)].astype("<i8").tobytes(), places.astype("<i8").tobytes(), *packed])
 
 
 class Shard:
@@ -59,11 +63,13 @@ class Shard:
         self.file = file
         if file.read(8) != MAGIC:
             raise ValueError("not a shard")
-        self.bits, self.block, self.documents, self.ids = (int(x) for x in np.frombuffer(file.read(32), "<i8"))
+        self.bits, self.block, self.documents, self.ids, self.part, self.shard = (int(x) for x in np.frombuffer(file.read(48), "<i8"))
+        names = np.frombuffer(file.read(8 * self.documents), "<i8")
+        self.doc_ids = pa.array(names, pa.int64(), mask=np.frombuffer(file.read(self.documents), np.uint8) == 0)
         self.offsets = np.frombuffer(file.read(8 * (self.documents + 1)), "<i8")
         n = -(-self.ids // self.block)
         self.places = np.frombuffer(file.read(8 * n), "<i8")
-        self.base = 40 + 8 * (self.documents + 1 + n)
+        self.base = 56 + 9 * self.documents + 8 * (self.documents + 1 + n)
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids [start, end) of the shard."""
@@ -119,10 +125,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         def flush() -> pa.RecordBatch:
             path = f"{root}/{part:07d}-{shard:05d}-{uuid.uuid4().hex}.slbp"
             with system.open_output_stream(path) as out:
-                out.write(shard_bytes(rows, bits))
+                out.write(shard_bytes(rows, bits, doc_ids=ids, part=part, shard=shard))
             return pa.RecordBatch.from_pydict(
                 {"path": [path], "part": pa.array([part], pa.int64()), "shard": pa.array([shard], pa.int64()),
-                 "doc_ids": pa.array([ids], pa.list_(pa.int64())), "ids": pa.array([size // 4], pa.int64())})
+                 "documents": pa.array([len(rows)], pa.int64()), "ids": pa.array([size // 4], pa.int64())})
 
         for block in blocks(batches, "text", 8 << 20):
             flat, offsets = encoder(tokenizer).encode(block.column("text"))
@@ -141,15 +147,33 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     tied = F.xxhash64("text")
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                .repartitionByRange(n, F.col("doc_id"), tied, F.rand(7)).sortWithinPartitions("doc_id", tied))
-    written = keep(ordered.mapInArrow(write, "path string, part long, shard long, doc_ids array<long>, ids long"))
-    totals = written.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    written = keep(ordered.mapInArrow(write, "path string, part long, shard long, documents long, ids long"))
+    return _placed(written)
+
+
+def _placed(files: DataFrame) -> DataFrame:
+    """``files`` (part, shard, ids, ...) with start, the ids in all files before."""
+    totals = files.groupBy("part").agg(F.sum("ids").alias("part_ids"))
     before = totals.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("part_start"))
     within = Window.partitionBy("part").orderBy("shard")
-    return written.join(before, "part").withColumn("start", F.col("part_start") + F.sum("ids").over(within) - F.col("ids")).drop("part_start")
+    return files.join(before, "part").withColumn("start", F.col("part_start") + F.sum("ids").over(within) - F.col("ids")).drop("part_start")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files of a manifest; ids are little-endian 32-bit integers."""
+    """(doc_id, start, ids) of every document in the files of a manifest, of which only the paths are read; ids are
+    little-endian 32-bit integers. A first pass reads the files' heads, from which follows where each file starts."""
+
+    def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                system, path = _filesystem(name)
+                with system.open_input_file(path) as file:
+                    if file.read(8) != MAGIC:
+                        raise ValueError("not a shard")
+                    found.append([int(x) for x in np.frombuffer(file.read(48), "<i8")[3:]])
+            ids, part, shard = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), part, shard, ids], names=["path", "part", "shard", "ids"])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,13 +189,14 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         ids = shard.read(low, int(shard.offsets[stop])).astype("<u4")
                         own = [ids[int(shard.offsets[i]) - low: int(shard.offsets[i + 1]) - low].tobytes() for i in range(step, stop)]
                         yield pa.RecordBatch.from_pydict(
-                            {"doc_id": pa.array(row["doc_ids"][step:stop], pa.int64()),
+                            {"doc_id": shard.doc_ids.slice(step, stop - step),
                              "start": pa.array(shard.offsets[step:stop] + row["start"], pa.int64()),
                              "ids": pa.array(own, pa.binary())})
                         step = stop
 
     n = max(2, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = manifest.select("path", "start", "doc_ids").repartition(n, F.xxhash64("path"))
+    files = manifest.select("path").repartition(n, F.xxhash64("path")).mapInArrow(heads, "path string, part long, shard long, ids long")
+    dealt = _placed(keep(files)).select("path", "start").repartition(n, F.xxhash64("path"))
     return dealt.mapInArrow(read, "doc_id long, start long, ids binary")
 
 

@@ -2,7 +2,8 @@
 
 For tokenizers that drop white space and never join over it (such as word_bpe_49k.json), the ids of a text are those
 of its words between ASCII white space, one after another. Words are told apart by Arrow, encoded by the library and
-put together by numpy; tests compare the result with the library's encoding of whole texts.
+put together by numpy; tests compare the result with the library's encoding of whole texts. Whether a tokenizer is one of
+these is tried when it is loaded; the texts of others are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ def vocabulary_size(path: str) -> int:
     return max(_load(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
+#: Texts that a tokenizer must encode like their words, to be used by words.
+_PROBES = ("ab  cd\n\nEf. gh,\tIj", " a b ", "x\r\ny z", "don't  stop... 12 345\n", "é ß\u00a0ü <tag> \"q\"")
+
+
 class _Known:
     """Distinct words with a few integers each, as arrays."""
 
@@ -67,6 +72,10 @@ class Encoder:
         self.tokenizer, self.memory = _load(path), memory
         self.lower = all(t.content == t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known = {False: _Known(), True: _Known()}
+        self.by_words = all(self._alone(t) == [x for w in re.split(r"[\x20\x09-\x0D]+", t) if w for x in self._alone(w)] for t in _PROBES)
+
+    def _alone(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _library(self, words: list[str], spans: bool) -> list[list[int]]:
         out: list = []
@@ -125,12 +134,22 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the n + 1 offsets of the texts in them."""
+        if not self.by_words:
+            found = self._library(whole_texts(texts).to_pylist(), False)
+            return np.fromiter((x for ids in found for x in ids), np.uint32), np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int64)
         ids, each, offsets, _ = self._values(texts, False)
         return ids, np.r_[0, np.cumsum(each)][offsets]
 
     def encode_spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every token, in characters of all texts one after another; the offsets of the texts in
         the tokens; their offsets in the characters."""
+        if not self.by_words:
+            filled = whole_texts(texts)
+            found = [np.array(x, np.int64) for x in self._library(filled.to_pylist(), True)]
+            data, byte_offsets = joined_bytes(filled)
+            chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][byte_offsets]
+            spans = np.concatenate([np.zeros(0, np.int64), *(x + at for x, at in zip(found, chars))])
+            return spans[::2], spans[1::2], np.r_[0, np.cumsum([len(x) // 2 for x in found])].astype(np.int64), chars
         found, each, offsets, filled = self._values(texts, True)
         data, byte_offsets = joined_bytes(filled)
         chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]

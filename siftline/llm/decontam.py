@@ -3,9 +3,11 @@
 Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case. One pass over the corpus counts in
 how many documents each n-gram of the test items occurs. An item's seeds are its n-grams that are not much more
 frequent than its own median n-gram, and the rarest of every ``NEAR`` neighbours, so each part of an item has a seed
-however often the whole item was leaked. In a second pass the seeds join passages to items, and each passage around
+however often the whole item was leaked. An item of fewer words than
+a seed is sought as a whole, in documents that have no other words. In a second pass the seeds join passages to items, and each passage around
 the joined seeds is aligned with the item by words. The score is that of the best local alignment divided by that of
-the item with itself: 1 for an exact copy, less for an edited or partial one.
+the item with itself: 1 for an exact copy, less for an edited or partial one. An item counts as found by its score, or
+by a part that is long and close enough to be no accident, however small a part of the item it is.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ NEAR = 4
 COMMON = 4
 MATCH, MISMATCH, GAP = 2, -1, 1
 THRESHOLD = 0.5
+#: An alignment that is worth so many equal words, at that share of what equal words of its length are worth, is a copy too.
+RUN_WORDS, RUN_IDENTITY = 13, 0.8
 #: Items are searched in blocks of so many words at most (or one item); a block is broadcast.
 BLOCK_WORDS = 1 << 20
 #: Cells of one alignment step.
@@ -64,19 +68,32 @@ def _table(grams: np.ndarray) -> np.ndarray:
     return table
 
 
+def _grams(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts in order, and how many each text has: a text of fewer than ``SEED_WORDS`` words is one."""
+    sizes = np.diff(offsets)
+    counts = np.where(sizes >= SEED_WORDS, sizes - SEED_WORDS + 1, np.minimum(sizes, 1))
+    at = ragged(offsets[:-1], counts)
+    out = np.zeros(len(at), np.uint64)
+    whole = np.repeat(sizes, counts)
+    long_ = whole >= SEED_WORDS
+    out[long_] = windows(hashes, SEED_WORDS)[at[long_]]
+    for size in range(1, SEED_WORDS):
+        short = whole == size
+        out[short] = windows(hashes, size)[at[short]] ^ np.uint64(size)
+    return out, counts
+
+
 def make_items(ids: list, texts: list[str]) -> Items:
     hashes, offsets, *_ = _words(pa.array(texts, pa.large_string()))
-    counts = np.maximum(np.diff(offsets) - SEED_WORDS + 1, 0)
-    whole = windows(hashes, SEED_WORDS)
+    own, counts = _grams(hashes, offsets)
     at = ragged(offsets[:-1], counts)
-    grams, place = np.unique(whole[at], return_inverse=True)
+    grams, place = np.unique(own, return_inverse=True)
     return Items(ids, hashes, offsets, grams, place, np.repeat(np.arange(len(ids)), counts),
                  at - np.repeat(offsets[:-1], counts), _table(grams))
 
 
 def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Items]:
-    """All items, read in order, in blocks of bounded size. Items of fewer than ``SEED_WORDS`` words (null included)
-    have no n-gram and are found nowhere."""
+    """All items, read in order, in blocks of bounded size. Items without words (null included) are found nowhere."""
     ids, texts, size = [], [], 0
     rows = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
@@ -92,16 +109,16 @@ def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Items]:
 
 def _hits(hashes: np.ndarray, offsets: np.ndarray, grams: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where n-grams of the texts are among ``grams``: text, word, place in ``grams``."""
-    own = windows(hashes, SEED_WORDS)
+    own, counts = _grams(hashes, offsets)
     if not len(own) or not len(grams):
         return (np.zeros(0, np.int64),) * 3
-    at = np.flatnonzero(table[own >> np.uint64(42)])
-    place = np.minimum(np.searchsorted(grams, own[at]), len(grams) - 1)
-    found = grams[place] == own[at]
-    at, place = at[found], place[found]
-    text = np.searchsorted(offsets, at, "right") - 1
-    inside = at + SEED_WORDS <= offsets[text + 1]
-    return text[inside], at[inside], place[inside]
+    here = np.flatnonzero(table[own >> np.uint64(42)])
+    place = np.minimum(np.searchsorted(grams, own[here]), len(grams) - 1)
+    found = grams[place] == own[here]
+    here, place = here[found], place[found]
+    first = np.r_[0, np.cumsum(counts)]
+    text = np.searchsorted(first, here, "right") - 1
+    return text, offsets[text] + here - first[text], place
 
 
 def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
@@ -193,7 +210,7 @@ class Seeds:
 
     def matches(self, texts: pa.Array, threshold: float) -> dict[str, np.ndarray]:
         """text, item (numbers), score, start and end (bytes of all texts one after another) of the best alignment
-        of each text and item with a score of at least ``threshold``."""
+        of each text and item that is found: by a score of at least ``threshold`` or by a long part."""
         hashes, offsets, starts, ends, data = _words(texts)
         text, at, gram = _hits(hashes, offsets, self.grams, self.table)
         none = {k: np.zeros(0, np.int64) for k in ("text", "item", "start", "end")} | {"score": np.zeros(0)}
@@ -221,7 +238,7 @@ class Seeds:
         numbers = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         numbers = np.where(self.vocabulary[numbers] == hashes, numbers, -2)
         own, item_start, item_size = self.item_words, self.items.offsets[item], np.diff(self.items.offsets)[item]
-        score = np.zeros(len(text))
+        score, accepted = np.zeros(len(text)), np.zeros(len(text), bool)
         start, end = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
         by_length = np.argsort(high - low, kind="stable")[::-1]
         done = 0
@@ -231,13 +248,14 @@ class Seeds:
             done += n
             best, last, item_last = align(_padded(numbers, low[part], (high - low)[part]), _padded(own, item_start[part], item_size[part]))
             score[part] = best / (MATCH * item_size[part])
-            good = np.flatnonzero(score[part] >= threshold)
+            good = np.flatnonzero((score[part] >= threshold) | (best >= MATCH * RUN_WORDS))
             if len(good):
                 chosen, last, item_last = part[good], last[good], item_last[good]
                 _, back, _ = align(_padded(numbers, low[chosen] + last, last + 1, True), _padded(own, item_start[chosen] + item_last, item_last + 1, True))
                 end[chosen] = ends[low[chosen] + last]
                 start[chosen] = starts[low[chosen] + last - back]
-        good = np.flatnonzero(score >= threshold)
+                accepted[chosen] = (score[chosen] >= threshold) | (best[good] >= RUN_IDENTITY * MATCH * (back + 1))
+        good = np.flatnonzero(accepted)
         # the best passage of each text and item, the first of equals
         good = good[np.lexsort((start[good], -score[good], item[good], text[good]))]
         once = np.r_[True, (text[good][1:] != text[good][:-1]) | (item[good][1:] != item[good][:-1])] if len(good) else good
@@ -247,7 +265,8 @@ class Seeds:
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, start and end (characters of the lower-cased text) for every document of ``docs``
-    (doc_id, text) and item of ``items`` (item_id, text) whose best alignment scores ``threshold`` or more.
+    (doc_id, text) and item of ``items`` (item_id, text) whose best alignment scores ``threshold`` or more, or is worth
+    ``RUN_WORDS`` equal words at ``RUN_IDENTITY``.
 
     Null and empty texts match nothing; equal items and repeated rows match each for themselves; other columns are
     not read. Items come to the driver in blocks of bounded size, with two passes over ``docs`` for each block.

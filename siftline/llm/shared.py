@@ -20,6 +20,17 @@ def keep(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` lengthened until no column of ``df`` has them (Spark does not tell upper from lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(id_column: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % by

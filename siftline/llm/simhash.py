@@ -250,13 +250,14 @@ def keep_representatives(docs: DataFrame, found: DataFrame) -> DataFrame:
     component of null ids, the one with the smallest text key); of rows equal in id and text one stays."""
     best = found.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"), F.count("*").alias("_"))
-    chosen = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
-    times = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("__n"))
-    marked = chosen.join(times, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))).select("__id", "__key", "__n")
-    kept = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")))
-    once = kept.where("__n = 1").select(*[docs[c] for c in docs.columns])
-    repeated = kept.where("__n > 1").dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
-    return once.unionAll(repeated)
+    chosen = best.select(F.col("best.doc_id").alias("id"), F.col("best.text_key").alias("key"))
+    times = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    marked = chosen.join(times, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("id", "key", "times")
+    # the user's columns travel as one, so their names clash with nothing
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_of"))
+    kept = own.join(marked, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_of") == F.col("key")))
+    once, repeated = kept.where("times = 1"), kept.where("times > 1").dropDuplicates(["id", "key"])
+    return once.select("row.*").unionAll(repeated.select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators use themselves.
-CLASHING = ["score", "fingerprint", "lang_pred", "bucket", "spans", "start", "length", "ids", "n", "anchor", "component_id", "kept", "found"]
+CLASHING = ["score", "fingerprint", "lang_pred", "bucket", "spans", "start", "length", "ids", "n", "anchor", "component_id", "kept", "found",
+            "__found", "__n", "__key", "__id", "__doc", "__spans", "doc", "text_key", "doc_of", "key_of", "id", "key", "times", "row", "text_of", "name", "level", "place",
+            "row_no", "size", "identity", "least", "slice", "root", "smallest", "form", "output", "tile", "total", "term", "p", "q", "rank", "item"]
 LONG = "word and another one, " * 30_000
 
 

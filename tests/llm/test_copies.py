@@ -254,6 +254,9 @@ def test_leaks_against_all_pairs(spark, docs):
             if len(item) < 3 or len(words_of(r["text"])) > 1500:
                 continue
             score = brute_alignment(passage, item) / (decontam.MATCH * len(item))
+            if score < decontam.THRESHOLD and (r["doc_id"], i) in found:  # by a long part alone
+                assert score * len(item) >= decontam.RUN_WORDS
+                continue
             assert ((r["doc_id"], i) in found) == (score >= decontam.THRESHOLD)
             if score >= decontam.THRESHOLD:
                 assert abs(found[r["doc_id"], i] - score) < 1e-9
@@ -289,6 +292,26 @@ def test_edited_and_frequent_leaks(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(100)) | {300, 301} and kept.columns == docs.columns
 
 
+def test_parts_and_short_items(spark):
+    """55 of 120 words, exact or with few edits, and items of one or two words as whole documents; scattered words and
+    texts that hold a short item among others are left alone."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long_ = text(120)
+    own = long_.split()
+    items = spark.createDataFrame([(1, long_), (2, "Two words"), (3, "single")], "item_id long, text string")
+    edited = own[40:95]
+    edited[10], edited[30] = "other", "another"
+    docs = [(1, f"{text(30)} {' '.join(own[20:75])} {text(30)}"), (2, f"{text(9)} {' '.join(edited)} {text(20)}"), (3, "two WORDS!"), (4, "Single."),
+            (5, f"{text(5)} two words {text(5)}"), (6, "single words"), (7, " ".join(w for pair in zip(own[::9], words) for w in pair)),
+            (8, f"{text(20)} {' '.join(own[:12])} {text(20)}"), (9, f"{text(20)} {' '.join(own[:13])} {text(20)}"), (10, "words two"), (11, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.find_leaks(docs, items).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 3), (9, 1)} and found[3, 2] == 1 and abs(found[1, 1] - 55 / 120) < 1e-9
+    assert {r["doc_id"] for r in decontam.without_leaks(docs, items).collect()} == {5, 6, 7, 8, 10, 11}
+
+
 def test_item_blocks_and_edges(spark, monkeypatch, edge_docs, no_docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -55,6 +55,16 @@ def test_any_text_encodes_alike(texts):
     same(Tokenizer.from_file(PATH), bpe.Encoder(PATH), pa.array(texts, pa.string()))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokenizers_that_join_over_blanks(docs, name):
+    """Their texts are encoded as a whole, with the library's own result."""
+    path = bpe.tokenizer_path(name)
+    own = Tokenizer.from_file(path)
+    encoder = bpe.Encoder(path)
+    assert not encoder.by_words and bpe.Encoder(PATH).by_words
+    same(own, encoder, pa.array([r["text"][:2000] for r in docs.limit(20).collect()] + ["", None, *HARD[2:]], pa.string()))
+
+
 @given(st.lists(st.integers(1, 20_000), max_size=20), st.sampled_from([1, 2, 64, 4096]))
 @settings(deadline=None)
 def test_binary_pieces(sizes, longest):
@@ -112,9 +122,10 @@ def test_random_access(tmp_path):
     rng = np.random.default_rng(3)
     own = [rng.integers(0, 1 << 13, k).astype("<u4") for k in (0, 1, 5000, 0, 77, 4096, 3)]
     path = tmp_path / "s"
-    path.write_bytes(bitpack.shard_bytes([x.tobytes() for x in own], 13, block=64))
+    path.write_bytes(bitpack.shard_bytes([x.tobytes() for x in own], 13, block=64, doc_ids=[5, None, 7, -1, 9, 0, 11], part=3, shard=2))
     with path.open("rb") as file:
         shard = bitpack.Shard(file)
+        assert shard.doc_ids.to_pylist() == [5, None, 7, -1, 9, 0, 11] and (shard.part, shard.shard) == (3, 2)
         for i in (5, 2, 0, 6, 3, 1, 4):
             assert (shard.document(i) == own[i]).all()
         assert (shard.read(4990, 5100) == np.concatenate(own)[4990:5100]).all()
@@ -126,7 +137,9 @@ def test_random_access(tmp_path):
 def test_bit_packing_round_trip(request, spark, library, which, tmp_path):
     docs = request.getfixturevalue(which)
     manifest = bitpack.write_shards(docs, f"file://{tmp_path}/x", PATH, shard_ids=2000)
-    rows = sorted(bitpack.read_documents(manifest).collect(), key=lambda r: r["start"])
+    # the files alone tell ids and places: a list of their names in any order is enough
+    named = spark.createDataFrame([(r["path"],) for r in manifest.select("path").collect()][::-1], "path string")
+    rows = sorted(bitpack.read_documents(named).collect(), key=lambda r: r["start"])
     source = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r["doc_id"] for r in rows] == [r[0] for r in source]
     at = 0
