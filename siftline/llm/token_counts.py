@@ -23,6 +23,7 @@ from siftline.llm.bpe import encoder, tokenizer_path
 from siftline.llm.shared import blocks, joined_bytes, ragged
 
 RULES = ("largest", "first", "last")
+FIELD = 500
 _SCHEMA = "doc_id long, section long, section_start long, section_end long, n_tokens long, doc_tokens long"
 
 
@@ -36,6 +37,14 @@ def line_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return chars[np.stack([np.r_[0, ends[:-1]], ends], axis=1)] if len(ends) else np.zeros((0, 2), np.int64), np.searchsorted(ends, offsets, "right")
 
 
+def field_ranges(chars: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ``width`` characters (the last of a text may be shorter) in the characters of all texts one after
+    another, and the n + 1 offsets of the texts in them; ``chars``: the n + 1 offsets of the texts in the characters."""
+    counts = -(-np.diff(chars) // width)
+    start = np.repeat(chars[:-1], counts) + width * ragged(np.zeros(len(counts), np.int64), counts)
+    return np.stack([start, np.minimum(start + width, np.repeat(chars[1:], counts))], axis=1), np.r_[0, np.cumsum(counts)].astype(np.int64)
+
+
 def attribute(start: np.ndarray, end: np.ndarray, sections: np.ndarray, rule: str = "largest") -> np.ndarray:
     """The section (row of ``sections``: disjoint ranges in order) of each token span, -1 for none."""
     if rule not in RULES:
@@ -56,10 +65,11 @@ def attribute(start: np.ndarray, end: np.ndarray, sections: np.ndarray, rule: st
     return out
 
 
-def section_token_counts(docs: DataFrame, tokenizer: str, rule: str = "largest") -> DataFrame:
+def section_token_counts(docs: DataFrame, tokenizer: str, rule: str = "largest", width: int | None = None) -> DataFrame:
     """Tokens of each section of each document: doc_id, section (from 0), section_start, section_end, n_tokens,
     doc_tokens. ``docs`` has doc_id, text and, if wanted, ``sections`` (array of structs of start and end, disjoint
-    character ranges of the text); without it the sections are the lines.
+    character ranges of the text); without it the sections are the lines, or fields of ``width`` characters, if that is
+    given. Edges of fields fall anywhere, also inside words, and there the rule decides.
 
     Sections without tokens have 0; characters outside all sections give a row with null section if they hold tokens.
     Null and empty texts without sections give no row. Repeated rows count each for themselves; other columns are
@@ -67,9 +77,11 @@ def section_token_counts(docs: DataFrame, tokenizer: str, rule: str = "largest")
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    given = "sections" in docs.columns
+    given = "sections" in docs.columns and width is None
 
     def ranges_of(block: pa.RecordBatch, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if width is not None:
+            return field_ranges(chars, width)
         if not given:
             return line_ranges(block.column("text"))
         own = [sorted((x["start"] + at, x["end"] + at) for x in row or [] if x) for row, at in zip(block.column("sections").to_pylist(), chars.tolist())]
@@ -102,6 +114,6 @@ def section_token_counts(docs: DataFrame, tokenizer: str, rule: str = "largest")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every line of every document."""
+    """Tokens of every field of ``FIELD`` characters of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return section_token_counts(docs, tokenizer_path("word_bpe_49k.json"))
+    return section_token_counts(docs, tokenizer_path("word_bpe_49k.json"), width=FIELD)

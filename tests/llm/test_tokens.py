@@ -196,6 +196,41 @@ def test_line_counts(library, docs, edge_docs, no_docs):
     assert token_counts.section_token_counts(no_docs, PATH).count() == 0
 
 
+@pytest.mark.parametrize("rule, width", [("largest", 7), ("first", 3), ("last", 7), ("largest", 500)])
+def test_fields_cut_words(spark, library, docs, edge_docs, rule, width):
+    """Fields whose edges lie inside words and tokens; some tokens cross them."""
+    for source in (docs.limit(60), edge_docs):
+        want, crossing = [], 0
+        for r in source.select("doc_id", "text").collect():
+            text = r["text"] or ""
+            offsets = whole(library, text).offsets
+            fields = [(a, min(a + width, len(text))) for a in range(0, len(text), width)]
+            crossing += sum(a // width != (b - 1) // width for a, b in offsets)
+            at = np.bincount(brute_attribution(offsets, width, rule), minlength=len(fields)) if offsets else np.zeros(len(fields), int)
+            want += [(repr(r["doc_id"]), k, a, b, int(at[k]), len(offsets)) for k, (a, b) in enumerate(fields)]
+        got = token_counts.section_token_counts(source, PATH, rule, width).collect()
+        assert sorted((repr(r[0]), *r[1:]) for r in map(tuple, got)) == sorted(want)
+        assert crossing or width == 500
+
+
+def brute_attribution(offsets, width, rule):
+    out = []
+    for a, b in offsets:
+        shared = {}
+        for c in range(a, b):
+            shared[c // width] = shared.get(c // width, 0) + 1
+        out.append({"first": min(shared), "last": max(shared), "largest": min(shared, key=lambda k: (-shared[k], k))}[rule])
+    return out
+
+
+def test_token_count_query(spark, library, docs):
+    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in token_counts.op8_token_counts(spark, SF).collect()}
+    for r in docs.limit(40).collect():
+        places = brute_attribution(whole(library, r["text"]).offsets, token_counts.FIELD, "largest")
+        for k in range(-(-len(r["text"]) // token_counts.FIELD)):
+            assert got[r["doc_id"], k] == places.count(k)
+
+
 def test_given_sections(spark):
     docs = spark.createDataFrame([(1, "one two three", [(0, 3), (5, 9)]), (2, "one", None), (3, None, [(0, 0)])],
                                  "doc_id int, text string, sections array<struct<start: int, end: int>>")
