@@ -315,3 +315,19 @@ def retrieval_documents(spark, folder):
     chunks = table(spark, folder, "conversations").select(F.col("conv_id").alias("document_id"))
     return catalog.document_facts(catalog.retrieval_documents(docs, chunks)).select(
         "document_id", "title", "source_type", F.md5("content").alias("body"))
+
+
+@registry.add(f"""
+SELECT d.doc_id AS document_id, CASE WHEN length(c) <= 500 THEN c ELSE rtrim(substr(c, 1, 497)) || '...' END AS raw_text_preview,
+  CASE WHEN d.doc_id % 3 = 0 THEN lang ELSE source END AS summary, coalesce(k.n, 0) AS chunk_count, coalesce(t.n, 0) AS table_count
+FROM (SELECT *, {collapse('text')} AS c FROM documents) d
+LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) k ON k.conv_id = d.doc_id
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) t ON t.l_orderkey = d.doc_id""")
+def document_cards(spark, folder):
+    n = F.col("doc_id")
+    docs = table(spark, folder, "documents").select(
+        n.alias("document_id"), F.col("text").alias("raw_text"),
+        F.struct(F.when(n % 3 == 0, F.col("lang")).when(n % 3 == 1, F.lit("")).alias("summary"), F.col("source").alias("description")).alias("metadata"))
+    chunks = table(spark, folder, "conversations").select(F.col("conv_id").alias("document_id"))
+    tables = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    return catalog.document_card(docs, chunks, tables).select("document_id", "raw_text_preview", "summary", "chunk_count", "table_count")

@@ -239,3 +239,33 @@ def summary_samples(spark, folder):
     out = summaries.sample_text(summaries.summary_blocks(parts), 2000)
     return out.select(F.col("document_id").alias("conv_id"), F.length("sample").cast("long").alias("n_chars"),
                       F.md5("sample").alias("body"))
+
+
+def _typed(spark, folder):
+    """Order lines as delimited text: whole numbers, decimals, days, words and mixed columns."""
+    rows = table(spark, folder, "lineitem").withColumn("day", F.date_format("l_shipdate", "dd.MM.yyyy"))
+    doc = F.col("l_suppkey") % 40
+    columns = [F.col("l_orderkey").cast("string"), F.format_string("%.2f", F.col("l_extendedprice")), F.col("day"), F.col("l_returnflag"),
+               F.when(F.col("l_linenumber") == 1, F.col("day")).otherwise(F.col("l_linenumber").cast("string"))]
+    cells = rows.select(doc.alias("doc"), F.lit("").alias("sheet"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"),
+                        F.posexplode(F.array(*columns)).alias("col", "value"))
+    return grids.trim_grid(cells.select("doc", "sheet", "row", (F.col("col") + 1).alias("col"), "value", F.lit("string").alias("type")))
+
+
+@registry.add("""
+WITH r AS (SELECT l_suppkey % 40 AS doc, * FROM lineitem), k AS (SELECT doc, min(l_orderkey * 8 + l_linenumber) AS head FROM r GROUP BY doc),
+d AS (SELECT r.* FROM r JOIN k ON r.doc = k.doc WHERE l_orderkey * 8 + l_linenumber > head)
+SELECT doc, 1 AS col, 'integer' AS type, count(*) AS cells, sum(l_orderkey)::DOUBLE AS total FROM d GROUP BY doc
+UNION ALL SELECT doc, 2, 'decimal', count(*), round(sum(round(l_extendedprice, 2)), 2) FROM d GROUP BY doc
+UNION ALL SELECT doc, 3, 'date', count(*), sum(year(l_shipdate))::DOUBLE FROM d GROUP BY doc
+UNION ALL SELECT doc, 4, 'string', count(*), NULL FROM d GROUP BY doc
+UNION ALL SELECT doc, 5, CASE WHEN count(*) FILTER (WHERE l_linenumber = 1) = 0 THEN 'integer' WHEN count(*) FILTER (WHERE l_linenumber <> 1) = 0 THEN 'date' ELSE 'string' END,
+  count(*), CASE WHEN count(*) FILTER (WHERE l_linenumber = 1) = 0 THEN sum(l_linenumber)::DOUBLE END FROM d GROUP BY doc""")
+def column_types(spark, folder):
+    grid = _typed(spark, folder)
+    flags = grids.header_flags(grid, "always")
+    types = grids.column_types(grid, flags)
+    cells = grids.coerced(grid, types).filter(F.col("row") > 1)
+    number = F.when(F.col("type") == "date", F.substring("json", 2, 4)).when(F.col("type") != "string", F.col("json")).cast("double")
+    total = F.sum(number)
+    return cells.groupBy("doc", "col", "type").agg(F.count(F.lit(1)).alias("cells"), F.when(F.col("type") == "decimal", F.round(total, 2)).otherwise(total).alias("total"))

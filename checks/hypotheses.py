@@ -77,11 +77,14 @@ def axis_sort(spark, folder):
     return hy.sort_by_axis(ranked, ["project_id"], "value").select("hypothesis_id", "place")
 
 
-@registry.add(f"""WITH {RANKED} SELECT project_id, count(*) AS total, count(*) FILTER (WHERE status = 'accepted') AS confirmed,
+_SUMMARY_SQL = f"""SELECT project_id, count(*) AS total, count(*) FILTER (WHERE status = 'accepted') AS confirmed,
   count(*) FILTER (WHERE status = 'rejected') AS refuted, count(*) FILTER (WHERE status = 'review') AS review,
   count(*) FILTER (WHERE status = 'proposed') AS proposed, {half_up('avg(composite)', 1)} AS avg_composite,
   count(*) FILTER (WHERE eff_value >= 70) AS high_value_count, first(statement ORDER BY rank) AS top_statement, first(composite ORDER BY rank) AS top_composite
-FROM ranked GROUP BY project_id""")
+FROM ranked GROUP BY project_id"""
+
+
+@registry.add(f"WITH {RANKED} {_SUMMARY_SQL}")
 def report_summary(spark, folder):
     return hy.report_summary(hy.rank(scored(spark, folder), ["project_id"]), ["project_id"])
 
@@ -295,3 +298,27 @@ def prompt_table(spark, folder):
     notes = notes.select(F.replace("project_id", F.lit("src"), F.lit("")).try_cast("long").alias("project_id"), "feedback")
     ctx = context.context_blocks(_items(spark, folder))
     return context.generation_requests(projects, ctx, notes).select("project_id", F.md5("request").alias("request"))
+
+
+@registry.add(f"""WITH {RANKED} SELECT hypothesis_id AS id, rank, composite, statement, goal_link, eff_value, value, risk, note AS expert_notes FROM ranked WHERE status = 'review'""")
+def hypothesis_list(spark, folder):
+    rows = hy.listing(hy.rank(scored(spark, folder), ["project_id"]), "review")
+    return rows.select("id", "rank", "composite", "statement", "goal_link", F.col("effective_scores.value").alias("eff_value"), F.col("scores.value").alias("value"),
+                       F.col("scores.risk").alias("risk"), F.trim("expert_notes").alias("expert_notes"))
+
+
+@registry.add(f"""WITH {RANKED}, s AS ({_SUMMARY_SQL})
+SELECT project_id, total + 2 AS lines, total, confirmed, avg_composite, top_statement, 'P ' || project_id AS title, 0.3::DOUBLE AS value_weight,
+  total AS listed, (total * (total + 1)) // 2 AS rank_sum FROM s""")
+def export_report(spark, folder):
+    """The head and list of every project's JSON report, read back from its lines."""
+    ranked = hy.rank(scored(spark, folder), ["project_id"])
+    projects = ranked.select("project_id").distinct().withColumn("title", F.concat(F.lit("P "), "project_id"))
+    lines = hy.report_lines(ranked, projects)
+    body = F.when(F.col("rank") == 0, F.concat("line", F.lit("]}"))).when(F.col("line") != "]}", F.regexp_replace("line", r",\\z", ""))
+    read = F.from_json(body, "project struct<title:string>, ranking_weights struct<value:double>, summary struct<total:long,confirmed:long,avg_composite:double,top_statement:string>, rank long, hypotheses array<string>")
+    rows = lines.withColumn("j", read)
+    return rows.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("j.summary.total").alias("total"), F.max("j.summary.confirmed").alias("confirmed"),
+        F.max("j.summary.avg_composite").alias("avg_composite"), F.max("j.summary.top_statement").alias("top_statement"), F.max("j.project.title").alias("title"),
+        F.max("j.ranking_weights.value").alias("value_weight"), F.count("j.rank").alias("listed"), F.sum("j.rank").alias("rank_sum"))

@@ -237,7 +237,7 @@ SELECT doc_id, first_line AS title, 'src' AS authors, year, source_type, languag
               ELSE CAST(regexp_extract(text, '\\b(?:19|20)\\d{2}\\b') AS INT) END AS year,
          'uploaded' AS source_type,
          CASE WHEN l < 40 THEN NULL ELSE 'en' END AS language,
-         CAST(least(25, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\\s)>\\]]+'),
+         CAST((len(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\\s)>\\]]+'),
                lambda r: lower(rtrim(r, '.,;')))))) AS BIGINT) AS n_refs
   FROM (SELECT *, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents))""")
 def metadata_enrichment(spark, folder):

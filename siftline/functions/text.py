@@ -349,6 +349,37 @@ def count_numbers(c: Column) -> Column:
     return F.regexp_count(collapse(c), F.lit(r"\b\d+(?:[.,]\d+)?\b"))
 
 
+def is_integer(c: Column) -> Column:
+    return F.regexp_like(c, F.lit(r"\A[+-]?(?:0|[1-9][0-9]{0,17})\z"))
+
+
+def is_decimal(c: Column) -> Column:
+    """Digits with a point or a single comma and at most 15 of them, or such with an exponent."""
+    return F.regexp_like(c, F.lit(r"\A[+-]?(?=[0-9.,]{1,16}(?:[eE]|\z))(?:0|[1-9][0-9]*)(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]{1,2})?\z"))
+
+
+def _iso_date(c: Column) -> Column:
+    """YYYY-MM-DD of a day as 2024-03-01 or 01.03.2024, with a time of day after it as it is; null if there is none."""
+    parts = F.regexp_replace(c, r"\A([0-9]{2})\.([0-9]{2})\.([0-9]{4})", "$3-$2-$1")
+    day = F.substring(parts, 1, 10)
+    form = F.regexp_like(parts, F.lit(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\z"))
+    return F.when(form & day.try_cast("date").isNotNull(), F.regexp_replace(parts, " ", "T"))
+
+
+def is_date(c: Column) -> Column:
+    return _iso_date(c).isNotNull()
+
+
+def cell_json(c: Column, kind: Column) -> Column:
+    """A cell as JSON text: a number, a day in ISO form, a string, or null."""
+    text = F.to_json(F.struct(c.alias("v")))
+    quoted = F.substring(text, F.lit(6), F.length(text) - 6)
+    number = F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), r"\A\+", "")
+    value = (F.when(kind == "integer", number).when(kind == "decimal", number.cast("double").cast("string"))
+             .when(kind == "date", F.concat(F.lit('"'), _iso_date(c), F.lit('"'))).otherwise(quoted))
+    return F.when(c.isNull(), "null").otherwise(value)
+
+
 def cell_value(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 

@@ -152,6 +152,16 @@ def source_card(sources: DataFrame) -> DataFrame:
         "excerpt", tx.excerpt(F.col("content"), 240)).drop("content")
 
 
+def document_card(documents: DataFrame, chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """The list form of a document (document_id, raw_text, metadata struct with summary and description, ...): a preview
+    instead of the text, its summary and the numbers of its chunks and tables."""
+    m = F.col("metadata")
+    summary = F.coalesce(F.nullif(m["summary"], F.lit("")), m["description"])
+    cards = documents.withColumn("raw_text_preview", tx.excerpt(tx.text_or_empty(F.col("raw_text")), 500)).withColumn(
+        "summary", summary).withColumn("description", F.col("summary")).drop("raw_text")
+    return with_child_counts(cards, "document_id", chunk=chunks, table=tables)
+
+
 def document_facts(documents: DataFrame) -> DataFrame:
     """title, content, source_type, authors and year of parsed documents from their
     metadata struct (title, summary, description, source_type, authors, year)."""

@@ -82,6 +82,23 @@ def headers(grid: DataFrame, flags: DataFrame) -> DataFrame:
         F.when(F.col("_k") == 1, F.col("_h")).otherwise(F.concat_ws(" ", "_h", F.col("_k").cast("string"))).alias("header"))
 
 
+def column_types(grid: DataFrame, flags: DataFrame) -> DataFrame:
+    """doc, sheet, col, type of every column by all its data values: integer, decimal, date or string; null if it has none.
+    Each type holds if it holds for all values, so parts of a column of any length are judged apart and merged."""
+    rows = grid.drop("width", "height").join(flags.select(*_SHEET, F.col("has_header").cast("int").alias("_skip")), _SHEET)
+    whole, number, date = (tx.is_integer(F.col("value")), tx.is_decimal(F.col("value")), tx.is_date(F.col("value")))
+    found = rows.filter(F.col("row") > F.col("_skip")).groupBy(*_SHEET, "col").agg(
+        F.bool_and(whole).alias("_i"), F.bool_and(number).alias("_n"), F.bool_and(date).alias("_d"))
+    slots = flags.select(*_SHEET, F.explode(F.sequence(F.lit(1), F.col("width"))).alias("col"))
+    kind = F.when(F.col("_i"), "integer").when(F.col("_n"), "decimal").when(F.col("_d"), "date").when(F.col("_d").isNotNull(), "string")
+    return slots.join(found, [*_SHEET, "col"], "left").select(*_SHEET, "col", kind.alias("type"))
+
+
+def coerced(grid: DataFrame, types: DataFrame) -> DataFrame:
+    """The cells with ``json``, the value as JSON text by the type of its column: numbers as numbers, dates in ISO form."""
+    return grid.drop("type").join(types, [*_SHEET, "col"]).withColumn("json", tx.cell_json(F.col("value"), F.col("type")))
+
+
 def row_maps(grid: DataFrame, flags: DataFrame, heads: DataFrame, cap: int | None = None) -> DataFrame:
     """doc, sheet, row (1-based data row), values map<header,value>; the first ``cap``
     data rows of a sheet, if it is given. Where two columns end up with the same header, the last wins."""

@@ -247,6 +247,49 @@ def markdown_header(projects: DataFrame, totals: DataFrame) -> DataFrame:
     return projects.join(totals, "project_id", "left").select("project_id", text.alias("header"))
 
 
+def report_lines(ranked: DataFrame, projects: DataFrame, weights: dict[str, float] | None = None, exported_at: str = "") -> DataFrame:
+    """project_id, rank, line: the lines of one JSON document for each project, with its own columns, the weights, the
+    summary and the ranked list. The head has rank 0, each hypothesis its own line, the tail follows the last rank, so
+    a list of any length is written without being gathered in one row."""
+    used = F.struct(*[F.lit(float((weights or vocab.DEFAULT_WEIGHTS)[a])).alias(a) for a in vocab.AXES])
+    summary = report_summary(ranked, ["project_id"])
+    names = [c for c in summary.columns if c != "project_id"]
+    counted = [c for c in names if not c.startswith("top_")]
+    about = projects.select(F.col("project_id").alias("_id"), F.struct("*").alias("project")).join(
+        summary.withColumnRenamed("project_id", "_id"), "_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast(summary.schema[c].dataType)) for c in counted})
+    head = F.to_json(F.struct(F.lit(exported_at).alias("exported_at"), "project", used.alias("ranking_weights"),
+                              F.struct(*names).alias("summary")), {"ignoreNullFields": "false"})
+    first = about.select(F.col("_id").alias("project_id"), F.lit(0).cast("long").alias("rank"),
+                         F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"hypotheses":[')).alias("line"))
+    last = about.select(F.col("_id").alias("project_id"), (F.col("total") + 1).cast("long").alias("rank"), F.lit("]}").alias("line"))
+    listed = json_rows(ranked).join(about.select(F.col("_id").alias("project_id"), "total"), "project_id")
+    comma = F.when(F.col("rank") < F.col("total"), ",").otherwise("")
+    return first.unionByName(listed.select("project_id", F.col("rank").cast("long").alias("rank"), F.concat("json", comma).alias("line"))).unionByName(last)
+
+
+def listing(ranked: DataFrame, status: str | None = None) -> DataFrame:
+    """The list form of hypotheses: scores, their reasons and the effective scores as structs; of one ``status`` only,
+    if it is given. Columns that a table lacks are null."""
+    rows = ranked if status is None else ranked.filter(F.coalesce("status", F.lit("proposed")) == status)
+
+    def own(name, kind="string"):
+        return F.col(name) if name in ranked.columns else F.lit(None).cast(kind)
+
+    def opt(name, kind):
+        return F.coalesce(own(name, kind), F.array().cast(ranked.schema[name].dataType if name in ranked.columns else kind)).alias(name)
+
+    def axes(prefix, suffix="", kind="double"):
+        return F.struct(*[own(f"{prefix}{a}{suffix}", kind).cast(kind).alias(a) for a in vocab.AXES])
+
+    return rows.select(
+        F.col("hypothesis_id").alias("id"), "project_id", own("run_id", "long").alias("run_id"), "statement",
+        *[own(c).alias(c) for c in ("goal_link", "rationale", "mechanism", "validation")], opt("tags", "array<string>"),
+        axes("").alias("scores"), axes("", "_rationale", "string").alias("rationales"), opt("evidence", "array<string>"), "status",
+        own("expert_notes").alias("expert_notes"), own("expert_scores", "map<string,double>").alias("expert_scores"),
+        axes("eff_").alias("effective_scores"), "composite", "rank")
+
+
 def json_rows(ranked: DataFrame) -> DataFrame:
     """project_id, rank, json: one export object per hypothesis."""
     scores = F.struct(*[F.col(f"eff_{a}").alias(a) for a in vocab.AXES])

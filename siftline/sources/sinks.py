@@ -28,6 +28,12 @@ def write_json(ranked: DataFrame, path: str) -> None:
         .select("project_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path))
 
 
+def write_report(ranked: DataFrame, projects: DataFrame, path: str, weights: dict[str, float] | None = None, exported_at: str = "") -> None:
+    """One JSON document for each project, a folder per project; its files in the order of their names are its lines."""
+    (hy.report_lines(ranked, projects, weights, exported_at).repartitionByRange("project_id", "rank").sortWithinPartitions("project_id", "rank")
+        .select("project_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("project_id").text(path))
+
+
 def write_markdown(ranked: DataFrame, projects: DataFrame, path: str) -> None:
     """Header and blocks of every project in rank order, a folder per project."""
     totals = ranked.groupBy("project_id").agg(F.count(F.lit(1)).alias("total"))
