@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siftline.operators import chunks, grids, sections, summaries
+from siftline.operators import chunks, grids, records, sections, summaries
 from . import Registry, table
 from .texts import _SECTION_SQL
 from .sqltext import collapse, letters, summary_key
@@ -269,3 +269,11 @@ def column_types(spark, folder):
     number = F.when(F.col("type") == "date", F.substring("json", 2, 4)).when(F.col("type") != "string", F.col("json")).cast("double")
     total = F.sum(number)
     return cells.groupBy("doc", "col", "type").agg(F.count(F.lit(1)).alias("cells"), F.when(F.col("type") == "decimal", F.round(total, 2)).otherwise(total).alias("total"))
+
+
+@registry.add()
+def delimited_records(spark, folder):
+    """Records, fields and line breaks inside fields of every document, read as delimited text with its quotes."""
+    lines = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    found = records.records(lines, grids.delimiter_votes(lines)).withColumn("f", records.fields(F.col("text"), F.col("mark")))
+    return found.groupBy("doc").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("f")).alias("fields"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("breaks"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx, vocab
-from ..operators import grids
+from ..operators import grids, records
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1251", "latin-1")
@@ -56,9 +56,9 @@ def decode(files: DataFrame) -> DataFrame:
 
 
 def delimited_cells(decoded: DataFrame) -> DataFrame:
-    """Cells of decoded delimited files; the delimiter is voted per file."""
+    """Cells of decoded delimited files; the delimiter is voted per file, quoted fields may hold line breaks."""
     lines = decoded.select(F.col("path").alias("doc"), F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("pos", "text"))
-    return grids.split_lines(lines, grids.delimiter_votes(lines))
+    return records.cells(lines, grids.delimiter_votes(lines))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
