@@ -47,9 +47,11 @@ NARROWEST = 0.02
 #: Entries of the model in a file; ranges that a Python worker remembers; text whose n-grams are looked up together.
 RANGE = 1 << 20
 REMEMBERED = 8
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 8 << 20
+#: Text whose n-grams are in memory by position.
+BLOCK = 1 << 20
 #: N-grams that a counting task gathers before it hands them on.
-GATHERED = 4 << 20
+GATHERED = 1 << 20
 #: Tables of one row a language are sent to all tasks up to this many rows, and joined by shuffles beyond.
 FEW = 50_000
 MIN_WORDS = 50
@@ -144,7 +146,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             held.clear()
 
         waiting = 0
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             head, tail, offsets = grams([t or "" for t in block.column("text").to_pylist()], order)
             places = {lang: i for i, lang in enumerate(names)}
             row_lang = np.array([places.setdefault(lang, len(places)) for lang in block.column("lang").to_pylist()], np.int64)
@@ -341,7 +343,7 @@ def measure(docs: DataFrame, model: Model) -> DataFrame:
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         size = 0
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             texts = block.column("text")
             head, tail, offsets = grams([t or "" for t in texts.to_pylist()], model.order)
             seeds = np.repeat(np.array([_seed(x) for x in block.column("lang").to_pylist()], np.uint64), np.diff(offsets))
