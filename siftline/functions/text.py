@@ -64,8 +64,7 @@ def tokenize_tfidf(c: Column) -> Column:
 def library_tokens(c: Column) -> Column:
     """Distinct tokens of a library item: three or more characters, not a number."""
     words = F.regexp_extract_all(normalize(collapse(c)), F.lit(vocab.LIBRARY_TOKEN_RE), F.lit(0))
-    keep = F.filter(_drop_words(words, vocab.LIBRARY_STOP), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$"))
-    return F.array_distinct(keep)
+    return F.filter(_drop_words(F.array_distinct(words), vocab.LIBRARY_STOP), lambda t: (F.length(t) >= 3) & ~t.rlike(r"^\d+$"))
 
 
 def detect_lang(c: Column) -> Column:
