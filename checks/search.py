@@ -289,9 +289,13 @@ m AS (SELECT item_id, doc_id,
       FROM d JOIN qw USING (term) JOIN df USING (term), n GROUP BY ALL),
 s AS (SELECT item_id AS query_id, documents.doc_id AS pid,
              coalesce(round(dot / sqrt(base2 + shift) / sqrt(q2), 4), 0) AS score
-      FROM benchmark CROSS JOIN documents LEFT JOIN m USING (item_id, doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN qn USING (item_id))
-SELECT query_id, pid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid DESC) AS rank
-FROM s QUALIFY rank <= 6""")
+      FROM benchmark CROSS JOIN documents LEFT JOIN m USING (item_id, doc_id) LEFT JOIN base USING (doc_id) LEFT JOIN qn USING (item_id)),
+best AS (SELECT query_id, pid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pid DESC) AS rank FROM s QUALIFY rank <= 6),
+why AS (SELECT query_id, pid, qw.term AS term, row_number() OVER (PARTITION BY query_id, pid
+          ORDER BY d.tf * (ln((1 + n)::DOUBLE / (1 + qdf)) + 1) * w DESC, qw.term) AS place
+        FROM best JOIN qw ON query_id = item_id JOIN d ON pid = doc_id AND d.term = qw.term, n)
+SELECT query_id, pid, score, rank, coalesce((SELECT string_agg(term, '|' ORDER BY place) FROM why
+  WHERE why.query_id = best.query_id AND why.pid = best.pid AND place <= 6), '') AS terms FROM best""")
 def tfidf_topk(spark, folder):
     found = tfidf.search(_passages(spark, folder), _queries(spark, folder))
-    return found.select("query_id", "pid", "score", "rank")
+    return found.select("query_id", "pid", "score", "rank", F.array_join("terms", "|").alias("terms"))

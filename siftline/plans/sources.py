@@ -40,8 +40,9 @@ def project_passages(sources: DataFrame, document_chunks: DataFrame) -> DataFram
     """corpus (the project), pid, source_key, chunk, text, page_ref, section_title of
     ``project_sources`` with the chunks (document_id, chunk_index, section_title, page_ref,
     text) of parsed documents. A pid holds project, source and chunk, so it is unique and
-    sorts like the project's list of sources. A document whose content and chunks are blank
-    yields nothing."""
+    sorts like the project's list of sources; a project id from 2^19 on, or more than 2^24
+    sources or 2^20 chunks of a source, end the job with an error. A document whose content
+    and chunks are blank yields nothing."""
     kept = sources.where((F.col("source_kind") != "document") | (F.trim("content") != "")).unionByName(
         sources.where((F.col("source_kind") == "document") & (F.trim("content") == "")).join(
             document_chunks.select(F.col("document_id").cast("string").alias("source_id")).distinct(), "source_id", "left_semi"))
@@ -52,6 +53,10 @@ def project_passages(sources: DataFrame, document_chunks: DataFrame) -> DataFram
         F.concat_ws("/", F.col("project_id").cast("string"), "source_id")))
     passages = chunks.assemble_passages(keyed.select("source_kind", F.col("_key").alias("source_id"), "title", "content"), own)
     back = keyed.select("source_kind", F.col("_key").alias("source_id"), "project_id", "source_key", "_n")
-    pid = F.shiftleft(F.col("project_id"), SOURCE_BITS + CHUNK_BITS) + F.shiftleft(F.col("_n"), CHUNK_BITS) + F.col("chunk")
+    # a number that does not fit would be another passage's
+    fits = F.col("project_id").between(0, (1 << (63 - SOURCE_BITS - CHUNK_BITS)) - 1) & (F.col("_n") < 1 << SOURCE_BITS) & (F.col("chunk") < 1 << CHUNK_BITS)
+    number = F.shiftleft(F.col("project_id"), SOURCE_BITS + CHUNK_BITS) + F.shiftleft(F.col("_n"), CHUNK_BITS) + F.col("chunk")
+    error = F.raise_error(F.concat(F.lit("no passage number for project "), F.col("project_id").cast("string"))).cast("long")
+    pid = F.when(fits, number).otherwise(error)
     return passages.join(back, ["source_kind", "source_id"]).select(
         F.col("project_id").alias("corpus"), pid.alias("pid"), "source_key", "chunk", "text", "page_ref", "section_title")
