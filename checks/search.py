@@ -54,7 +54,7 @@ def bm25_topk(spark, folder):
 @registry.add(registry.sql["bm25_topk"])
 def bm25_index_topk(spark, folder):
     """The same answer from a kept index, block by block."""
-    index = cut_lineage(blockmax.build(_passages(spark, folder)))
+    index = cut_lineage(blockmax.build(_passages(spark, folder)), **blockmax.LAYOUT)
     best, _ = blockmax.search(index, _queries(spark, folder))
     return best.select("query_id", "pid", "bm25", "rank", F.array_join("terms", ",").alias("terms"))
 

@@ -1,7 +1,7 @@
 """A kept BM25 index in blocks that tell the most they can add, searched block by block.
 
-A row of the index holds up to ``TILE`` passages of one corpus, ordered by length and cut into blocks of ``BLOCK``
-passages. For each term it has the postings, and for each term and block the largest frequency and the smallest length:
+A row of the index holds up to about ``TILE`` passages or ``TOKENS`` tokens of one corpus, ordered by length and cut
+into blocks of ``BLOCK`` passages. For each term it has the postings, and for each term and block the largest frequency and the smallest length:
 no passage of the block gets more from the term than such a passage would. Rows are made inside the input tasks, so the
 index is built without a shuffle, is written once and serves any number of searches.
 
@@ -26,6 +26,10 @@ from .dense import half_up
 from .ranking import top
 
 TILE, BLOCK = 1 << 13, 64
+#: Tokens from which on a row is closed, and passages that are taken out of a batch at once.
+TOKENS, STEP = 1 << 19, 256
+#: Rows are long, so a row group holds few of them: tasks write and read a row group as a whole.
+LAYOUT = {"parquet.block.row.count.limit": 4}
 _COLUMNS = ("pids array<long>, lengths array<int>, words array<string>, first array<int>, rows array<int>, tfs array<int>, "
             "block_first array<int>, blocks array<int>, most_tf array<int>, least_length array<int>")
 _ARRAYS = [c.split()[0] for c in _COLUMNS.split(", ")]
@@ -56,15 +60,19 @@ def _row(corpus, pid: np.ndarray, tokens: pa.ListArray, block: int) -> dict:
         "most_tf": np.maximum.reduceat(tf, begin) if len(key) else tf, "least_length": np.minimum.reduceat(length[row], begin) if len(key) else row}
 
 
-def build(passages: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """The index of passages (corpus, pid, text): corpus, block (passages in one) and the arrays of each row."""
+def build(passages: DataFrame, tile: int = TILE, block: int = BLOCK, most: int = TOKENS) -> DataFrame:
+    """The index of passages (corpus, pid, text): corpus, block (passages in one) and the arrays of each row, to be written
+    with the options in ``LAYOUT``."""
+    step = min(tile, STEP)
     kind = passages.schema["corpus"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        sizes: dict = {}  # passages and tokens of what is held
 
         def told(corpus) -> pa.RecordBatch:
             parts = held.pop(corpus)
+            sizes.pop(corpus)
             found = _row(corpus, np.concatenate([p for p, _ in parts]), pa.concat_arrays([t for _, t in parts]), block)
             arrays = [pa.array([found["corpus"]], type_), pa.array([block], pa.int32())]
             for name, field in zip(_ARRAYS, _COLUMNS.split(", ")):
@@ -73,18 +81,21 @@ def build(passages: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFram
                 arrays.append(pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value))
             return pa.RecordBatch.from_arrays(arrays, names=["corpus", "block", *_ARRAYS])
 
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, len(whole), step)):
             type_ = batch.column("corpus").type
             coded = batch.column("corpus").dictionary_encode()
             index = pc.fill_null(coded.indices, -1).to_numpy()
             for code in np.unique(index):
                 corpus = coded.dictionary[int(code)].as_py() if code >= 0 else None
                 rows = pa.array(np.flatnonzero(index == code))
-                held.setdefault(corpus, []).append((batch.column("pid").take(rows).to_numpy(), batch.column("tokens").take(rows)))
-                if sum(len(p) for p, _ in held[corpus]) >= tile:
+                pid, tokens = batch.column("pid").take(rows).to_numpy(), batch.column("tokens").take(rows)
+                held.setdefault(corpus, []).append((pid, tokens))
+                passages, words = sizes.get(corpus, (0, 0))
+                sizes[corpus] = passages + len(pid), words + len(tokens.flatten())
+                if sizes[corpus][0] >= tile or sizes[corpus][1] >= most:
                     yield told(corpus)
             # rows of many small corpora are not held for ever
-            if sum(len(p) for parts in held.values() for p, _ in parts) >= 8 * tile:
+            if sum(n for n, _ in sizes.values()) >= 8 * tile or sum(n for _, n in sizes.values()) >= 8 * most:
                 for corpus in list(held):
                     yield told(corpus)
         for corpus in list(held):
@@ -95,7 +106,7 @@ def build(passages: DataFrame, tile: int = TILE, block: int = BLOCK) -> DataFram
 
 
 def write(passages: DataFrame, path: str) -> None:
-    build(passages).write.mode("overwrite").parquet(path)
+    build(passages).write.mode("overwrite").options(**LAYOUT).parquet(path)
 
 
 def _list(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:

@@ -39,9 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="siftline-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options) -> DataFrame:
     """Write ``df`` once as a table in the shared folder the cluster names in
-    spark.checkpoint.dir and read it back.
+    spark.checkpoint.dir and read it back. ``options`` are the writer's.
 
     Used where several branches need an expensive result: the plan is not computed once
     per branch, the copy survives lost executors, stays columnar and has a known size.
@@ -49,7 +49,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/siftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def test_empty_tables(spark):
     passages, goals = spark.createDataFrame([], PASSAGES), spark.createDataFrame([], GOALS)
     assert blockmax.search(blockmax.build(passages), spark.createDataFrame([(1, "a", "x y z", None)], GOALS))[0].count() == 0
     assert blockmax.search(blockmax.build(spark.createDataFrame([("a", 1, None, None, "s")], PASSAGES)), goals)[0].count() == 0
+
+
+def test_rows_and_row_groups_are_bounded_by_tokens(spark, tmp_path):
+    """Long passages make rows of fewer of them, and no row group holds many rows."""
+    passages = spark.range(2500).coalesce(1).select(
+        F.lit("a").alias("corpus"), F.col("id").alias("pid"), F.concat(F.lit("needle "), F.repeat(F.lit("filler "), 1000)).alias("text"))
+    blockmax.write(passages, str(tmp_path / "index"))
+    index = blockmax.read(spark, str(tmp_path / "index"))
+    tokens = [r["n"] for r in index.select(F.aggregate("lengths", F.lit(0), lambda a, x: a + x).alias("n")).collect()]
+    assert sum(tokens) == 2500 * 1001 and max(tokens) <= blockmax.TOKENS + blockmax.STEP * 1001
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (tmp_path / "index").glob("*.parquet")) for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == len(tokens) and max(groups) <= 4
+    goals = spark.createDataFrame([(1, "a", "needle")], "query_id long, corpus string, text string")
+    assert [r["pid"] for r in blockmax.search(index, goals, 3)[0].orderBy("rank").collect()] == [0, 1, 2]
