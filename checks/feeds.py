@@ -20,11 +20,9 @@ def _json(rows, feed, pos, **fields):
 
 def _works(spark, folder):
     n = F.col("doc_id")
-    placed = table(spark, folder, "documents").select(
-        "doc_id", F.posexplode(F.split(tx.collapse(F.col("text")), " ")).alias("pos", "token"))
-    index = (placed.groupBy("doc_id", "token").agg(F.collect_list("pos").alias("p")).groupBy("doc_id")
-             .agg(F.map_from_entries(F.collect_list(F.struct("token", "p"))).alias("inv")))
-    docs = table(spark, folder, "documents").join(index, "doc_id")
+    rows = table(spark, folder, "documents").where(n.isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("text")).alias("texts"))
+    words = F.transform("texts", lambda x: F.split(tx.collapse(x["text"]), " "))
+    docs = rows.select("doc_id", tx.inverted_index(words).alias("inv"), "texts").select("doc_id", "inv", F.inline("texts"))
     people = F.transform(F.sequence(F.lit(0), (n % 7).cast("int")),
                          lambda i: F.struct(F.struct(F.concat(F.lit(" A"), i.cast("string")).alias("display_name")).alias("author")))
     place = F.struct(F.when(n % 2 == 0, F.concat(F.lit("https://l/"), n.cast("string"))).alias("landing_page_url"),

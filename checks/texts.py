@@ -158,10 +158,9 @@ def number_counts(spark, folder):
 SELECT doc_id, md5(array_to_string({tokens('text')}, ' ')) AS rebuilt FROM documents WHERE len({tokens('text')}) > 0""")
 def inverted_index_roundtrip(spark, folder):
     """Token -> positions, then back to text."""
-    placed = _docs(spark, folder).select("doc_id", F.posexplode(tx.tokenize(F.col("text"))).alias("pos", "token"))
-    index = (
-        placed.groupBy("doc_id", "token").agg(F.collect_list("pos").alias("positions"))
-        .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("index")))
+    texts = _docs(spark, folder).groupBy("doc_id").agg(F.collect_list(F.struct("text")).alias("texts"))
+    tokens = F.transform("texts", lambda x: tx.tokenize(x["text"]))
+    index = texts.select("doc_id", tx.inverted_index(tokens).alias("index")).where(F.size("index") > 0)
     return index.select("doc_id", F.md5(tx.inverted_index_text(F.col("index"))).alias("rebuilt"))
 
 

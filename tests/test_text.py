@@ -133,3 +133,21 @@ def test_paragraphs_and_packing(spark):
     got = df.select(chunks.pack_paragraphs(F.col("p")).alias("v")).first()["v"]
     assert [len(g) for g in got[:2]] == [1591, 20]
     assert all(len(g) <= 1600 for g in got)
+
+
+def test_inverted_index_is_made_without_rows_for_tokens(spark):
+    df = spark.createDataFrame([(1, [["b", "a", "b"]]), (2, [[], ["x"], ["y", "x"]]), (3, []), (4, [[""]])], "id int, t array<array<string>>").coalesce(1)
+    made = df.select("id", tx.inverted_index(F.col("t")).alias("m"))
+    found = {r["id"]: r["m"] for r in made.collect()}
+    assert found == {1: {"a": [1], "b": [0, 2]}, 2: {"x": [0, 1], "y": [0]}, 3: {}, 4: {"": [0]}}
+    kept = made.where(F.size("m") > 0)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("made(") == 1 and kept.count() == 3
+
+
+@pytest.mark.parametrize("name", ["inverted_index_roundtrip", "feed_works"])
+def test_token_indexes_shuffle_no_tokens(spark, name):
+    """One row for each document goes through the only shuffle."""
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Aggregate") == 1 and "Join" not in plan
