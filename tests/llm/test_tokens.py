@@ -1,5 +1,7 @@
 """Packing, bit packing and token counts against the library's encoding of whole texts."""
 
+import ctypes
+import pathlib
 import zlib
 
 import numpy as np
@@ -92,6 +94,19 @@ def check_pieces(library, docs, pieces):
     assert sorted(got) == wanted
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="another allocator")
+def test_blocks_give_free_memory_back():
+    """A worker does not keep for one task what it needed for the one before."""
+    def held() -> int:
+        return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    many = [np.ones(8000) for _ in range(2500)]  # 160 MB in pieces that the allocator keeps
+    full, many = held(), many[::50]
+    assert len(list(blocks([pa.RecordBatch.from_pydict({"text": ["a", None, "b c"]})], "text"))) == 1
+    assert full - held() > 100 << 20
+    assert len(many) == 50
+
+
 def test_packing(library, docs, edge_docs, no_docs):
     check_pieces(library, docs, packing.pack_documents(docs, PATH))
     check_pieces(library, edge_docs, packing.pack_documents(edge_docs, PATH))
