@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
-from siftline.operators import catalog, grids, hypotheses as hy
+from siftline.operators import catalog, grids, hypotheses as hy, library
 from siftline.sources import sinks
 
 HYPOTHESES = "hypothesis_id long, project_id string, statement string, status string, novelty double, value double, feasibility double, risk double, expert_scores map<string,double>, evidence array<struct<title:string>>, tags array<string>"
@@ -66,3 +66,19 @@ def test_column_types(spark):
     found = grids.coerced(grid, types).where("row > 1 and doc = 'd'").orderBy("col", "row").groupBy("col").agg(F.collect_list("json").alias("j")).collect()
     assert {r["col"]: r["j"] for r in found} == {c + 1: [x for x in want if x != "null"] for c, (_, want) in enumerate(columns.values()) if want}
     assert spark.range(1).select(tx.cell_json(F.lit(None).cast("string"), F.lit("date"))).first()[0] == "null"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_meet_their_terms_unshuffled(spark):
+    rows = [("p", "i1", ["alloys", "alloy", "steel"]), ("p", "i1", ["alloys"]), ("p", "i2", []), ("q", "i3", ["alloy"]), ("p", None, ["steel"]), (None, "i4", ["steel"]), ("r", "i5", ["x1y"])]
+    tokenized = spark.createDataFrame(rows, "project_id string, item_key string, tokens array<string>")
+    projects = spark.createDataFrame([("p", "alloyed steel", "steels", None, None), ("q", "copper", None, None, None)],
+                                     "project_id string, kpi_target string, kpi_metric string, domain string, constraints string")
+    found = library.relevance(tokenized, projects)
+    assert "token" not in "".join(line.split("hashpartitioning", 1)[1].split(")")[0] for line in plan_of(found).splitlines() if "hashpartitioning" in line)
+    # p: alloyed 3.2, steel 3.2, steels 2.4; both rows of i1 get what the item matches, all of it; a null key matches nothing
+    assert sorted((r.item_key or "", r.relevance) for r in found.collect()) == [
+        ("", 1.5), ("i1", 9.6), ("i1", 9.6), ("i2", 0.0), ("i3", 1.5), ("i4", 5.0), ("i5", 5.0)]
