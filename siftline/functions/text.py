@@ -14,6 +14,8 @@ URL_RE = r"(?i)https?://[^\s)>\]]+"
 YEAR_RE = r"\b(?:19|20)\d{2}\b"
 
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]"
+#: The same as single characters.
+SPACE_CHARS = " \t\n\x0b\f\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x1c\x1d\x1e\x1f"
 LINE_SPACE = r"[ \t\f\x0b\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\u0085\u2028\u2029]"
 
@@ -33,7 +35,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -390,9 +392,10 @@ def is_decimal(c: Column) -> Column:
 
 def _iso_date(c: Column) -> Column:
     """YYYY-MM-DD of a day as 2024-03-01 or 01.03.2024, with a time of day after it as it is; null if there is none."""
+    # the form is judged first: few values are days, and only those are rewritten
+    form = F.regexp_like(c, F.lit(r"\A(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\z"))
     parts = F.regexp_replace(c, r"\A([0-9]{2})\.([0-9]{2})\.([0-9]{4})", "$3-$2-$1")
     day = F.substring(parts, 1, 10)
-    form = F.regexp_like(parts, F.lit(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\z"))
     return F.when(form & day.try_cast("date").isNotNull(), F.regexp_replace(parts, " ", "T"))
 
 

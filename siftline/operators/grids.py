@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 from ..session import cut_lineage
-from .ranking import ordinal, top
+from .ranking import BUCKET, top
 
 _SHEET = ["doc", "sheet"]
 
@@ -44,17 +44,33 @@ def split_lines(lines: DataFrame, votes: DataFrame) -> DataFrame:
     )
 
 
-def trim_grid(cells: DataFrame) -> DataFrame:
+def trim_grid(cells: DataFrame, span: int = BUCKET) -> DataFrame:
     """Blank strings become null, rows without a value go, rows are renumbered from 1 and
     every sheet knows its width and height. Null cells are not stored; a missing cell
-    inside the width is null."""
-    filled = cut_lineage(cells.withColumn("value", tx.cell_value(F.col("value"))).filter(F.col("value").isNotNull()))
-    rows = ordinal(filled.select(*_SHEET, "row").distinct(), _SHEET, "row", "_n")
-    size = filled.groupBy(*_SHEET).agg(F.max("col").alias("width"), F.count_distinct("row").alias("height"))
+    inside the width is null.
+
+    Cells meet once, by sheet and ``span`` positions: rows are numbered inside a part, and what
+    comes before a part follows from the numbers of rows of the parts, however long a sheet is.
+    """
+    filled = (
+        cells.withColumn("value", tx.cell_value(F.col("value")))
+        .filter(F.col("value").isNotNull() & F.col("doc").isNotNull() & F.col("sheet").isNotNull())
+        .withColumn("_b", F.floor(F.col("row") / span))
+    )
+    inside = W.partitionBy(*_SHEET, "_b").orderBy("row")
+    numbered = cut_lineage(filled.withColumn("_n", F.dense_rank().over(inside)))
+    parts = numbered.groupBy(*_SHEET, "_b").agg(F.max("_n").cast("long").alias("_rows"), F.max("col").alias("_w"))
+    # a cell without a row widens its sheet, but is left out by the join
+    parts = parts.withColumn("_rows", F.when(F.col("_b").isNotNull(), F.col("_rows")).otherwise(0))
+    sheet = W.partitionBy(*_SHEET)
+    before = F.sum("_rows").over(sheet.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = parts.select(
+        *_SHEET, "_b", F.coalesce(before, F.lit(0)).alias("_o"), F.max("_w").over(sheet).alias("width"), F.sum("_rows").over(sheet).alias("height"))
     # Header detection, naming and row building all read the grid.
     return cut_lineage(
-        filled.join(rows, [*_SHEET, "row"]).join(size, _SHEET)
-        .withColumn("row", F.col("_n")).drop("_n")
+        numbered.join(cut_lineage(sizes), [*_SHEET, "_b"])
+        .withColumn("row", F.col("_n") + F.col("_o"))
+        .select(*_SHEET, "row", *[c for c in cells.columns if c not in (*_SHEET, "row")], "width", "height")
     )
 
 
@@ -64,8 +80,9 @@ def header_flags(grid: DataFrame, mode: str = "guess") -> DataFrame:
     strings, count = F.count_if(F.col("type") == "string"), F.count(F.lit(1))
     guess = strings >= F.greatest(F.lit(1), F.floor(count / 2))
     flag = {"guess": guess, "always": F.max(F.lit(True)), "never": F.max(F.lit(False))}[mode]
-    return grid.filter(F.col("row") == 1).groupBy(*_SHEET).agg(
-        F.max("width").alias("width"), F.max("height").alias("height"), flag.alias("has_header"))
+    # written, so that who joins the cells with them knows their size before the cells are read
+    return cut_lineage(grid.filter(F.col("row") == 1).groupBy(*_SHEET).agg(
+        F.max("width").alias("width"), F.max("height").alias("height"), flag.alias("has_header")))
 
 
 def headers(grid: DataFrame, flags: DataFrame) -> DataFrame:
@@ -91,7 +108,7 @@ def column_types(grid: DataFrame, flags: DataFrame) -> DataFrame:
         F.bool_and(whole).alias("_i"), F.bool_and(number).alias("_n"), F.bool_and(date).alias("_d"))
     slots = flags.select(*_SHEET, F.explode(F.sequence(F.lit(1), F.col("width"))).alias("col"))
     kind = F.when(F.col("_i"), "integer").when(F.col("_n"), "decimal").when(F.col("_d"), "date").when(F.col("_d").isNotNull(), "string")
-    return slots.join(found, [*_SHEET, "col"], "left").select(*_SHEET, "col", kind.alias("type"))
+    return cut_lineage(slots.join(found, [*_SHEET, "col"], "left").select(*_SHEET, "col", kind.alias("type")))
 
 
 def coerced(grid: DataFrame, types: DataFrame) -> DataFrame:

@@ -72,6 +72,26 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_grid_rows_over_many_parts(spark):
+    """Rows are numbered through all parts of a sheet; a cell without a row only widens it."""
+    cells = [("a", "", 7 * i - 20, c, f"{i}{c}", "string") for i in range(9) for c in (1, 2)] + [("a", "", 8, 1, "x", "string"), ("a", "", 8, 1, "x", "string"),
+             ("a", "", None, 5, "y", "string"), ("a", "", 9, 9, "  ", "string"), ("b", "", 3, 1, "z", "string"), (None, "", 1, 1, "z", "string")]
+    df = spark.createDataFrame(cells, "doc string, sheet string, row long, col int, value string, type string")
+    grid = grids.trim_grid(df, span=10)
+    assert grid.columns == ["doc", "sheet", "row", "col", "value", "type", "width", "height"]
+    found = sorted(tuple(r) for r in grid.collect())
+    places = {p: n for n, p in enumerate(sorted({c[2] for c in cells if c[0] == "a" and c[2] is not None and c[4].strip()}), 1)}
+    want = [("a", "", places[c[2]], c[3], c[4], "string", 5, len(places)) for c in cells if c[0] == "a" and c[2] in places and c[4].strip()]
+    assert found == sorted([*want, ("b", "", 1, 1, "z", "string", 1, 1)])
+
+
+def test_cells_meet_their_sheets_unshuffled(spark):
+    df = spark.createDataFrame([("a", "", i, 1, str(i), "string") for i in range(5)], "doc string, sheet string, row long, col int, value string, type string")
+    grid = grids.trim_grid(df)
+    flags = grids.header_flags(grid, "always")
+    assert "Exchange hashpartitioning" not in plan_of(grids.coerced(grid, grids.column_types(grid, flags)))
+
+
 def test_words_meet_their_terms_unshuffled(spark):
     rows = [("p", "i1", ["alloys", "alloy", "steel"]), ("p", "i1", ["alloys"]), ("p", "i2", []), ("q", "i3", ["alloy"]), ("p", None, ["steel"]), (None, "i4", ["steel"]), ("r", "i5", ["x1y"])]
     tokenized = spark.createDataFrame(rows, "project_id string, item_key string, tokens array<string>")
@@ -82,3 +102,10 @@ def test_words_meet_their_terms_unshuffled(spark):
     # p: alloyed 3.2, steel 3.2, steels 2.4; both rows of i1 get what the item matches, all of it; a null key matches nothing
     assert sorted((r.item_key or "", r.relevance) for r in found.collect()) == [
         ("", 1.5), ("i1", 9.6), ("i1", 9.6), ("i2", 0.0), ("i3", 1.5), ("i4", 5.0), ("i5", 5.0)]
+
+
+def test_strip_takes_all_white_space(spark):
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    values = [blanks + "a" + blanks + "b" + blanks, blanks, "", "\u200ba ", "\n\ta\nb \n"]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    assert sorted(r[0] or "null" for r in df.select(tx.strip(F.col("v"))).collect()) == sorted([*((v.strip() or "null") for v in values), "null"])
