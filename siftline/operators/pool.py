@@ -11,12 +11,12 @@ with longer lists. What leaves a task are lists and counts, never a row for each
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -90,15 +90,16 @@ class _Best:
         self.size = size
         self.least = np.full(groups, np.iinfo(np.int64).min)
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
+        self.held, self.limit = 0, 1 << 17
 
     def add(self, group: np.ndarray, score: np.ndarray, pid: np.ndarray) -> None:
         good = score >= self.least[group]
         self.parts.append((group[good], score[good], pid[good]))
         self.held += int(good.sum())
-        if self.held > (1 << 19):
+        if self.held > self.limit:
             self.parts = [self.result()]
-            self.held = len(self.parts[0][0]) // 2  # at least so many more come before the next time
+            self.held = kept = len(self.parts[0][0])
+            self.limit = max(1 << 17, kept + max(kept // 4, 1 << 16))  # so many more come before the next time
 
     def result(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
@@ -114,23 +115,16 @@ class _Best:
         return group[kept], score[kept], pid[kept]
 
 
-def _asked(words: Broadcast):
-    """Rows with the wanted words as tokens and the number of all tokens as dl."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column("tokens")
-            flat, offsets = tokens.flatten(), tokens.offsets.to_numpy()
-            coded = flat.dictionary_encode()
-            known = pc.is_in(coded.dictionary, value_set=words.value).to_numpy(zero_copy_only=False)
-            kept = known[coded.indices.to_numpy()] if len(flat) else np.zeros(0, bool)
-            edges = np.r_[0, np.cumsum(kept)][offsets - offsets[0]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("corpus"), batch.column("pid"), batch.column("lang"), pa.array(np.diff(offsets).astype(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat.filter(pa.array(kept))), batch.column("vector")],
-                names=["corpus", "pid", "lang", "dl", "tokens", "vector"])
-
-    return run
+def _asked(rows: DataFrame, words: set[str]) -> DataFrame:
+    """Rows with the wanted words as tokens and the number of all tokens as dl; a few other tokens stay, which have the
+    checksum of a wanted one. Done before the rows go to Python, whose memory would follow whole texts else."""
+    size = 1 << min(max(8 * len(words), 1024).bit_length(), 20)
+    marks = bytearray(size)
+    for word in words:
+        marks[zlib.crc32(word.encode()) & (size - 1)] = 1
+    kept = F.filter("tokens", lambda t: F.substring(
+        F.lit(bytes(marks)), F.crc32(t.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
+    return rows.select("corpus", "pid", "lang", F.size("tokens").cast("long").alias("dl"), kept.alias("tokens"), "vector")
 
 
 def _lists(shipped: Broadcast, size: int, k1: float, b: float):
@@ -155,6 +149,7 @@ def _lists(shipped: Broadcast, size: int, k1: float, b: float):
             best[2].add(group, np.zeros(len(group), np.int64), pid[known])
             counts[0] += np.bincount(group, minlength=corpora * n)
             counts[1] += np.bincount(group, batch.column("vector").is_valid().to_numpy(zero_copy_only=False)[known], corpora * n).astype(np.int64)
+        pa.default_memory_pool().release_unused()
         for kind, (group, score, pid) in enumerate(x.result() for x in best):
             yield pa.RecordBatch.from_pydict({"kind": np.full(len(group), kind), "of": group // n, "lang": group % n, "score": score, "pid": pid})
         full = np.flatnonzero(counts[0])
@@ -340,11 +335,9 @@ def candidates(passages: DataFrame, queries: DataFrame, budget: int = vocab.POOL
 def _solve(spark: SparkSession, rows: DataFrame, goals: list[tuple], size: int, budget: int, quota: int, k: int,
            weights: tuple[float, float], shown: int, k1: float, b: float) -> tuple[pa.Table, list[tuple]]:
     """The rows of the decided goals of a block, and the other goals."""
-    kind = rows.schema["corpus"].dataType.simpleString()
     names = {g[1] for g in goals}
-    words = spark.sparkContext.broadcast(pa.array(sorted({t for g in goals for t in g[2]}), pa.string()))
     own = rows.where(F.col("corpus").isin(list(names))) if len(names) <= 1000 else rows
-    short = cut_lineage(own.mapInArrow(_asked(words), f"corpus {kind}, pid long, lang string, dl long, tokens array<string>, vector array<double>"))
+    short = cut_lineage(_asked(own, {t for g in goals for t in g[2]}))
     block, wanted = bm25.make_block(short, [g[:3] for g in goals])
     dims = {len(g[3]) for g in goals if g[3] is not None}
     if len(dims) > 1:

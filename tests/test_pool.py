@@ -117,3 +117,11 @@ def test_scan_over_many_corpora(spark):
     finally:
         bm25.make_block = old
     assert sum(sizes) < 100 * n * 2
+
+
+def test_asked_words_are_chosen_before_python(spark):
+    rows = spark.createDataFrame([("c", 1, "en", ["iron", "x", "iron", "день"], [0.5]), (None, 2, "en", [], None)], "corpus string, pid long, lang string, tokens array<string>, vector array<double>")
+    found = pool._asked(rows, {"iron", "день"})
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pid, r.dl, r.tokens, r.vector) for r in found.collect()) == [(1, 4, ["iron", "iron", "день"], [0.5]), (2, 0, [], None)]
+    assert pool._asked(rows, set()).where("size(tokens) > 0").count() == 0
