@@ -60,12 +60,12 @@ def trim_grid(cells: DataFrame, span: int = BUCKET) -> DataFrame:
     inside = W.partitionBy(*_SHEET, "_b").orderBy("row")
     numbered = cut_lineage(filled.withColumn("_n", F.dense_rank().over(inside)))
     parts = numbered.groupBy(*_SHEET, "_b").agg(F.max("_n").cast("long").alias("_rows"), F.max("col").alias("_w"))
-    # a cell without a row widens its sheet, but is left out by the join
-    parts = parts.withColumn("_rows", F.when(F.col("_b").isNotNull(), F.col("_rows")).otherwise(0))
+    # cells without a row widen their sheet and take its first number, but are left out by the join and the height
+    placed = F.when(F.col("_b").isNotNull(), F.col("_rows"))
     sheet = W.partitionBy(*_SHEET)
     before = F.sum("_rows").over(sheet.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     sizes = parts.select(
-        *_SHEET, "_b", F.coalesce(before, F.lit(0)).alias("_o"), F.max("_w").over(sheet).alias("width"), F.sum("_rows").over(sheet).alias("height"))
+        *_SHEET, "_b", F.coalesce(before, F.lit(0)).alias("_o"), F.max("_w").over(sheet).alias("width"), F.coalesce(F.sum(placed).over(sheet), F.lit(0)).alias("height"))
     # Header detection, naming and row building all read the grid.
     return cut_lineage(
         numbered.join(cut_lineage(sizes), [*_SHEET, "_b"])

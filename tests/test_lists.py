@@ -73,14 +73,14 @@ def plan_of(df) -> str:
 
 
 def test_grid_rows_over_many_parts(spark):
-    """Rows are numbered through all parts of a sheet; a cell without a row only widens it."""
+    """Rows are numbered through all parts of a sheet; a cell without a row widens it and takes its first number."""
     cells = [("a", "", 7 * i - 20, c, f"{i}{c}", "string") for i in range(9) for c in (1, 2)] + [("a", "", 8, 1, "x", "string"), ("a", "", 8, 1, "x", "string"),
              ("a", "", None, 5, "y", "string"), ("a", "", 9, 9, "  ", "string"), ("b", "", 3, 1, "z", "string"), (None, "", 1, 1, "z", "string")]
     df = spark.createDataFrame(cells, "doc string, sheet string, row long, col int, value string, type string")
     grid = grids.trim_grid(df, span=10)
     assert grid.columns == ["doc", "sheet", "row", "col", "value", "type", "width", "height"]
     found = sorted(tuple(r) for r in grid.collect())
-    places = {p: n for n, p in enumerate(sorted({c[2] for c in cells if c[0] == "a" and c[2] is not None and c[4].strip()}), 1)}
+    places = {p: n for n, p in enumerate(sorted({c[2] for c in cells if c[0] == "a" and c[2] is not None and c[4].strip()}), 2)}
     want = [("a", "", places[c[2]], c[3], c[4], "string", 5, len(places)) for c in cells if c[0] == "a" and c[2] in places and c[4].strip()]
     assert found == sorted([*want, ("b", "", 1, 1, "z", "string", 1, 1)])
 
