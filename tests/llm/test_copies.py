@@ -197,6 +197,50 @@ def test_packed_runs_in_one_process(monkeypatch):
         assert (sum(b - a for a, b in runs), len(runs)) == (n_removed, n_spans)
 
 
+def test_suffixes_are_sorted_in_portions(monkeypatch):
+    """A bucket's slices are not sorted all at once; those of one anchor stay together, and the minima are the same."""
+    rng = random.Random(4)
+    sizes = [1, 2, 30, 1, 5, 3, 3, 40, 2]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    content, least = [], np.array([rng.randrange(100) for _ in group])
+    for size in sizes:
+        text = bytes(rng.choice(b"ab") for _ in range(70))
+        content += [text[rng.randrange(15):] for _ in range(size)]
+    n = np.array([len(c) - 49 for c in content])
+    minima, sorted_at_once = suffixes.window_minima, []
+
+    def watched(slices, docs, length):
+        sorted_at_once.append(len(slices))
+        return minima(slices, docs, length)
+
+    def found():
+        sorted_at_once.clear()
+        return sorted(zip(*(x.tolist() for x in suffixes._slice_minima(np.zeros(0, np.int64), np.arange(len(n)), n, content.__getitem__, least, group, 50))))
+
+    monkeypatch.setattr(suffixes, "window_minima", watched)
+    whole = found()
+    assert sorted_at_once == [len(n)]
+    monkeypatch.setattr(suffixes, "SORTED", 400)
+    assert found() == whole and max(sorted_at_once) == 40 and len(sorted_at_once) > 4 and sum(sorted_at_once) == len(n)
+
+
+@pytest.mark.parametrize("kinds", [1, 5, 3000])
+def test_a_task_gives_a_slice_once_while_it_knows_it(monkeypatch, kinds):
+    """Whatever is forgotten, the first run of a slice has its content; what is known is bounded."""
+    monkeypatch.setattr(suffixes, "SEEN", 1 << 8)
+    seen = suffixes._unseen()
+    texts = pa.array([f"{k % kinds:050d}" for k in range(6000)])
+    shared = (np.full(1 << 17, 255, np.uint8), np.zeros(0, np.uint64), 8)
+    given = set()
+    for at in range(0, 6000, 500):
+        runs = suffixes._runs(texts.slice(at, 500), shared, False, 50, 24, seen)
+        fresh = set(runs.identity[runs.new].tolist())
+        assert set(runs.identity.tolist()) <= given | fresh and len(runs.content) == 50 * int(runs.new.sum())
+        assert kinds > 5 or not fresh & given
+        given |= fresh
+    assert len(seen) == 1 << 8 and len(given) == kinds
+
+
 def test_suffix_edges(edge_docs, no_docs):
     small = edge_docs.where("length(coalesce(text, '')) < 1000")
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
