@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from siftline.llm.shared import joined_bytes, ragged, whole_texts
 from siftline.llm.words import word_spans
 
-#: Largest number of words that a worker remembers; then it starts anew.
-MEMORY = 1_500_000
+#: Largest number of words that a worker remembers, and of their bytes; then it starts anew.
+MEMORY, MEMORY_BYTES = 400_000, 8 << 20
 # A letter or digit before a stop or comma ends a word of the tokenizer, so both sides can be encoded apart.
 _STOPPED = re.compile(r"(.*[A-Za-z0-9À-ɏ])([.,]+)", re.S).fullmatch
 
@@ -110,7 +110,7 @@ class Encoder:
         starts = lists.offsets.to_numpy()
         coded = flat.dictionary_encode()
         known = self.known[spans]
-        if len(known.words) + len(coded.dictionary) > self.memory:
+        if len(known.words) + len(coded.dictionary) > self.memory or known.words.nbytes + coded.dictionary.nbytes > MEMORY_BYTES:
             known.__init__()
         where = pc.index_in(coded.dictionary, value_set=known.words)
         if where.null_count:

@@ -51,6 +51,16 @@ def test_words_encode_like_whole_texts(library, docs):
         same(library, encoder, block.column("text"))
 
 
+def test_remembered_words_are_bounded(library):
+    """A few long words fill what a worker remembers as many short ones do."""
+    assert bpe.MEMORY <= 400_000
+    encoder = bpe.Encoder(PATH)
+    for k in range(40):
+        texts = pa.array([f"{k} {'ab' * 150_000}{k} the end"])
+        same(library, encoder, texts)
+        assert encoder.known[False].words.nbytes + encoder.known[True].words.nbytes <= 3 * bpe.MEMORY_BYTES
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aBé́.,' \n<|>9ßẞ中\x85"), max_size=30), max_size=4))
 def test_any_text_encodes_alike(texts):
